@@ -7,7 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, common, exact_dedup, packing, simple8b
+from . import byte_bpe, common, exact_dedup, packing, simhash, simple8b
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(common.documents(spark, sf_dir), shingle=3, distance=3, seed=42)
 
 
 def op4_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,4 +32,4 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_simple8b, op7_exact_dedup, op9_packing, op10_byte_bpe)}
+    return {f.__name__: f for f in (op2_simhash, op4_simple8b, op7_exact_dedup, op9_packing, op10_byte_bpe)}
