@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, common, exact_dedup, packing, simhash, simple8b
+from . import byte_bpe, common, exact_dedup, packing, repeats, simhash, simple8b
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(common.documents(spark, sf_dir), keep="largest")
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(common.documents(spark, sf_dir), length=200)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(common.documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2, size=4096)
 
@@ -32,4 +36,4 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op4_simple8b, op7_exact_dedup, op9_packing, op10_byte_bpe)}
+    return {f.__name__: f for f in (op2_simhash, op4_simple8b, op7_exact_dedup, op8_repeats, op9_packing, op10_byte_bpe)}
