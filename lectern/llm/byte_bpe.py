@@ -2,7 +2,7 @@
 
 Each vocabulary entry becomes a piece: its bytes mapped to one character a byte, scored by its negative rank, under
 identity normalisation, so that sentencepiece's best-score merges are the lowest-rank merges of the vocabulary. Texts
-are split into pre-tokens by the vocabulary's pattern, every distinct pre-token is encoded once a task, and decoding
+are split into pre-tokens by the vocabulary's pattern, every distinct pre-token is encoded once a worker, and decoding
 is the inverse mapping from id to bytes.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Distinct pre-tokens a task remembers before it starts anew, and the longest worth remembering.
+#: Distinct pre-tokens that a worker remembers, and the longest worth remembering.
 REMEMBERED, LONGEST = 500_000, 64
 #: The first character that stands for a byte. No other character occurs, so any block of 256 letters will do.
 BASE = 0x4E00
@@ -71,7 +71,7 @@ def model_proto(ranks: dict[bytes, int]) -> bytes:
 
 
 class ByteBpe:
-    """Encoder and decoder of one vocabulary; one a task."""
+    """Encoder and decoder of one vocabulary; see coder_of."""
 
     def __init__(self, path: str, pattern: str):
         import regex
@@ -99,15 +99,24 @@ class ByteBpe:
             distinct = set(words)
             new = self._learn([w for w in distinct if w not in known])
             found = {w: new[w] if w in new else known[w] for w in distinct}
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-            known.update(x for x in new.items() if len(x[0]) <= LONGEST)
+            if len(known) < REMEMBERED:  # frequent pre-tokens come early, so the first ones stay
+                known.update(x for x in new.items() if len(x[0]) <= LONGEST)
             return [i for w in words for i in found[w]]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join([self.bytes_of[i] for i in ids])
 
 
+_CODERS: dict[tuple[str, str], ByteBpe] = {}
+
+
+def coder_of(vocabulary: str, pattern: str) -> ByteBpe:
+    """One a worker process, so that what a task has learnt serves the next."""
+    if (vocabulary, pattern) not in _CODERS:
+        _CODERS[vocabulary, pattern] = ByteBpe(vocabulary, pattern)
+    return _CODERS[vocabulary, pattern]
+
+
 def round_trip(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every whole text (null: empty) and decode the ids: id_col, n_tokens, ids_sha256, decoded_sha256.
 
@@ -116,7 +125,7 @@ def round_trip(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "do
     common.bound_batches(docs.sparkSession)
 
     def code(batches):
-        coder = ByteBpe(vocabulary, pattern)
+        coder = coder_of(vocabulary, pattern)
         names = [b"%d" % i for i in range(len(coder.bytes_of))]
         for batch in batches:
             rows = []
@@ -134,9 +143,10 @@ def round_trip(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "do
 
 def encode_column(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
     """docs with the ids of text_col as an array<int> column."""
+
     @F.pandas_udf("array<int>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        coder = ByteBpe(vocabulary, pattern)
+        coder = coder_of(vocabulary, pattern)
         for texts in batches:
             yield pd.Series([np.array(coder.encode(t), np.int32) for t in texts])
 

@@ -17,8 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import common
-from .word_tokens import WordTokens
+from . import common, word_tokens
 
 _PIECES = "id long, start long, length int, ids_crc32 long, doc_tokens long, part int, nth long"
 
@@ -28,7 +27,7 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, size: int = 4096, id_col:
     common.bound_batches(docs.sparkSession)
 
     def pieces(batches):
-        part, coder, seen = TaskContext.get().partitionId(), WordTokens(tokenizer, end_id), np.zeros(size + 1, np.int64)
+        part, coder, seen = TaskContext.get().partitionId(), word_tokens.coder(tokenizer, end_id), np.zeros(size + 1, np.int64)
         for batch in batches:
             rows = []
             for d, ids in zip(batch.column(0).to_pylist(), coder.encode_many(batch.column(1).to_pylist()), strict=True):

@@ -22,8 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import common
-from .word_tokens import WordTokens
+from . import common, word_tokens
 
 MAGIC = b"S8BSEG1\0"
 BLOCK = 512
@@ -35,7 +34,7 @@ SEGMENT_IDS = 1 << 18
 
 
 #: By selector, ids taken; the last entry stands for a place past its block's end.
-_COUNT = np.array([1, *(c for c, _ in LAYOUTS), 0], np.int64)
+_COUNT = np.array([1, *(c for c, _ in LAYOUTS), 0], np.int32)
 _PAST = len(LAYOUTS) + 1
 _BITS16 = np.array([i.bit_length() for i in range(1 << 16)], np.int8)
 
@@ -77,71 +76,65 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     best = np.full((blocks, stride), _PAST, np.int8)
     best[:, :BLOCK] = _selectors(bits.reshape(blocks, BLOCK))
     best[-1, n - BLOCK * (blocks - 1) :] = _PAST
-    flat, at = best.ravel(), np.arange(blocks) * stride
+    flat, at = best.ravel(), np.arange(0, blocks * stride, stride, dtype=np.int32)
     walk = []
     while (step := _COUNT[selector := flat[at]]).any():
         walk.append((at, selector))
         at = at + step
     at, selector = (np.stack([w[i] for w in walk]).T.ravel() for i in range(2))  # block by block, in order
     real = selector != _PAST
-    at, selector = at[real], selector[real].astype(np.int64)
-    row, place = np.divmod(at, stride)
-    place += row * BLOCK
-    size = np.where(selector == 0, 2, 1)
-    start = np.cumsum(size) - size
-    words = np.zeros(int(size.sum()), np.uint64)
-    padded = np.zeros(blocks * BLOCK + 60, np.uint64)
-    padded[:n] = ids
-    end = (row + 1) * BLOCK
+    at, selector = at[real], selector[real]
+    start = np.arange(len(at), dtype=np.int64)
+    if not selector.all():
+        start += np.cumsum(selector == 0) - (selector == 0)  # an escape takes two words
+    # zeros between blocks, so that a word may reach past its block's end
+    padded = np.zeros((blocks, stride), np.uint32 if ids.dtype.itemsize <= 4 else np.uint64)
+    padded[:-1, :BLOCK] = ids[: BLOCK * (blocks - 1)].reshape(-1, BLOCK)
+    padded[-1, : n - BLOCK * (blocks - 1)] = ids[BLOCK * (blocks - 1) :]
+    padded = padded.ravel()
+    words = np.zeros(len(at) + int((selector == 0).sum()), np.uint64)
     for s, (c, w) in enumerate(LAYOUTS, 1):
         if (x := np.flatnonzero(selector == s)).size:
-            word = np.full(x.size, s, np.uint64)
+            from_, word = at[x], np.full(x.size, s, np.uint64)
             for i in range(c):
-                got = padded[place[x] + i]
-                if i:
-                    got = np.where(place[x] + i < end[x], got, np.uint64(0))  # a word never reaches into the next block
-                word |= got << np.uint64(4 + i * w)
+                word |= padded[from_ + np.int32(i)].astype(np.uint64) << np.uint64(4 + i * w)
             words[start[x]] = word
     if (x := np.flatnonzero(selector == 0)).size:
-        words[start[x] + 1] = padded[place[x]]
-    used = np.bincount(row, size, blocks).astype(np.uint64)
-    return np.concatenate([[np.uint64(0)], np.cumsum(used, dtype=np.uint64)]), words
+        words[start[x] + 1] = padded[at[x]]
+    ends = np.append(start[np.searchsorted(at, np.arange(1, blocks, dtype=np.int64) * stride)], len(words))
+    return np.concatenate([[0], ends]).astype(np.uint64), words
 
 
 def unpack(n: int, offsets: np.ndarray, words: np.ndarray) -> np.ndarray:
     """The n ids of pack()."""
     if not n:
         return np.zeros(0, np.uint64)
-    raw = np.zeros(len(words), bool)  # payloads of escapes
-    low = (words & np.uint64(15)).astype(np.int64)
-    # a word is raw if the word before it is an escape that isn't raw itself: runs of zero selectors alternate
-    zero = low == 0
-    if zero.any():
-        first = np.flatnonzero(zero & ~np.concatenate([[False], zero[:-1]]))
-        for a in first.tolist():  # few: ids this wide are rare
-            i = a
-            while i < len(words) and low[i] == 0 and not raw[i]:
-                raw[i + 1 : i + 2] = True
-                i += 2
-    head = np.flatnonzero(~raw)
-    selector = low[head]
-    count = np.array([1, *(c for c, _ in LAYOUTS)])[selector]
-    block = np.searchsorted(offsets, head.astype(np.uint64), side="right") - 1
-    before = np.cumsum(count) - count
-    first = np.searchsorted(block, np.arange(len(offsets) - 1))
-    place = block * BLOCK + before - before[first][block]
-    out = np.zeros((len(offsets) - 1) * BLOCK + 60, np.uint64)
-    ends = np.minimum((block + 1) * BLOCK, n)
+    blocks, stride = len(offsets) - 1, BLOCK + 64
+    selector = (words & np.uint64(15)).astype(np.int8)
+    block = np.repeat(np.arange(blocks, dtype=np.int32), np.diff(offsets.astype(np.int64)))
+    if not selector.all():  # escapes: the word after one is raw, unless the escape is raw itself
+        raw = np.zeros(len(words), bool)
+        for i in np.flatnonzero(selector == 0).tolist():
+            if not raw[i]:
+                raw[i + 1] = True
+        head = np.flatnonzero(~raw)
+        selector, block = selector[head], block[head]
+    else:
+        head = None
+    count = _COUNT[selector]
+    before = np.cumsum(count, dtype=np.int64) - count
+    first = np.searchsorted(block, np.arange(blocks, dtype=np.int32))
+    place = (before - (before[first] - np.arange(blocks) * stride)[block]).astype(np.int32)
+    kind = np.uint32 if not (selector == 0).any() and int(selector.max()) <= 12 else np.uint64
+    out = np.zeros(blocks * stride, kind)
     for s, (c, w) in enumerate(LAYOUTS, 1):
         if (x := np.flatnonzero(selector == s)).size:
-            shift = np.arange(c, dtype=np.uint64) * np.uint64(w) + np.uint64(4)
-            got = (words[head[x]][:, None] >> shift) & np.uint64((1 << w) - 1)
-            to = place[x][:, None] + np.arange(c)
-            fit = to < ends[x][:, None]
-            out[to[fit]] = got[fit]
+            word, to, mask = words[x if head is None else head[x]], place[x], np.uint64((1 << w) - 1)
+            for i in range(c):
+                out[to + np.int32(i)] = (word >> np.uint64(4 + i * w)) & mask  # past a block's end: its margin
     if (x := np.flatnonzero(selector == 0)).size:
         out[place[x]] = words[head[x] + 1]
-    return out[:n]
+    return out.reshape(blocks, stride)[:, :BLOCK].ravel()[:n]
 
 
 def segment(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
@@ -179,7 +172,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_i
     ranged = rows.repartitionByRange(partitions or common.shuffle_parts(spark), "id", F.xxhash64("body")).sortWithinPartitions("id", F.xxhash64("body"), "body")
 
     def encode(batches):
-        shard, seq, coder, held, ids, total = TaskContext.get().partitionId(), 0, WordTokens(tokenizer, end_id), [], [], 0
+        shard, seq, coder, held, ids, total = TaskContext.get().partitionId(), 0, word_tokens.coder(tokenizer, end_id), [], [], 0
 
         def row():
             image = segment(held, ids)
@@ -208,14 +201,15 @@ def read_ids(segments: DataFrame, id_col: str = "doc_id") -> DataFrame:
     shards = shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("shard_start"))
     within = segments.select("shard", "seq", "n_ids").withColumn("seq_start", F.sum("n_ids").over(Window.partitionBy("shard").orderBy("seq")) - F.col("n_ids"))
     starts = within.join(F.broadcast(shards), "shard").select("shard", "seq", (F.col("shard_start") + F.col("seq_start")).alias("start"))
-    placed = segments.select("shard", "seq", "image").join(starts, ["shard", "seq"]).select("start", "image")
 
     def decode(batches):
         for batch in batches:
-            for start, image in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for shard, seq, image in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 docs, known, lengths, ids = read_segment(image.as_buffer())
                 raw, ends = memoryview(ids.astype("<u4").tobytes()), np.cumsum(lengths)
                 crc = [zlib.crc32(raw[4 * (b - n) : 4 * b]) for n, b in zip(lengths.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64(), mask=~known), pa.array(start + ends - lengths), pa.array(lengths), pa.array(crc, pa.int64())], names=[id_col, "start", "n_tokens", "ids_crc32"])
+                of = [pa.array(np.full(len(docs), x, t)) for x, t in ((shard, np.int32), (seq, np.int64))]
+                yield pa.RecordBatch.from_arrays([*of, pa.array(docs, pa.int64(), mask=~known), pa.array(ends - lengths), pa.array(lengths), pa.array(crc, pa.int64())], names=["shard", "seq", "id", "at", "n_tokens", "ids_crc32"])
 
-    return placed.mapInArrow(decode, f"`{id_col}` long, start long, n_tokens long, ids_crc32 long")
+    read = segments.select("shard", "seq", "image").mapInArrow(decode, "shard int, seq long, id long, at long, n_tokens long, ids_crc32 long")
+    return read.join(starts, ["shard", "seq"]).select(F.col("id").alias(id_col), (F.col("start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")

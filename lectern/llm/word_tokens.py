@@ -1,7 +1,7 @@
 """Token ids of the word-level BPE, by the tokenizers library, each distinct run of characters once.
 
 The library encodes a text word by word: it normalises, splits into words and merges inside each word; no word spans
-white space. Runs between white space repeat, so each task gives the library every distinct run once and looks the
+white space. Runs between white space repeat, so a worker gives the library every distinct run once and looks the
 rest up. Texts with characters for which Python and the library might differ (see PLAIN), or that spell one of the
 added tokens, go to the library whole.
 """
@@ -17,8 +17,8 @@ import numpy as np
 PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ɏ]*")
 #: The words of the vocabulary file's splitting pattern, over lower-cased plain text.
 WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
-#: Distinct runs a task remembers before it starts anew.
-REMEMBERED = 1_000_000
+#: Distinct runs, and words, that a worker remembers; later ones are encoded again in each batch.
+REMEMBERED = 500_000
 
 
 class WordTokens:
@@ -36,27 +36,31 @@ class WordTokens:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
         """Have the library encode words, a thousand in one text."""
+        out = {}
         for at in range(0, len(words), 1000):
             chunk = words[at : at + 1000]
             e = self.tokenizer.encode(" ".join(chunk), add_special_tokens=False)
             of = np.array(e.word_ids, np.int64)
             if of.size == 0 or of[-1] != len(chunk) - 1:  # the library splits them otherwise: one by one
-                self.words |= {w: self._whole(w) for w in chunk}
+                out |= {w: self._whole(w) for w in chunk}
                 continue
             raw, cut = np.array(e.ids, np.uint32).tobytes(), (4 * np.searchsorted(of, np.arange(len(chunk) + 1))).tolist()
-            self.words.update((w, raw[x:y]) for w, x, y in zip(chunk, cut[:-1], cut[1:], strict=True))
-
-    def _meet(self, texts: list[list[str]]) -> None:
-        """Learn the runs of these texts, of which some are new."""
-        if len(self.runs) > self.remembered:
-            self.runs.clear()
-        if len(self.words) > self.remembered:
-            self.words.clear()
+            out |= {w: raw[x:y] for w, x, y in zip(chunk, cut[:-1], cut[1:], strict=True)}
+        return out
+
+    def _meet(self, texts: list[list[str]]) -> dict[str, bytes]:
+        """The ids of the runs of these texts that are not remembered. Frequent runs come early, so the first ones stay."""
         new = [(r, WORDS.findall(r)) for r in set().union(*texts).difference(self.runs)]
-        self._learn(list({w for _, ws in new for w in ws}.difference(self.words)))
-        self.runs.update((r, b"".join([self.words[w] for w in ws])) for r, ws in new)
+        ids = self._learn(list({w for _, ws in new for w in ws}.difference(self.words)))
+        if len(self.words) < self.remembered:
+            self.words.update(ids)
+        get = lambda w: self.words[w] if w in self.words else ids[w]
+        met = {r: b"".join([get(w) for w in ws]) if len(ws) != 1 else get(ws[0]) for r, ws in new}
+        if len(self.runs) < self.remembered:
+            self.runs.update(met)
+        return met
 
     def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
         """uint32 ids of each text, null as empty, with the end id if there is one."""
@@ -70,11 +74,17 @@ class WordTokens:
                 out.append(b"")
                 rest.append(i)
         if rest:
-            self._meet([runs[i] for i in rest])
+            met, known = self._meet([runs[i] for i in rest]), self.runs
             for i in rest:
-                if any(r not in self.runs for r in runs[i]):  # forgotten meanwhile
-                    self._meet([runs[i]])
-                out[i] = b"".join([self.runs[r] for r in runs[i]])
-        if len(self.runs) > 2 * self.remembered:
-            self.runs.clear()
+                out[i] = b"".join([known[r] if r in known else met[r] for r in runs[i]])
         return [np.frombuffer(x + self.tail, np.uint32) for x in out]
+
+
+_CODERS: dict[tuple, WordTokens] = {}
+
+
+def coder(path: str, end_id: int | None) -> WordTokens:
+    """One a worker process, so that what a task has learnt serves the next."""
+    if (path, end_id) not in _CODERS:
+        _CODERS[path, end_id] = WordTokens(path, end_id)
+    return _CODERS[path, end_id]
