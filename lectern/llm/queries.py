@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, common, exact_dedup, packing, repeats, simhash, simple8b
+from . import byte_bpe, common, exact_dedup, packing, repeats, simhash, simple8b, topk
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op4_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.read_ids(segments)
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=20, scale=64, every=20)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(common.documents(spark, sf_dir), keep="largest")
 
@@ -36,4 +40,4 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op4_simple8b, op7_exact_dedup, op8_repeats, op9_packing, op10_byte_bpe)}
+    return {f.__name__: f for f in (op2_simhash, op4_simple8b, op6_topk, op7_exact_dedup, op8_repeats, op9_packing, op10_byte_bpe)}
