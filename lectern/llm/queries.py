@@ -7,18 +7,26 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, common, exact_dedup, packing, repeats, simhash, simple8b, topk
+from . import byte_bpe, common, exact_dedup, lang_id, packing, repeats, simhash, simple8b, topk, toxicity
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(common.documents(spark, sf_dir), shingle=3, distance=3, seed=42)
 
 
+def op3_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.identify(common.documents(spark, sf_dir))
+
+
 def op4_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = simple8b.write_ids(common.documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return simple8b.read_ids(segments)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.detect(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=20, scale=64, every=20)
 
@@ -40,4 +48,4 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op4_simple8b, op6_topk, op7_exact_dedup, op8_repeats, op9_packing, op10_byte_bpe)}
+    return {f.__name__: f for f in (op2_simhash, op3_lang_id, op4_simple8b, op5_toxicity, op6_topk, op7_exact_dedup, op8_repeats, op9_packing, op10_byte_bpe)}
