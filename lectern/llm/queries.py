@@ -7,7 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, common, exact_dedup, lang_id, packing, repeats, simhash, simple8b, topk, toxicity
+from . import byte_bpe, common, exact_dedup, lang_id, packing, passages, repeats, simhash, simple8b, topk, toxicity
+
+
+def op1_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.shared_passages(common.documents(spark, sf_dir), min_words=50, min_identity=0.8)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,4 +52,4 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op3_lang_id, op4_simple8b, op5_toxicity, op6_topk, op7_exact_dedup, op8_repeats, op9_packing, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_passages, op2_simhash, op3_lang_id, op4_simple8b, op5_toxicity, op6_topk, op7_exact_dedup, op8_repeats, op9_packing, op10_byte_bpe)}
