@@ -14,8 +14,8 @@ that share an anchor string form a part of the suffix array of their own, which
    with another one; where left extensions differ the repeat is maximal. Each occurrence of a maximal repeat of `length`
    bytes or more gives a span.
 4. A part with more than PART suffixes is divided by longer common strings (the core of the `length`-byte strings that
-   start in one of eight ranges left of the anchor), counted with pre-aggregation; what is still undecided is
-   counted string by string. So no task holds an unbounded part.
+   start in one of some eight ranges left of the anchor), counted with pre-aggregation; a range whose core repeats, but not
+   as a whole, is divided further, down to single strings. So no task holds an unbounded part.
 
 Spans are then joined to the texts. Matches never cross documents; every byte of every text takes part.
 
@@ -37,7 +37,7 @@ from . import common
 
 GRAM = 32
 #: Suffixes of one part that go to a task together.
-PART = 4096
+PART = 1024
 #: Bytes that a task hashes together.
 CHUNK = 1 << 20
 _RNG = np.random.default_rng(20240517)
@@ -219,7 +219,7 @@ def _spans(contexts: DataFrame, length: int) -> DataFrame:
             col = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)] + [batch.column(k).to_pylist() for k in (4, 5)]
             held.append(col)
             size += len(batch)
-            if size >= 2 * PART:
+            if size >= 8192:
                 col = [np.concatenate([b[k] for b in held]) if k < 4 else [x for b in held for x in b[k]] for k in range(6)]
                 cut = int(np.flatnonzero(col[0] != col[0][-1])[-1]) + 1 if col[0][0] != col[0][-1] else 0
                 if cut:
@@ -234,49 +234,43 @@ def _spans(contexts: DataFrame, length: int) -> DataFrame:
 
 def _divide(hot: DataFrame, length: int) -> DataFrame:
     """Spans of the parts with too many suffixes, by counting the cores and then the strings themselves."""
-    reach, step = length - GRAM, -(-(length - GRAM + 1) // 8)
+    reach = length - GRAM
 
     def digest(*parts) -> int:
         return int.from_bytes(hashlib.blake2b(b"".join(parts), digest_size=8).digest(), "little", signed=True)
 
-    def cores(batches):
-        for batch in batches:
-            rows = []
-            for h, row, pos, before, after in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                text, at = before[::-1] + after, len(before)
-                for low in range(0, reach + 1, step):
-                    high = min(low + step - 1, reach)
-                    a, b = at - low, at + length - high  # bytes of all strings that start low to high bytes before the anchor
-                    if a >= 0 and b <= len(text):
-                        x, y = max(0, at - high), min(len(text), at + length - low)
-                        head = b"%d %d " % (h, low)
-                        rows.append((digest(head, text[a:b]), digest(head, b"%d %d " % (at - x, y - at), text[x:y]), row, pos, low))
-            yield _batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["core", "whole", "row", "pos", "low"])
-
-    def strings(batches):
-        for batch in batches:
-            rows = []
-            for h, row, pos, before, after, lows in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
-                text, at = before[::-1] + after, len(before)
-                for low in lows:
-                    for left in range(low, min(low + step, reach + 1)):
-                        if at - left >= 0 and at - left + length <= len(text):
-                            rows.append((digest(b"%d %d " % (h, left), text[at - left : at - left + length]), row, pos - left))
-            yield _batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 3, (pa.int64(), pa.int64(), pa.int32()), strict=True)], ["string", "row", "low"])
-
-    pieces = common.stash(hot.select("h", "row", "pos", "before", "after").mapInArrow(cores, "core long, whole long, row long, pos int, low int"), "cores")
-    classes = pieces.groupBy("core", "whole").agg(F.count(F.lit(1)).alias("n"))
-    repeated = classes.groupBy("core").agg(F.sum("n").alias("all")).where("all > 1").select("core")
-    classes = classes.join(repeated, "core")
-    open_ = pieces.join(classes, ["core", "whole"])
-    settled = open_.where("n > 1").select("row", "pos", "low", F.least(F.col("low") + step - 1, F.lit(reach)).alias("far"))
-    settled = settled.select("row", (F.col("pos") - F.col("far")).alias("low"), (F.col("pos") - F.col("low") + length).alias("high"))
-    rest = open_.where("n = 1").groupBy("row", "pos").agg(F.collect_list("low").alias("lows"))
-    texts = hot.join(rest, ["row", "pos"]).select("h", "row", "pos", "before", "after", "lows")
-    each = common.stash(texts.mapInArrow(strings, "string long, row long, low int"), "strings")
-    twice = each.groupBy("string").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("string")
-    again = each.join(twice, "string").select("row", "low", (F.col("low") + length).alias("high"))
-    return settled.unionByName(again)
+    def cores(outer: int, width: int):
+        def cut(batches):
+            for batch in batches:
+                rows = []
+                for h, row, pos, before, after, lows in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                    text, at = before[::-1] + after, len(before)
+                    for low in (x for start in lows for x in range(start, min(start + outer, reach + 1), width)):
+                        high = min(low + width - 1, reach)
+                        a, b = at - low, at + length - high  # bytes of all strings that start low to high bytes before the anchor
+                        if a >= 0 and b <= len(text):
+                            x, y = max(0, at - high), min(len(text), at + length - low)
+                            head = b"%d %d " % (h, low)
+                            rows.append((digest(head, text[a:b]), digest(head, b"%d %d " % (at - x, y - at), text[x:y]), row, pos, low))
+                yield _batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["core", "whole", "row", "pos", "low"])
+
+        return cut
+
+    texts, outer, out = hot.withColumn("lows", F.array(F.lit(0))), reach + 1, None
+    for width in (5 * -(-outer // 40), 5, 1):  # each a multiple of the next, so that ranges nest
+        cut = texts.select("h", "row", "pos", "before", "after", "lows").mapInArrow(cores(outer, width), "core long, whole long, row long, pos int, low int")
+        pieces = common.stash(cut, "cores")
+        classes = pieces.groupBy("core", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "pos", "low")).alias("one"))
+        settled = pieces.join(classes.where("n > 1").select("core", "whole"), ["core", "whole"])
+        far = F.least(F.col("low") + (width - 1), F.lit(reach))
+        settled = settled.select("row", (F.col("pos") - far).alias("low"), (F.col("pos") - F.col("low") + length).alias("high"))
+        out = settled if out is None else out.unionByName(settled)
+        # one of each class goes on, settled ones too: others may share a part with it
+        several = classes.groupBy("core").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("core")
+        on = classes.join(several, "core").groupBy("one.row", "one.pos").agg(F.collect_list("one.low").alias("lows"))
+        texts = hot.join(on, ["row", "pos"])
+        outer = width
+    return out
 
 
 def _packed(rows: DataFrame) -> DataFrame:
