@@ -172,7 +172,10 @@ def fit(docs: DataFrame, labelled: Column, id_col: str = "doc_id", text_col: str
     """A network from at most sample_rows rows for which `labelled` holds, drawn by a hash of the id; None without any."""
     rows = docs.where(labelled & F.col(label_col).isNotNull() & (F.length(text_col) > 0))
     rows = rows.select(F.xxhash64(F.col(id_col), F.lit("sample")).alias("draw"), F.col(label_col).cast("string").alias("label"), F.substring(text_col, 1, sample_chars).alias("body"))
-    sample = rows.orderBy("draw", "label", "body").limit(sample_rows).collect()  # bounded by both parameters
+    # numbers first, so that no task sends sample_rows texts
+    last = rows.select("draw").orderBy("draw").limit(sample_rows).agg(F.max("draw")).first()[0]
+    sample = rows.where(F.col("draw") <= F.lit(last)).limit(2 * sample_rows).collect() if last is not None else []
+    sample.sort(key=lambda r: (r["draw"], r["label"], r["body"]))
     labels = sorted({r["label"] for r in sample})
     if not labels:
         return None
