@@ -114,7 +114,9 @@ def coder_of(vocabulary: str, pattern: str) -> ByteBpe:
     """One a worker process, so that what a task has learnt serves the next."""
     if (vocabulary, pattern) not in _CODERS:
         _CODERS[vocabulary, pattern] = ByteBpe(vocabulary, pattern)
-    return _CODERS[vocabulary, pattern]
+    found = _CODERS[vocabulary, pattern]
+    common.claim(f"bytes {vocabulary}", found.known)
+    return found
 
 
 def round_trip(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -47,3 +47,16 @@ def held_out(key: Column) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+_KEPT: dict[str, list] = {}
+
+
+def claim(owner: str, *kept: dict) -> None:
+    """Dictionaries a worker keeps from task to task for one operator; those of all other operators are emptied."""
+    for name, others in list(_KEPT.items()):
+        if name != owner:
+            for d in others:
+                d.clear()
+            del _KEPT[name]
+    _KEPT[owner] = list(kept)

@@ -10,15 +10,19 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
 
+from . import common
+
 #: Characters whose normalisation and classes are the same for Python and the library.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ɏ]*")
 #: The words of the vocabulary file's splitting pattern, over lower-cased plain text.
 WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 #: Distinct runs, and words, that a worker remembers; later ones are encoded again in each batch.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
+TOGETHER = 1_000_000
 
 
 class WordTokens:
@@ -62,8 +66,18 @@ class WordTokens:
             self.runs.update(met)
         return met
 
-    def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
-        """uint32 ids of each text, null as empty, with the end id if there is one."""
+    def encode_many(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """uint32 ids of each text, null as empty, with the end id if there is one; some TOGETHER characters at a time."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text or "")
+            if size > TOGETHER:
+                yield from self._encode(held)
+                held, size = [], 0
+        yield from self._encode(held)
+
+    def _encode(self, texts: list[str | None]) -> list[np.ndarray]:
         low = [(t or "").lower() for t in texts]
         plain = [PLAIN.fullmatch(t or "") is not None and not any(a in x for a in self.added) for t, x in zip(texts, low, strict=True)]
         runs, out, rest = [x.split() if p else [] for x, p in zip(low, plain, strict=True)], [], []
@@ -87,4 +101,6 @@ def coder(path: str, end_id: int | None) -> WordTokens:
     """One a worker process, so that what a task has learnt serves the next."""
     if (path, end_id) not in _CODERS:
         _CODERS[path, end_id] = WordTokens(path, end_id)
-    return _CODERS[path, end_id]
+    found = _CODERS[path, end_id]
+    common.claim(f"words {path} {end_id}", found.runs, found.words)
+    return found
