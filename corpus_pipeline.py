@@ -31,8 +31,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, three differing bits) keep the document with the smallest id."""
-    kept = simhash.near_duplicates(docs, shingle=5, distance=3).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    """Of each group of near copies (sets of five-word shingles alike to 0.8 or more) keep the document with the smallest id."""
+    kept = simhash.similar_documents(docs, shingle=5, similarity=0.8).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]), "left_semi")
 
 

@@ -204,13 +204,18 @@ def _bands(fp, bits: list[int], parts: int):
 
 
 def links(distinct: DataFrame, distance: int = 3) -> DataFrame:
-    """Links (a, b) between distinct fingerprints (column fp) whose components are those of all pairs at `distance` or less."""
+    """Links (a, b) between distinct fingerprints (column fp) whose components are those of all pairs at `distance` or less.
+
+    With a column seed, only fingerprints of one seed link.
+    """
+    if "seed" not in distinct.columns:
+        distinct = distinct.withColumn("seed", F.lit(0))
     parts, bits = distance + 1, list(range(64))
     first = _bands(F.col("fp"), bits, parts)
-    keyed = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("band"), v.alias("value")) for i, (v, _) in enumerate(first)])).alias("k"))
+    keyed = distinct.select("fp", "seed", F.explode(F.array(*[F.struct(F.lit(i).alias("band"), v.alias("value")) for i, (v, _) in enumerate(first)])).alias("k"))
     # (band, value) in one number; a hash would do, but two nodes must not become one
     width = max(len(b) for _, b in first)
-    keyed = keyed.select("fp", "k.band", (F.shiftleft(F.col("k.band").cast("long"), width) + F.col("k.value")).alias("node"))
+    keyed = keyed.select("fp", "k.band", (F.shiftleft((F.col("seed") * parts + F.col("k.band")).cast("long"), width) + F.col("k.value")).alias("node"))
     keyed = common.stash(keyed, "bands")
     full = keyed.groupBy("node").count().where(F.col("count") > NODE).select("node", F.lit(True).alias("full"))
     placed = keyed.join(full, "node", "left")
@@ -238,3 +243,100 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = classes.groupBy("root").agg(F.min("least_id").alias("component_id"))
     of = classes.select("fp", "root").join(named, "root").select("fp", "component_id")
     return marked.join(of, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+_SET_SEEDS = 6
+
+
+def set_fingerprints(docs: DataFrame, seeds: int = _SET_SEEDS) -> DataFrame:
+    """(row, seed, fp) of docs (row, body): SimHash of the set of a text's words, once a seed."""
+    mixes = [np.uint64(m) for m in (np.random.default_rng(11).integers(1, 2**63, seeds, dtype=np.uint64) * np.uint64(2) + np.uint64(1)).tolist()]
+
+    def mark(batches):
+        import xxhash
+
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            out = np.zeros((seeds, len(texts)), np.uint64)
+            for i, text in enumerate(texts):
+                words = set((text or b"").lower().split())
+                if words:
+                    h = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+                    for s, m in enumerate(mixes):
+                        x = h * m
+                        x ^= x >> np.uint64(32)
+                        x *= m
+                        x ^= x >> np.uint64(29)
+                        bits = np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
+                        out[s, i] = np.packbits(bits * 2 > len(h), bitorder="little").view(np.uint64)[0]
+            n = len(texts)
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(batch.column(0).to_numpy(zero_copy_only=False), seeds)), pa.array(np.repeat(np.arange(seeds, dtype=np.int32), n)), pa.array(out.ravel().view(np.int64))], names=["row", "seed", "fp"])
+
+    return docs.mapInArrow(mark, "row long, seed int, fp long")
+
+
+def _similar(rows: DataFrame, edges: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of edges (a, b), rows of `rows` (row, body), whose sets of shingles have this Jaccard similarity or more."""
+    import zstandard
+
+    def squeeze(batches):
+        packer = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([packer.compress(t) for t in batch.column(1).to_pylist()], pa.binary())], names=["row", "packed"])
+
+    def look(batches):
+        import xxhash
+
+        opener = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for packed, ends in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = opener.decompress(packed).lower().split()
+                grams = [b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))]
+                codes = np.unique(np.array([xxhash.xxh3_64_intdigest(g) for g in grams], np.uint64)).tobytes()
+                for at in range(0, len(ends), 256):
+                    some = ends[at : at + 256]
+                    yield pa.RecordBatch.from_arrays([pa.array([e["a"] for e in some], pa.int64()), pa.array([e["b"] for e in some], pa.int64()), pa.array([codes] * len(some), pa.binary())], names=["a", "b", "codes"])
+
+    def compare(batches):
+        key, left = None, b""
+        for batch in batches:
+            out = []
+            for a, b, codes in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if (a, b) != key:
+                    key, left = (a, b), codes
+                    continue
+                x, y = np.frombuffer(left, np.uint64), np.frombuffer(codes, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both >= similarity * (len(x) + len(y) - both):
+                    out.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(2)], names=["a", "b"])
+
+    ends = edges.select(F.col("a").alias("row"), "a", "b").unionByName(edges.select(F.col("b").alias("row"), "a", "b"))
+    parts = ends.groupBy("row").agg(F.ceil(F.count(F.lit(1)) / 1024).alias("parts"))
+    lists = ends.join(parts, "row").groupBy("row", F.pmod(F.xxhash64("a", "b"), F.col("parts")).alias("part")).agg(F.collect_list(F.struct("a", "b")).alias("ends"))
+    sides = rows.mapInArrow(squeeze, "row long, packed binary").join(lists, "row").select("packed", "ends").mapInArrow(look, "a long, b long, codes binary")
+    return sides.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(compare, "a long, b long")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, seeds: int = _SET_SEEDS, distance: int = 3) -> DataFrame:
+    """One row per input row: id_col, component_id, over links of `similarity` or more between sets of `shingle`-word shingles.
+
+    Candidates are pairs whose word-set fingerprints differ in `distance` bits or fewer under one of the seeds, found
+    through the index; every candidate is verified on whole texts. A pair at 0.8 has some one in three chance a seed.
+    Wordless texts are alike. Rows with null ids keep to themselves only if no id is in their class.
+    """
+    common.bound_batches(docs.sparkSession, 1024)
+    body = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), body.alias("body"))
+    marked = common.stash(set_fingerprints(rows.select("row", "body"), seeds), "set-fingerprints")
+    codes = common.stash(marked.groupBy("seed", "fp").agg(F.min("row").alias("rep")), "codes")
+    same = marked.join(codes, ["seed", "fp"]).where("row <> rep").select(F.col("rep").alias("a"), F.col("row").alias("b"))
+    near = links(codes.select("fp", "seed"), distance)
+    near = near.join(codes.select(F.col("fp").alias("a"), "seed", F.col("rep").alias("x")), "a").join(codes.select(F.col("fp").alias("b"), "seed", F.col("rep").alias("y")), ["b", "seed"])
+    near = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b")
+    edges = common.stash(same.unionByName(near).distinct(), "edges")
+    alike = common.stash(_similar(rows.select("row", "body"), edges, shingle, similarity), "alike")
+    roots = components(alike)
+    keyed = rows.select("row", "id").join(roots, F.col("row") == F.col("node"), "left").select("id", F.coalesce("root", "row").alias("root"))
+    named = keyed.groupBy("root").agg(F.min("id").alias("component_id"))
+    return keyed.join(named, "root").select(F.col("id").alias(id_col), "component_id")
