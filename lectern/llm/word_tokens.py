@@ -20,9 +20,9 @@ from . import common
 PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ɏ]*")
 #: The words of the vocabulary file's splitting pattern, over lower-cased plain text.
 WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
-#: Distinct runs, and words, that a worker remembers; later ones are encoded again in each batch.
-REMEMBERED = 250_000
-TOGETHER = 1_000_000
+#: Distinct runs, and words, that a worker remembers (later ones are encoded again), and characters taken together.
+REMEMBERED = 400_000
+TOGETHER = 2_000_000
 
 
 class WordTokens:
