@@ -64,6 +64,23 @@ def test_close_pairs_by_brute_force():
     assert got == {(a, b) for a in range(len(fp)) for b in range(a + 1, len(fp)) if node[a] == node[b] and int(fp[a] ^ fp[b]).bit_count() <= 3}
 
 
+def test_busiest_neighbours():
+    pairs = [(np.array([0, 1, 2, 2]), np.array([2, 2, 3, 4]))]
+    assert simhash.busiest_neighbours(6, lambda: iter(pairs)).tolist() == [2, 2, 0, 2, 2, -1]
+
+
+def test_copies_of_a_later_original(spark):
+    """Copies that are alike to 0.8 only with their original, which isn't the first of them, stay one class."""
+    words = text_of(9, 400).split()
+    edits = [np.random.default_rng(k).choice(400, 8, replace=False) for k in range(12)]
+    copies = [" ".join("changed" if i in set(e.tolist()) else w for i, w in enumerate(words)) for e in edits]
+    rows = [*enumerate(copies), (12, " ".join(words))]
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(396)} for _, t in rows]
+    assert all(len(s & sets[12]) >= 0.8 * len(s | sets[12]) > 0 for s in sets) and len(sets[0] & sets[1]) < 0.8 * len(sets[0] | sets[1])
+    got = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["component_id"] for r in got.collect()} == {0}
+
+
 def test_similar_documents(docs, empty):
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs).collect()}
     assert got[3] == got[4] == got[5] == 3 and got[8] == 8 and got[7] == 7
