@@ -45,7 +45,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their places in sequences of 4096 ids."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, size=4096)
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, size=4096, remembered=100_000)
 
 
 STAGES = [("language", language), ("exact", exact), ("near", near), ("passages", repeated_passages), ("packing", pack)]

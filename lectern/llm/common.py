@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Arrow batches that go to Python hold at most so many rows and bytes, so that a task's memory does not depend on the longest texts.
-BATCH_ROWS, BATCH_BYTES = 4096, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 4096, 4 << 20
 
 
 def scratch(spark: SparkSession) -> str:

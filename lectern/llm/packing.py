@@ -22,12 +22,12 @@ from . import common, word_tokens
 _PIECES = "id long, start long, length int, ids_crc32 long, doc_tokens long, part int, nth long"
 
 
-def cut(docs: DataFrame, tokenizer: str, end_id: int, size: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut(docs: DataFrame, tokenizer: str, end_id: int, size: int = 4096, id_col: str = "doc_id", text_col: str = "text", remembered: int = word_tokens.REMEMBERED) -> DataFrame:
     """One row per piece, stored; nth counts the pieces of this length before it in its part."""
     common.bound_batches(docs.sparkSession)
 
     def pieces(batches):
-        part, coder, seen = TaskContext.get().partitionId(), word_tokens.coder(tokenizer, end_id), np.zeros(size + 1, np.int64)
+        part, coder, seen = TaskContext.get().partitionId(), word_tokens.coder(tokenizer, end_id, remembered), np.zeros(size + 1, np.int64)
         for batch in batches:
             rows = []
             for d, ids in zip(batch.column(0).to_pylist(), coder.encode_many(batch.column(1).to_pylist()), strict=True):
@@ -125,5 +125,6 @@ def pack(pieces: DataFrame, size: int = 4096, id_col: str = "doc_id") -> DataFra
     return ranked.mapInArrow(place, f"`{id_col}` long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, size: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return pack(cut(docs, tokenizer, end_id, size, id_col, text_col), size, id_col)
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, size: int = 4096, id_col: str = "doc_id", text_col: str = "text", remembered: int = word_tokens.REMEMBERED) -> DataFrame:
+    """The pieces of docs with their places; `remembered` bounds the words a worker keeps, and changes no result."""
+    return pack(cut(docs, tokenizer, end_id, size, id_col, text_col, remembered), size, id_col)

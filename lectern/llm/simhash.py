@@ -28,7 +28,9 @@ from .components import components
 #: Fingerprints that one node may bring to a task before it is parted again.
 NODE = 200_000
 #: Pairs of a fingerprint and a group that a task looks at together.
-FRONT = 2_000_000
+FRONT = 250_000
+#: Fingerprints of whole nodes that a task takes together.
+TOGETHER = 50_000
 
 
 def fingerprint_many(texts: list[bytes | None], shingle: int = 3, seed: int = 42) -> np.ndarray:
@@ -112,8 +114,8 @@ def close_pairs(fp: np.ndarray, node: np.ndarray, distance: int):
         levels.append((start, agreed, every & agreed, low[start], high[end - 1], gf, groups))
     top = levels[-1][5]
     root = np.repeat(top, size)
-    for a in range(0, n, 65536):
-        work = [(len(levels) - 1, np.arange(a, min(n, a + 65536)), root[a : a + 65536])]
+    for a in range(0, n, 16384):
+        work = [(len(levels) - 1, np.arange(a, min(n, a + 16384)), root[a : a + 16384])]
         while work:
             level, q, g = work.pop()
             _, mask, pattern, _, high, _, _ = levels[level]
@@ -179,7 +181,7 @@ def busiest_neighbours(n: int, pairs) -> np.ndarray:
 
 def _link_nodes(distance: int, busiest: bool):
     def link(batches):
-        """Rows come sorted by node; whole nodes are taken together, a few hundred thousand fingerprints at a time."""
+        """Rows come sorted by node; whole nodes are taken together, some TOGETHER fingerprints at a time."""
 
         def solve(node, fp):
             rank = gray_rank(fp)
@@ -200,7 +202,7 @@ def _link_nodes(distance: int, busiest: bool):
         for batch in batches:
             held.append((batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)))
             rows += len(batch)
-            if rows >= NODE:
+            if rows >= TOGETHER:
                 node, fp = (np.concatenate([h[i] for h in held]) for i in range(2))
                 cut = int(np.searchsorted(node, node[-1]))
                 if cut:
@@ -248,7 +250,7 @@ def links(distinct: DataFrame, distance: int = 3, busiest: bool = False) -> Data
         rest.append(F.when(F.col("band") == i, F.array(*[F.xxhash64(F.lit(j), F.col("node"), v) for j, (v, _) in enumerate(sub)])))
     whole = F.array(F.xxhash64("node"))
     placed = placed.select("fp", F.explode(F.when(F.col("full"), F.coalesce(*rest)).otherwise(whole)).alias("node"))
-    common.bound_batches(distinct.sparkSession, 65536)
+    common.bound_batches(distinct.sparkSession, 16384)
     return placed.repartition("node").sortWithinPartitions("node").select("node", "fp").mapInArrow(_link_nodes(distance, busiest), "a long, b long")
 
 

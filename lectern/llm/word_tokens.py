@@ -97,10 +97,11 @@ class WordTokens:
 _CODERS: dict[tuple, WordTokens] = {}
 
 
-def coder(path: str, end_id: int | None) -> WordTokens:
+def coder(path: str, end_id: int | None, remembered: int = REMEMBERED) -> WordTokens:
     """One a worker process, so that what a task has learnt serves the next."""
     if (path, end_id) not in _CODERS:
         _CODERS[path, end_id] = WordTokens(path, end_id)
     found = _CODERS[path, end_id]
+    found.remembered = remembered
     common.claim(f"words {path} {end_id}", found.runs, found.words)
     return found
