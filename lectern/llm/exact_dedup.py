@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -93,3 +94,56 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     kept = F.col(id_col).eqNullSafe(F.col("keep_id"))
     return out.select(id_col, "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+
+
+def _first_of_runs(at: int):
+    def scan(batches):
+        part = TaskContext.get().partitionId()
+
+        def out(rows: pa.RecordBatch, edge: list[bool]):
+            digests = [hashlib.sha256((rows.column(at)[i].as_py() or "").encode()).digest() if e else None for i, e in enumerate(edge)]
+            more = [pa.array(digests, pa.binary()), pa.array([part] * len(edge), pa.int32()), pa.array(edge, pa.bool_())]
+            return pa.RecordBatch.from_arrays([*rows.columns, *more], names=[*rows.schema.names, "__digest", "__part", "__edge"])
+
+        held, last, first = None, None, True  # the first row of the run at hand, and its text
+        for batch in batches:
+            if not len(batch):
+                continue
+            texts = pc.fill_null(batch.column(at), "")
+            same = pc.equal(texts.slice(1), texts.slice(0, len(texts) - 1)).to_numpy(zero_copy_only=False).astype(bool)
+            where = np.flatnonzero(np.concatenate([[held is None or texts[0].as_py() != last], ~same]))
+            if not where.size:
+                continue
+            new = batch.take(pa.array(where))
+            if held is not None:
+                yield out(held, [first])
+                first = False
+            if len(new) > 1:
+                yield out(new.slice(0, len(new) - 1), [first] + [False] * (len(new) - 2))
+                first = False
+            held, last = batch.take(pa.array(where[-1:])), texts[int(where[-1])].as_py()
+        if held is not None:
+            yield out(held, [True])
+
+    return scan
+
+
+def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
+    """Of the rows of docs with equal texts the one with the smallest id, all columns as they are (a null text equals an empty one).
+
+    The same content sort carries whole rows, so documents are shuffled once. Of rows with equal text and id one stays;
+    a null id stays only if its group holds no other id.
+    """
+    spark = docs.sparkSession
+    common.bound_batches(spark)
+    n = partitions or common.shuffle_parts(spark)
+    body, id_ = F.coalesce(F.col(text_col), F.lit("")).cast("binary"), F.col(id_col).cast("long")
+    key = [F.substring(body, 1, LEAD), F.xxhash64(body)]
+    ranged = docs.repartitionByRange(n, *key, id_.asc_nulls_last()).sortWithinPartitions(*key, body, id_.asc_nulls_last())
+    extra = T.StructType().add("__digest", "binary").add("__part", "integer").add("__edge", "boolean")
+    rows = common.stash(ranged.mapInArrow(_first_of_runs(docs.columns.index(text_col)), T.StructType(docs.schema.fields + extra.fields)), "exact-first")
+    # at most two runs a partition can go on in another one
+    ends = rows.where("__edge").groupBy("__digest").agg(F.min(F.struct(id_.isNull(), id_, F.col("__part"))).alias("__best"))
+    ends = ends.select("__digest", F.col("__best")["__part"].alias("__best"))
+    stays = ~F.col("__edge") | (F.col("__part") == F.col("__best"))
+    return rows.join(F.broadcast(ends), "__digest", "left").where(stays).select(*docs.columns)

@@ -47,6 +47,18 @@ def test_exact(docs, empty):
     assert exact_dedup.exact_dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 3, 50])
+def test_distinct_documents(docs, empty, parts):
+    twice = docs.union(docs).repartition(3)
+    got = sorted(((r["doc_id"], r["text"] or "") for r in exact_dedup.distinct_documents(twice, partitions=parts).collect()), key=str)
+    want = {}
+    for i, t in ROWS:
+        best = want.get(t or "")
+        want[t or ""] = i if best is None else min(best, i if i is not None else best)
+    assert got == sorted(((i, t) for t, i in want.items()), key=str)
+    assert exact_dedup.distinct_documents(empty).count() == 0 and exact_dedup.distinct_documents(docs).columns == docs.columns
+
+
 def test_simhash(docs, empty):
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
     assert got[0] == got[1] == 0 and got[3] == got[4] == got[5] == 3 and got[7] == 7 and got[2] == got[None] == 2
