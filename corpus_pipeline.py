@@ -26,8 +26,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts keep the row with the smallest id."""
-    kept = exact_dedup.exact_dedup(docs, keep="smallest").where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]), "left_semi")
+    return exact_dedup.distinct_documents(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
