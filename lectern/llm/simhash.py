@@ -267,6 +267,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: Fingerprints of a text's set of words, and the differing bits at which two of them make a candidate.
 _SET_SEEDS, _SET_DISTANCE = 12, 4
+#: Frequent shingles that go last in the order of prefixes.
+COMMON = 100_000
 
 
 def set_fingerprints(docs: DataFrame, seeds: int = _SET_SEEDS) -> DataFrame:
@@ -339,19 +341,130 @@ def _similar(rows: DataFrame, edges: DataFrame, shingle: int, similarity: float)
     return sides.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(compare, "a long, b long")
 
 
+class _Words(dict):
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(self) < 200_000:
+            self[word] = h
+        return h
+
+
+_HASHES = _Words()
+_MIX = np.random.default_rng(13).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_codes(text: bytes, shingle: int) -> np.ndarray:
+    """64-bit codes of the set of a text's shingles, ascending; a text of fewer words is one shingle."""
+    words = np.array([_HASHES[w] for w in text.lower().split()], np.uint64)
+    n = min(len(words), shingle)
+    grams = max(1, len(words) - shingle + 1)
+    h = np.full(grams, n, np.uint64)
+    for i in range(n):
+        x = words[i : i + grams] * _MIX[i % 64]
+        h = (h ^ (x ^ (x >> np.uint64(32)))) * _MIX[63]
+    h ^= h >> np.uint64(31)
+    return np.unique(h)
+
+
+def _set_digests(texts: DataFrame, shingle: int) -> DataFrame:
+    """(row, digest) of texts (row, body): 128 bits of each set of shingles."""
+
+    def mark(batches):
+        import xxhash
+
+        common.claim("near", _HASHES)
+        for batch in batches:
+            digests = [xxhash.xxh3_128_digest(shingle_codes(t, shingle).tobytes()) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary())], names=["row", "digest"])
+
+    return texts.mapInArrow(mark, "row long, digest binary")
+
+
+def _common_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes that are frequent in a sixteenth of the texts, ascending, and their counts. They only set an order."""
+
+    def emit(batches):
+        common.claim("near", _HASHES)
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_codes(t, shingle).view(np.int64))], names=["h"])
+
+    some = texts.where(F.pmod(F.xxhash64("row"), F.lit(16)) == 0).select("body").mapInArrow(emit, "h long")
+    top = some.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n >= 8").orderBy(F.desc("n"), "h").limit(COMMON).toPandas()
+    codes, counts = top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    order = np.argsort(codes)
+    return codes[order], counts[order]
+
+
+def shingle_prefix(codes: np.ndarray, similarity: float, often: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first codes of a set in the order (how common, code): two sets this similar share one of theirs."""
+    known, counts = often
+    rank = np.zeros(len(codes), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+        rank = np.where(known[at] == codes, counts[at], 0)
+    need = int(np.ceil(similarity * len(codes) - 1e-9))
+    return codes[np.lexsort((codes, rank))[: len(codes) - need + 1]]
+
+
+def _prefix_pairs(texts: DataFrame, classes: DataFrame, doubles: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of rows in different classes that can be this similar: all that are, and few others.
+
+    Sets of similarity t share t / (1 + t) of their sizes' sum. Outside the prefix that ends first in the common order lie
+    at most ceil(t * size) - 1 shingles, so what prefixes share has to be the rest at least. Shingles are joined, nothing is capped;
+    those of one class only, and the rows of `doubles` (sets that another row has), can't add a link and stay out.
+    """
+    often = _common_shingles(texts, shingle)
+
+    def emit(batches):
+        common.claim("near", _HASHES)
+        for batch in batches:
+            held, size = [], 0
+            rows, bodies = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for i, (row, t) in enumerate(zip(rows, bodies, strict=True)):
+                codes = shingle_codes(t, shingle)
+                first = shingle_prefix(codes, similarity, often)
+                held.append((first, row, len(codes)))
+                size += len(first)
+                if size > 100_000 or i == len(rows) - 1:
+                    n = [len(x[0]) for x in held]
+                    columns = [np.concatenate([x[0] for x in held]).view(np.int64), np.repeat([x[1] for x in held], n), np.repeat(np.array([x[2] for x in held], np.int32), n)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "row", "size"])
+                    held, size = [], 0
+
+    found = texts.mapInArrow(emit, "h long, row long, size int")
+    twice = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    again = found.join(twice, "h").join(doubles, "row", "left_anti").join(classes.select(F.col("node").alias("row"), "root"), "row", "left")
+    again = common.stash(again.select("h", "row", "size", F.coalesce("root", "row").alias("class")), "prefixes")
+    mixed = again.groupBy("h").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("h")
+    kept = common.stash(again.join(mixed, "h"), "prefixes")
+    x, y = (kept.select("h", *[F.col(c).alias(f"{c}_{side}") for c in ("row", "size", "class")]) for side in "ab")
+    low, high = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
+    pairs = x.join(y, "h").where((F.col("row_a") < F.col("row_b")) & (F.col("class_a") != F.col("class_b")) & (low >= similarity * high - 1e-6))
+    pairs = pairs.groupBy(F.col("row_a").alias("a"), F.col("row_b").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.first(low).alias("low"), F.first(high).alias("high"))
+    need = similarity / (1 + similarity) * (F.col("low") + F.col("high")) - 1e-6
+    return pairs.where(F.col("shared") + F.ceil(similarity * F.col("high") - 1e-9) - 1 >= need).select("a", "b")
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, seeds: int = _SET_SEEDS, distance: int = _SET_DISTANCE) -> DataFrame:
     """One row per input row: id_col, component_id, over links of `similarity` or more between sets of `shingle`-word shingles.
 
-    Candidates are pairs whose word-set fingerprints differ in `distance` bits or fewer under one of the seeds, found
-    through the index; candidates are verified on whole texts, first one a text, then all those whose ends the first ones
-    left in different classes (a link inside a class changes nothing). A pair at 0.8 differs in five bits on
-    average and has a chance of 0.4 or so a seed, 0.99 or more over all of them. In a group of copies every text is
-    verified against the group's first one and against its own busiest neighbour, not against all others.
+    Texts with one set of shingles are settled by 128 bits of it. Then candidates are pairs whose word-set fingerprints
+    differ in `distance` bits or fewer under one of the seeds, found through the index; they are verified on whole texts,
+    first one a text, then all those whose ends the first ones left in different classes (a link inside a class changes
+    nothing). The index only finds classes cheaply. Whatever it leaves in different classes meets in an exact join on the prefixes of
+    the sets of shingles, which loses no pair of this similarity.
     Wordless texts are alike. Rows with null ids keep to themselves only if no id is in their class.
     """
     common.bound_batches(docs.sparkSession, 1024)
     body = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), body.alias("body"))
+    rows = common.stash(rows, "numbered")  # row numbers are those of this table in every job
+    digests = common.stash(_set_digests(rows.select("row", "body"), shingle), "set-digests")
+    sets = digests.groupBy("digest").agg(F.min("row").alias("rep"))
+    equal = common.stash(digests.join(sets, "digest").where("row <> rep").select(F.col("rep").alias("a"), F.col("row").alias("b")), "equal")
     marked = common.stash(set_fingerprints(rows.select("row", "body"), seeds), "set-fingerprints")
     codes = common.stash(marked.groupBy("seed", "fp").agg(F.min("row").alias("rep")), "codes")
     same = marked.join(codes, ["seed", "fp"]).where("row <> rep").select(F.col("rep").alias("a"), F.col("row").alias("b"))
@@ -365,6 +478,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # one link a text first, to the neighbour found most often; then only links between different classes can add anything
     texts = rows.select("row", "body")
     alike = common.stash(_similar(texts, first, shingle, similarity), "alike")
+    alike = alike.unionByName(equal)
     at = common.stash(components(alike), "classes")
     root_a, root_b = (at.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in ("a", "b"))
     rest = edges.join(first, ["a", "b"], "left_anti").join(root_a, "a", "left").join(root_b, "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
@@ -372,6 +486,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ends = rest.select(F.col("a").alias("row")).union(rest.select(F.col("b").alias("row"))).distinct()
     more = common.stash(_similar(texts.join(ends, "row", "left_semi"), rest, shingle, similarity), "alike")
     alike = alike.unionByName(more)
+    at = common.stash(components(alike), "classes")
+    pairs = _prefix_pairs(texts, at, equal.select(F.col("b").alias("row")), shingle, similarity)
+    pairs = common.stash(pairs.join(edges, ["a", "b"], "left_anti"), "prefix-pairs")
+    ends = pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct()
+    alike = alike.unionByName(common.stash(_similar(texts.join(ends, "row", "left_semi"), pairs, shingle, similarity), "alike"))
     roots = components(alike)
     keyed = rows.select("row", "id").join(roots, F.col("row") == F.col("node"), "left").select("id", F.coalesce("root", "row").alias("root"))
     named = keyed.groupBy("root").agg(F.min("id").alias("component_id"))

@@ -237,3 +237,34 @@ def test_pipeline_stages_keep_columns(spark):
         docs = spark.createDataFrame(docs.collect(), table.schema)
     packed = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == {r["doc_id"] for r in docs.select("doc_id").collect()}
+
+
+def jaccard_classes(rows, shingle=5, similarity=0.8):
+    sets = {i: {tuple(t.lower().split()[k : k + shingle]) for k in range(max(1, len(t.split()) - shingle + 1))} for i, t in rows}
+    root = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    return root
+
+
+def test_similar_documents_of_block_edits(spark):
+    """Pairs at 0.80 to 0.87 by truncation, appending and substitution: none is lost."""
+    rows, r = [], np.random.default_rng(21)
+    for k in range(90):
+        words = text_of(500 + k, int(r.integers(150, 400))).split()
+        rows.append((2 * k, " ".join(words)))
+        n = len(words)
+        if k % 3 == 0:
+            other = words[: int(np.ceil(n * 0.82))]
+        elif k % 3 == 1:
+            other = words + text_of(900 + k, int(n * 0.2)).split()
+        else:
+            other = [text_of(1300 + k, 1) + "x" if i % 47 == 20 else w for i, w in enumerate(words)]
+        rows.append((2 * k + 1, " ".join(other)))
+    want = jaccard_classes(rows)
+    assert sum(i != c for i, c in want.items()) > 75
+    got = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {x["doc_id"]: x["component_id"] for x in got.collect()} == want
