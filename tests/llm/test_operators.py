@@ -268,3 +268,15 @@ def test_similar_documents_of_block_edits(spark):
     assert sum(i != c for i, c in want.items()) > 75
     got = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {x["doc_id"]: x["component_id"] for x in got.collect()} == want
+
+
+def test_similar_documents_of_one_word_set(spark):
+    """Texts of one set of words share all fingerprints; their smallest row, which is like none of them, hides no pair."""
+    words = text_of(31, 300).split()
+    mixed = [words[i] for i in np.random.default_rng(4).permutation(300)]
+    moved = words[30:] + words[:30]
+    rows = [(0, " ".join(mixed)), (1, " ".join(words)), (2, "  ".join(words).upper()), (3, " ".join(moved))]
+    want = jaccard_classes(rows)
+    assert want == {0: 0, 1: 1, 2: 1, 3: 1}
+    got = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    assert {x["doc_id"]: x["component_id"] for x in got.collect()} == want
