@@ -105,6 +105,8 @@ class Anchors:
         for (i, text, low, a, b), s in zip(held, starts[:-1].tolist(), strict=True):
             p = least[s + a : s + b]
             p = p[np.concatenate([[True], p[1:] != p[:-1]])].astype(np.int64)
+            if low + a > 0:  # a later chunk: the anchor of the window before it is in the chunk before
+                p = p[p != np.int64(least[s + a - 1])]
             place.append(p)
             number.append(np.full(len(p), i))
             lows.append(np.maximum(p - self.reach, s))

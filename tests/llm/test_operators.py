@@ -280,3 +280,12 @@ def test_similar_documents_of_one_word_set(spark):
     assert want == {0: 0, 1: 1, 2: 1, 3: 1}
     got = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
     assert {x["doc_id"]: x["component_id"] for x in got.collect()} == want
+
+
+def test_repeats_at_chunk_borders(spark):
+    """A text of several chunks: each anchor once, and nothing removed that occurs once."""
+    text = np.random.default_rng(8).choice(np.frombuffer(b"abcdefghijklmnop", np.uint8), 1_200_000).tobytes()
+    one = np.concatenate([place for _, place, _, _ in repeats.Anchors(200).of([text])])
+    assert len(np.unique(one)) == len(one) and np.diff(one).max() <= 169
+    got = repeats.remove_repeats(spark.createDataFrame([(1, text.decode())], "doc_id long, text string")).first()
+    assert got["n_removed"] == 0 and got["n_spans"] == 0
