@@ -130,7 +130,8 @@ def lexicon(texts: list[str], toxic: np.ndarray, ratio: float = 20.0, share: flo
     kept = {}
     for term, weight in sorted(good.items(), key=lambda x: len(x[0])):
         body = term.removesuffix(_STEM)
-        if any(body[:k] + _STEM in kept for k in range(SHORTEST - 1, len(body) + 1)):
+        misspelt = body == term and len(body) >= MISSPELT_FROM  # stems have no misspellings, so such a word stays beside its stem
+        if not misspelt and any(body[:k] + _STEM in kept for k in range(SHORTEST - 1, len(body) + 1)):
             continue  # a shorter stem has it
         if term.endswith(_STEM) and terms[1][term] <= 1.1 * terms[1][body]:
             continue  # hardly more than the word itself, which will do

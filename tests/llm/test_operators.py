@@ -289,3 +289,26 @@ def test_repeats_at_chunk_borders(spark):
     assert len(np.unique(one)) == len(one) and np.diff(one).max() <= 169
     got = repeats.remove_repeats(spark.createDataFrame([(1, text.decode())], "doc_id long, text string")).first()
     assert got["n_removed"] == 0 and got["n_spans"] == 0
+
+
+def test_stems_leave_misspellings(spark):
+    """Every learnt word of five letters or more is found with one edit in its first letters, whether a stem has it or not."""
+    d = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{d}/labels.parquet").where("toxic is not null")
+    rows = spark.read.parquet(f"{d}/documents.parquet").join(labels, "doc_id").select("doc_id", "text", "toxic", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("out"))
+    rows = rows.where("toxic = 1").unionByName(rows.where("toxic = 0").orderBy("doc_id").limit(2500)).toPandas()
+    learnt, held = rows[~rows["out"]], rows[rows["out"] & (rows["toxic"] == 1)]
+    terms = toxicity.lexicon([t[:4000] for t in learnt["text"]], learnt["toxic"].to_numpy())
+    model = toxicity.Model(terms)
+    words = {w for t in learnt["text"][learnt["toxic"] == 1] for w in toxicity._WORD.findall(t.lower())} & {t for t in terms if len(t) >= 5 and not t.endswith("*")}
+    covered = {w for w in words if any(w[:k] + "*" in terms for k in range(3, len(w) + 1))}
+    assert len(covered) >= 20
+    letter = lambda w: ("x" if w[0] != "x" else "y") + w[1:]
+    assert all(model.automaton.find(f(w)) for w in words for f in (letter, lambda w: w[0] + w, lambda w: w[1:]))
+    missed = total = 0
+    for text in held["text"]:
+        found = [w for w in toxicity._WORD.findall(text.lower()) if w in words]
+        for w in found:
+            total += 1
+            missed += model.automaton.find(letter(w)) is None
+    assert total >= 20 and not missed
