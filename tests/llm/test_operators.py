@@ -312,3 +312,27 @@ def test_stems_leave_misspellings(spark):
             total += 1
             missed += model.automaton.find(letter(w)) is None
     assert total >= 20 and not missed
+
+
+def test_passages_of_many_sources(spark):
+    """A verbatim passage is found though each of its five-word strings occurred before in some other document."""
+    plain = text_of(71, 50).split()
+    decoys = [text_of(700 + i, 30) + " " + " ".join(plain[i : i + 5]) + " " + text_of(800 + i, 30) for i in range(46)]
+    rows = [*enumerate(decoys), (46, text_of(72, 40) + " " + " ".join(plain) + " " + text_of(73, 40)), (47, text_of(74, 40) + " " + " ".join(plain) + " " + text_of(75, 40))]
+    found = passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert [(r["doc_id"], r["start_word"], r["end_word"], r["source_doc_id"], r["source_start"]) for r in found] == [(47, 40, 90, 46, 40)]
+
+
+def test_passages_by_brute_force(spark):
+    """Each string of 50 words that an earlier document has lies in a passage."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").coalesce(1)
+    found = {}
+    for r in passages.shared_passages(docs).collect():
+        found.setdefault(r["doc_id"], set()).update(range(r["start_word"], r["end_word"]))
+    seen, lost = {}, 0
+    for row, x in enumerate(docs.select("doc_id", "text").collect()):
+        words = (x["text"] or "").encode().lower().split()
+        for k in range(len(words) - 49):
+            first = seen.setdefault(tuple(words[k : k + 50]), row)
+            lost += first != row and not set(range(k, k + 50)) <= found.get(x["doc_id"], set())
+    assert not lost
