@@ -336,3 +336,17 @@ def test_passages_by_brute_force(spark):
             first = seen.setdefault(tuple(words[k : k + 50]), row)
             lost += first != row and not set(range(k, k + 50)) <= found.get(x["doc_id"], set())
     assert not lost
+
+
+@pytest.mark.parametrize("size, every", [(60, 10), (60, 15), (60, 20), (100, 10)])
+def test_edited_passages(spark, size, every):
+    """Passages with one word replaced in so many are found, whatever words surround them."""
+    rows, r = [], np.random.default_rng(size + every)
+    for k in range(60):
+        words = text_of(5000 + 7 * k + every, size).split()
+        edited = [text_of(9000 + 100 * k + i, 1) + "z" if i % every == every // 2 else w for i, w in enumerate(words)]
+        for n, p in enumerate((words, edited)):
+            around = [text_of(int(r.integers(20000, 90000)), 40) for _ in range(2)]
+            rows.append((2 * k + n, f"{around[0]} {' '.join(p)} {around[1]}"))
+    got = {(x["doc_id"], x["source_doc_id"]) for x in passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert sum((2 * k + 1, 2 * k) in got for k in range(60)) >= 57
