@@ -79,3 +79,12 @@ def test_partial_update(spark):
     jobs = spark.createDataFrame([("a", 1.0, 2.0), ("b", 3.0, 4.0)], "job_id string, x double, y double")
     new = spark.createDataFrame([("a", None, 9.0), ("c", 1.0, 1.0)], "job_id string, x double, unknown double")
     assert {tuple(r) for r in store.update_columns(jobs, new).collect()} == {("a", None, 2.0), ("b", 3.0, 4.0)}
+
+
+def test_validate_query_reads_whole_texts(spark, tmp_path):
+    from lectern.plans import queries
+
+    texts = ["x" * 200 + " " * 10 + "y", " " * 20 + "short", "x" * 200 + " " * 20, "x" * 201, "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["ok"] for r in queries.validate_query(spark, str(tmp_path)).collect()}
+    assert got == {0: False, 1: True, 2: True, 3: False, 4: False, 5: None}
