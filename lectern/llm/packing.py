@@ -47,8 +47,8 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, size: int = 4096, id_col:
 def patterns(histogram: dict[int, int], size: int) -> list[tuple[int, list[tuple[int, int]]]]:
     """Shortest-pack-first: [(how many sequences, [(length, times), ...]), ...], with every piece of the histogram placed.
 
-    Bins go longest first. The open pattern with most room takes as many pieces of a length as fit; when fewer pieces
-    are left than its sequences could take, the pattern is split.
+    Bins go longest first. The open pattern with most room takes one piece of a length in each of its sequences; when fewer
+    pieces are left than it has sequences, the pattern is split. When none has room, new sequences are filled with this length.
     """
     room: list[tuple[int, int, int, tuple]] = []  # (-room, serial, count, contents)
     done, serial = [], 0
@@ -57,20 +57,20 @@ def patterns(histogram: dict[int, int], size: int) -> list[tuple[int, list[tuple
         back = []
         while left:
             if room and -room[0][0] >= length:
-                free, _, count, inside = heapq.heappop(room)
-            else:
-                free, count, inside = -size, left, ()
-            each = min(-free // length, 1)
+                (free, _, count, inside), each = heapq.heappop(room), 1
+            else:  # nothing has room: new sequences take as many pieces of this length as they hold
+                each = min(size // length, left)
+                free, count, inside = -size, left // each, ()
             used = min(count, left)
             if used < count:
                 back.append((free, serial, count - used, inside))
                 serial += 1
             left -= used * each
-            times = inside[-1][1] + 1 if inside and inside[-1][0] == length else 1
-            inside = (*inside[: len(inside) - (times > 1)], (length, times))
-            item = (free + length, serial, used, inside)
+            again = bool(inside) and inside[-1][0] == length
+            inside = (*inside[:-1], (length, inside[-1][1] + each)) if again else (*inside, (length, each))
+            item = (free + length * each, serial, used, inside)
             serial += 1
-            if free + length:
+            if item[0]:
                 heapq.heappush(room, item)
             else:
                 done.append(item)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lectern.llm import byte_bpe, common, exact_dedup, lang_id, packing, passages, repeats, simhash, simple8b, topk, toxicity
+from lectern.llm import byte_bpe, common, exact_dedup, lang_id, packing, passages, repeats, simhash, simple8b, topk, toxicity, word_tokens
 
 WORD = public_tokenizers.path("word_bpe_49k.json")
 BYTES = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -166,6 +166,38 @@ def test_packing(docs, empty):
     assert packing.pack_documents(empty, WORD, 2).count() == 0
 
 
+@pytest.mark.parametrize("histogram", [{100: 1000}, {10: 100_000}, {3000: 10, 50: 2000}, {4096: 3, 1: 5}, {2049: 7, 2047: 9, 3: 1}, {}])
+def test_patterns_hold_every_piece_with_little_padding(histogram):
+    found = packing.patterns(histogram, 4096)
+    placed: dict[int, int] = {}
+    for count, inside in found:
+        assert count > 0 and sum(n * t for n, t in inside) <= 4096
+        for n, t in inside:
+            placed[n] = placed.get(n, 0) + count * t
+    assert placed == histogram
+    total = sum(n * t for n, t in histogram.items())
+    assert sum(c for c, _ in found) <= 1.05 * total / 4096 + 4
+
+
+def test_packing_pieces(docs):
+    """start, ids_crc32 and doc_tokens of every piece, against the library."""
+    t = Tokenizer.from_file(WORD)
+    want = []
+    for i, x in ROWS:
+        ids = np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], "<u4")
+        want += [(i, a, min(256, len(ids) - a), zlib.crc32(ids[a : a + 256].tobytes()), len(ids)) for a in range(0, len(ids), 256)]
+    got = packing.pack_documents(docs, WORD, 2, size=256).select("doc_id", "start", "length", "ids_crc32", "doc_tokens").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_words_are_those_of_the_library():
+    """Apostrophes, punctuation, digits and letters in any order are cut as the library cuts them."""
+    r, t = np.random.default_rng(2), Tokenizer.from_file(WORD)
+    texts = ["".join(r.choice(list("ab'stremvld  .,!_19\nÉß×İ"), r.integers(0, 30))) for _ in range(3000)]
+    got = word_tokens.WordTokens(WORD, remembered=50).encode_many(texts)
+    assert all(x.tolist() == t.encode(y, add_special_tokens=False).ids for x, y in zip(got, texts, strict=True))
+
+
 def test_byte_bpe(docs, empty):
     ranks = byte_bpe.load_ranks(BYTES)
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
