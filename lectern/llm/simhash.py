@@ -72,7 +72,7 @@ def fingerprint_many(texts: list[bytes | None], shingle: int = 3, seed: int = 42
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
     """(id, fp): the fingerprint as a signed long."""
-    common.bound_batches(docs.sparkSession, 1024)
+    common.bound_batches(docs.sparkSession)
 
     def mark(batches):
         for batch in batches:
@@ -250,7 +250,7 @@ def links(distinct: DataFrame, distance: int = 3, busiest: bool = False) -> Data
         rest.append(F.when(F.col("band") == i, F.array(*[F.xxhash64(F.lit(j), F.col("node"), v) for j, (v, _) in enumerate(sub)])))
     whole = F.array(F.xxhash64("node"))
     placed = placed.select("fp", F.explode(F.when(F.col("full"), F.coalesce(*rest)).otherwise(whole)).alias("node"))
-    common.bound_batches(distinct.sparkSession, 16384)
+    common.bound_batches(distinct.sparkSession)
     return placed.repartition("node").sortWithinPartitions("node").select("node", "fp").mapInArrow(_link_nodes(distance, busiest), "a long, b long")
 
 
@@ -267,6 +267,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: Fingerprints of a text's set of words, and the differing bits at which two of them make a candidate.
 _SET_SEEDS, _SET_DISTANCE = 12, 4
+#: Buckets of the counts that refute candidates before their texts are fetched.
+BUCKETS = 256
+#: Texts on a shingle that are paired without a look at what they can share at all: so few pairs a text are bounded.
+SHORT_LIST = 16
 #: Frequent shingles that go last in the order of prefixes.
 COMMON = 100_000
 
@@ -369,17 +373,42 @@ def shingle_codes(text: bytes, shingle: int) -> np.ndarray:
 
 
 def _set_digests(texts: DataFrame, shingle: int) -> DataFrame:
-    """(row, digest) of texts (row, body): 128 bits of each set of shingles."""
+    """(row, digest, size, sketch) of texts (row, body): 128 bits of each set of shingles, its size, and how many of its
+    codes fall into each of BUCKETS buckets (null for sets too large to count so)."""
 
     def mark(batches):
         import xxhash
 
         common.claim("near", _HASHES)
         for batch in batches:
-            digests = [xxhash.xxh3_128_digest(shingle_codes(t, shingle).tobytes()) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary())], names=["row", "digest"])
+            out = []
+            for t in batch.column(1).to_pylist():
+                codes = shingle_codes(t, shingle)
+                counts = np.bincount((codes % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+                out.append((xxhash.xxh3_128_digest(codes.tobytes()), len(codes), counts.astype("<u2").tobytes() if counts.max() < 1 << 16 else None))
+            columns = zip(*out, strict=True) if out else [[]] * 3
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int32(), pa.binary()), strict=True))], names=["row", "digest", "size", "sketch"])
+
+    return texts.mapInArrow(mark, "row long, digest binary, size int, sketch binary")
 
-    return texts.mapInArrow(mark, "row long, digest binary")
+
+def _possible(edges: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """Those of edges (a, b) that can be this similar: the sums of the lesser counts of each bucket bound what sets share from above."""
+
+    def keep(batches):
+        for batch in batches:
+            a, b, x, y, left, right = (batch.column(i) for i in range(6))
+            counts = [np.frombuffer(b"".join(c.to_pylist()), "<u2").reshape(-1, BUCKETS) for c in (left, right)]
+            shared = np.minimum(*counts).sum(1, dtype=np.int64) if len(batch) else np.zeros(0, np.int64)
+            sizes = x.to_numpy(zero_copy_only=False).astype(np.int64) + y.to_numpy(zero_copy_only=False)
+            fine = pa.array(shared >= similarity / (1 + similarity) * sizes - 1e-6)
+            yield pa.RecordBatch.from_arrays([a.filter(fine), b.filter(fine)], names=["a", "b"])
+
+    x, y = (sketches.select(F.col("row").alias(c), F.col("size").alias(f"size_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
+    both = edges.select("a", "b").join(x, "a").join(y, "b").where(F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-6)
+    counted = F.col("sketch_a").isNotNull() & F.col("sketch_b").isNotNull()
+    sure = both.where(counted).select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(keep, "a long, b long")
+    return sure.unionByName(both.where(~counted).select("a", "b"))
 
 
 def _common_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -409,6 +438,19 @@ def shingle_prefix(codes: np.ndarray, similarity: float, often: tuple[np.ndarray
     return codes[np.lexsort((codes, rank))[: len(codes) - need + 1]]
 
 
+def _every_shingle(texts: DataFrame, shingle: int) -> DataFrame:
+    """(row, h) of texts (row, body): each code of a text's set of shingles."""
+
+    def emit(batches):
+        common.claim("near", _HASHES)
+        for batch in batches:
+            for row, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                codes = shingle_codes(t, shingle).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), row)), pa.array(codes)], names=["row", "h"])
+
+    return texts.mapInArrow(emit, "row long, h long")
+
+
 def _prefix_pairs(texts: DataFrame, classes: DataFrame, doubles: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Pairs (a, b) of rows in different classes that can be this similar: all that are, and few others.
 
@@ -434,15 +476,30 @@ def _prefix_pairs(texts: DataFrame, classes: DataFrame, doubles: DataFrame, shin
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "row", "size"])
                     held, size = [], 0
 
-    found = texts.mapInArrow(emit, "h long, row long, size int")
+    found = common.stash(texts.mapInArrow(emit, "h long, row long, size int"), "prefixes")
     twice = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     again = found.join(twice, "h").join(doubles, "row", "left_anti").join(classes.select(F.col("node").alias("row"), "root"), "row", "left")
     again = common.stash(again.select("h", "row", "size", F.coalesce("root", "row").alias("class")), "prefixes")
+    common.discard(found)
     mixed = again.groupBy("h").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("h")
     kept = common.stash(again.join(mixed, "h"), "prefixes")
-    x, y = (kept.select("h", *[F.col(c).alias(f"{c}_{side}") for c in ("row", "size", "class")]) for side in "ab")
+    # whatever two texts of long lists share occurs twice among such texts, which bounds what a text can share and so the size of its partner
+    long_ = kept.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHORT_LIST).select("h", F.lit(True).alias("long"))
+    kept = common.stash(kept.join(long_, "h", "left"), "prefixes")
+    every = common.stash(_every_shingle(texts.join(kept.where("long").select("row").distinct(), "row", "left_semi"), shingle), "shingles")
+    shared = every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    shared = every.join(shared, "h", "left_semi").groupBy("row").agg(F.count(F.lit(1)).alias("shared"))
+    largest = F.floor(F.col("shared") * ((1 + similarity) / similarity) + 1e-6) - F.col("size")
+    bounded = kept.where("long").join(shared, "row").withColumn("largest", largest).where(F.col("largest") >= F.ceil(similarity * F.col("size") - 1e-6))
+    columns = ("h", "row", "size", "class", "largest")
+    kept = kept.where("long is null").withColumn("largest", F.lit(1 << 62)).select(*columns).unionByName(bounded.select(*columns))
+    for _ in range(2):  # texts that no other class's text on the same shingle is small or open enough for
+        reach = kept.groupBy("h").agg(F.min("size").alias("least"), F.max("largest").alias("most"), F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
+        kept = kept.join(reach, "h").where("size <= most and largest >= least").select(*columns)
+        kept = common.stash(kept, "prefixes")
+    x, y = (kept.select("h", *[F.col(c).alias(f"{c}_{side}") for c in ("row", "size", "class", "largest")]) for side in "ab")
     low, high = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
-    pairs = x.join(y, "h").where((F.col("row_a") < F.col("row_b")) & (F.col("class_a") != F.col("class_b")) & (low >= similarity * high - 1e-6))
+    pairs = x.join(y, "h").where((F.col("row_a") < F.col("row_b")) & (F.col("class_a") != F.col("class_b")) & (low >= similarity * high - 1e-6) & (F.col("size_a") <= F.col("largest_b")) & (F.col("size_b") <= F.col("largest_a")))
     pairs = pairs.groupBy(F.col("row_a").alias("a"), F.col("row_b").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.first(low).alias("low"), F.first(high).alias("high"))
     need = similarity / (1 + similarity) * (F.col("low") + F.col("high")) - 1e-6
     return pairs.where(F.col("shared") + F.ceil(similarity * F.col("high") - 1e-9) - 1 >= need).select("a", "b")
@@ -452,45 +509,37 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """One row per input row: id_col, component_id, over links of `similarity` or more between sets of `shingle`-word shingles.
 
     Texts with one set of shingles are settled by 128 bits of it. Then candidates are pairs whose word-set fingerprints
-    differ in `distance` bits or fewer under one of the seeds, found through the index; they are verified on whole texts,
-    first one a text, then all those whose ends the first ones left in different classes (a link inside a class changes
-    nothing). The index only finds classes cheaply. Whatever it leaves in different classes meets in an exact join on the prefixes of
-    the sets of shingles, which loses no pair of this similarity.
+    differ in `distance` bits or fewer under one of the seeds, found through the index. Counts of shingles by bucket refute
+    most of those that aren't alike; the others are verified on whole texts. The index only finds classes cheaply.
+    Whatever it leaves in different classes meets in an exact join on the prefixes of the sets of shingles, which loses no
+    pair of this similarity.
     Wordless texts are alike. Rows with null ids keep to themselves only if no id is in their class.
     """
-    common.bound_batches(docs.sparkSession, 1024)
+    common.bound_batches(docs.sparkSession)
     body = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), body.alias("body"))
     rows = common.stash(rows, "numbered")  # row numbers are those of this table in every job
     digests = common.stash(_set_digests(rows.select("row", "body"), shingle), "set-digests")
     sets = digests.groupBy("digest").agg(F.min("row").alias("rep"))
-    equal = common.stash(digests.join(sets, "digest").where("row <> rep").select(F.col("rep").alias("a"), F.col("row").alias("b")), "equal")
+    equal = common.stash(digests.select("row", "digest").join(sets, "digest").where("row <> rep").select(F.col("rep").alias("a"), F.col("row").alias("b")), "equal")
     marked = common.stash(set_fingerprints(rows.select("row", "body"), seeds), "set-fingerprints")
     codes = common.stash(marked.groupBy("seed", "fp").agg(F.min("row").alias("rep")), "codes")
     same = marked.join(codes, ["seed", "fp"]).where("row <> rep").select(F.col("rep").alias("a"), F.col("row").alias("b"))
     near = links(codes.select("fp", "seed"), distance, busiest=True)
     near = near.join(codes.select(F.col("fp").alias("a"), "seed", F.col("rep").alias("x")), "a").join(codes.select(F.col("fp").alias("b"), "seed", F.col("rep").alias("y")), ["b", "seed"])
     near = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b")
-    edges = common.stash(same.unionByName(near).groupBy("a", "b").agg(F.count(F.lit(1)).alias("votes")), "edges")
-    ends = edges.select(F.col("a").alias("row"), F.col("b").alias("other"), "votes").union(edges.select("b", "a", "votes"))
-    best = ends.groupBy("row").agg(F.max(F.struct("votes", (-F.col("other")).alias("less"))).alias("best")).select("row", (-F.col("best.less")).alias("other"))
-    first = common.stash(best.select(F.least("row", "other").alias("a"), F.greatest("row", "other").alias("b")).distinct(), "first-edges")
-    # one link a text first, to the neighbour found most often; then only links between different classes can add anything
-    texts = rows.select("row", "body")
-    alike = common.stash(_similar(texts, first, shingle, similarity), "alike")
-    alike = alike.unionByName(equal)
-    at = common.stash(components(alike), "classes")
-    root_a, root_b = (at.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in ("a", "b"))
-    rest = edges.join(first, ["a", "b"], "left_anti").join(root_a, "a", "left").join(root_b, "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
-    rest = common.stash(rest.select("a", "b"), "edges")
-    ends = rest.select(F.col("a").alias("row")).union(rest.select(F.col("b").alias("row"))).distinct()
-    more = common.stash(_similar(texts.join(ends, "row", "left_semi"), rest, shingle, similarity), "alike")
-    alike = alike.unionByName(more)
+    edges = common.stash(same.unionByName(near).select("a", "b").distinct(), "edges")
+    texts, sketches = rows.select("row", "body"), digests.select("row", "size", "sketch")
+
+    def verified(pairs):
+        possible = common.stash(_possible(pairs, sketches, similarity), "possible")
+        ends = possible.select(F.col("a").alias("row")).union(possible.select(F.col("b").alias("row"))).distinct()
+        return common.stash(_similar(texts.join(ends, "row", "left_semi"), possible, shingle, similarity), "alike")
+
+    alike = verified(edges).unionByName(equal)
     at = common.stash(components(alike), "classes")
     pairs = _prefix_pairs(texts, at, equal.select(F.col("b").alias("row")), shingle, similarity)
-    pairs = common.stash(pairs.join(edges, ["a", "b"], "left_anti"), "prefix-pairs")
-    ends = pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct()
-    alike = alike.unionByName(common.stash(_similar(texts.join(ends, "row", "left_semi"), pairs, shingle, similarity), "alike"))
+    alike = alike.unionByName(verified(pairs.join(edges, ["a", "b"], "left_anti")))
     roots = components(alike)
     keyed = rows.select("row", "id").join(roots, F.col("row") == F.col("node"), "left").select("id", F.coalesce("root", "row").alias("root"))
     named = keyed.groupBy("root").agg(F.min("id").alias("component_id"))
