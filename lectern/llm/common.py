@@ -42,6 +42,21 @@ def discard(*stashed: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: At most so many keys of a join are hot: those with more than one in so many of its rows.
+HOT_KEYS = 1024
+
+
+def join_counted(rows: DataFrame, keys: DataFrame, on: list[str], total: int) -> DataFrame:
+    """rows (a stored table of `total` rows) joined to keys (unique in `on`, n: their rows) on these columns; n is dropped.
+
+    Keys with more than one in HOT_KEYS of all rows, so HOT_KEYS of them at most, are broadcast, and their rows stay in place;
+    all others meet in a shuffle join.
+    """
+    hot = keys.where(F.col("n") > total / HOT_KEYS).drop("n")
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(keys.where(F.col("n") <= total / HOT_KEYS).drop("n"), on)
+    return rows.join(F.broadcast(hot), on).unionByName(rest)
+
+
 def fresh(name: str, columns: list[str]) -> str:
     """name, or name with underscores before it until no column is called so (as Spark compares names)."""
     taken = {c.lower() for c in columns}

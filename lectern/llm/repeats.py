@@ -6,8 +6,8 @@ that share an anchor string form a part of the suffix array of their own, which
 
 1. Each task hashes every anchor string and its whole reach (the bytes of all `length`-byte strings that have it as
    anchor). Anchors whose string occurs once drop out.
-2. Occurrences with one and the same reach are repeats over all of it; they are settled, and one of them stands for
-   all from here on. This is the combining step for groups of copies.
+2. Occurrences with one and the same reach (64 bits of its bytes beside the 64 of its anchor string) are repeats over all
+   of it; they are settled, and one of them stands for all from here on. This is the combining step for groups of copies.
 3. The others bring the bytes of their reach. Within a part Spark sorts suffixes by the bytes from the anchor on;
    neighbours' common prefixes are computed, and a stack scan walks the tree of common-prefix intervals. In each interval
    the bytes to the left, sorted from the anchor backwards, tell how far each occurrence extends to the left in common
@@ -29,6 +29,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,8 +37,8 @@ from pyspark.sql import functions as F
 from . import common
 
 GRAM = 32
-#: Suffixes of one part that go to a task together.
-PART = 1024
+#: A part with more suffixes is divided; so small that frequent strings pass it at any size of the table.
+PART = 64
 #: Bytes that a task hashes together.
 CHUNK = 1 << 20
 _RNG = np.random.default_rng(20240517)
@@ -113,9 +114,10 @@ class Anchors:
             highs.append(np.minimum(p + self.length, s + len(text)))
             # a chunk's own ends are the text's ends, or lie beyond the reach of its anchors
         p, lo, hi = np.concatenate(place), np.concatenate(lows), np.concatenate(highs)
-        reach = (sums[hi] - sums[lo]) * self.down[lo] + (p - lo).astype(np.uint64) * _BASE + (hi - p).astype(np.uint64)
+        whole = memoryview(raw)
+        reach = np.array([xxhash.xxh3_64_intdigest(whole[x:y], y - z) for x, y, z in zip(lo.tolist(), hi.tolist(), p.tolist(), strict=True)], np.uint64)
         origin = np.repeat(np.array([x[2] for x in held]) - starts[:-1], [len(x) for x in place])
-        return np.concatenate(number), p + origin, h[p], _finish(reach, 1)
+        return np.concatenate(number), p + origin, h[p], reach
 
 
 def _batch(columns, names):
@@ -308,13 +310,14 @@ def _contexts(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
 def spans(rows: DataFrame, length: int) -> DataFrame:
     """(row, low, high), perhaps overlapping: bytes of strings of `length` bytes that start at two places or more."""
-    found = _anchors(rows, length)
-    twice = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    again = common.stash(found.join(twice, "h"), "anchors")
+    found = common.stash(_anchors(rows, length), "anchors")
+    twice = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = common.stash(common.join_counted(found, twice, ["h"], found.count()), "anchors")
+    common.discard(found)
     # counts of each reach, and for each anchor string the number of different reaches: both pre-aggregated
     reaches = common.stash(again.groupBy("h", "reach").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "pos")).alias("one")), "reaches")
     many = reaches.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    settled = again.join(reaches.where("n > 1").select("h", "reach"), ["h", "reach"]).select("row", "pos")
+    settled = common.join_counted(again, reaches.where("n > 1").select("h", "reach", "n"), ["h", "reach"], again.count()).select("row", "pos")
     settled = settled.select("row", (F.col("pos") - (length - GRAM)).alias("low"), (F.col("pos") + length).alias("high"))
     wanted = reaches.join(many, "h").select("one.row", "one.pos", "h", (F.col("n") == 1).alias("single"), (F.col("kinds") > PART).alias("hot"))
     contexts = common.stash(_contexts(rows, wanted.drop("hot"), length), "contexts", "lz4")
