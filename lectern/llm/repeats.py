@@ -268,11 +268,13 @@ def _divide(hot: DataFrame, length: int) -> DataFrame:
         settled = pieces.join(classes.where("n > 1").select("core", "whole"), ["core", "whole"])
         far = F.least(F.col("low") + (width - 1), F.lit(reach))
         settled = settled.select("row", (F.col("pos") - far).alias("low"), (F.col("pos") - F.col("low") + length).alias("high"))
+        settled = common.stash(settled.groupBy("row", "low").agg(F.max("high").alias("high")), "settled")
         out = settled if out is None else out.unionByName(settled)
         # one of each class goes on, settled ones too: others may share a part with it
         several = classes.groupBy("core").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("core")
         on = classes.join(several, "core").groupBy("one.row", "one.pos").agg(F.collect_list("one.low").alias("lows"))
-        texts = hot.join(on, ["row", "pos"])
+        texts = hot.join(common.stash(on, "divided"), ["row", "pos"])
+        common.discard(pieces)
         outer = width
     return out
 
@@ -320,7 +322,7 @@ def spans(rows: DataFrame, length: int) -> DataFrame:
     settled = common.join_counted(again, reaches.where("n > 1").select("h", "reach", "n"), ["h", "reach"], again.count()).select("row", "pos")
     settled = settled.select("row", (F.col("pos") - (length - GRAM)).alias("low"), (F.col("pos") + length).alias("high"))
     wanted = reaches.join(many, "h").select("one.row", "one.pos", "h", (F.col("n") == 1).alias("single"), (F.col("kinds") > PART).alias("hot"))
-    contexts = common.stash(_contexts(rows, wanted.drop("hot"), length), "contexts", "lz4")
+    contexts = common.stash(_contexts(rows, wanted.drop("hot"), length), "contexts")
     hot = many.where(F.col("kinds") > PART).select("h", F.lit(True).alias("hot"))
     placed = contexts.join(hot, "h", "left")
     large = placed.where("hot")
