@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,3 +45,45 @@ def fit_to_page(w: Column, h: Column, page_w: float = 842.0, page_h: float = 595
     """x, y, width and height of an image scaled evenly to a page inside its margin and centred."""
     scale = F.least(F.lit(page_w - 2 * margin) / w, F.lit(page_h - 2 * margin) / h)
     return [(F.lit(page_w) - w * scale) / 2, (F.lit(page_h) - h * scale) / 2, w * scale, h * scale]
+
+
+def fold(c: Column) -> Column:
+    """Lower case, and Latin letters without their marks."""
+    plain = {ch: unicodedata.normalize("NFD", ch)[0] for ch in map(chr, range(0xC0, 0x250)) if unicodedata.decomposition(ch) and not unicodedata.decomposition(ch).startswith("<")}
+    return F.translate(F.lower(c), "".join(plain), "".join(plain.values()))
+
+
+#: Names that stand for devices.
+DEVICES = ("CON", "PRN", "AUX", "NUL", *(f"COM{i}" for i in range(1, 10)), *(f"LPT{i}" for i in range(1, 10)))
+
+
+def storage_filename(name: Column, fallback: str = "lecture", most: int = 180) -> Column:
+    """A title as a file name: letters of any script stay; unseen and control characters go; others that a file system
+    refuses become underscores. Titles are taken to be in composed form."""
+    from .validation import UNSEEN
+
+    c = F.regexp_replace(F.coalesce(name, F.lit("")), f"[{UNSEEN}]", "")
+    c = F.regexp_replace(F.regexp_replace(c, r'[<>:"/\\|?*]', "_"), r"[\x00-\x1f]", "")
+    c = F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    c = F.rtrim(F.when(c.isin(".", ".."), fallback).otherwise(c), F.lit(" ."))
+    c = F.when(c == "", fallback).otherwise(c)
+    stem = F.upper(F.regexp_replace(c, r"(?<=.)\.[^.]+$", ""))
+    c = F.when(stem.isin(*DEVICES), F.concat(F.lit("_"), c)).otherwise(c)
+    return F.when(F.length(c) > most, F.rtrim(F.substring(c, 1, most), F.lit(" ."))).otherwise(c)
+
+
+def image_url(job: Column, path: Column) -> Column:
+    return F.concat(F.lit("/jobs/"), job, F.lit("/slides/"), F.replace(F.url_encode(basename(path)), F.lit("+"), F.lit("%20")))
+
+
+def ratio(c: Column) -> Column:
+    return F.when(c.isNull(), "—").otherwise(F.concat(F.format_string("%.2f", c), F.lit("×")))
+
+
+def preview(c: Column, most: int = 180) -> Column:
+    return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit("..."))).otherwise(c)
+
+
+def midpoint(start: Column, end: Column) -> Column:
+    """The middle of a word; one that ends before it starts raises."""
+    return F.when(end < start, F.raise_error(F.lit("a word ends before it starts"))).otherwise(start + (end - start) / 2)

@@ -6,7 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Hosts of lecture pages.
-HOSTS = ("youtube.com", "www.youtube.com", "m.youtube.com", "music.youtube.com", "youtu.be")
+HOSTS = ("youtube.com", "www.youtube.com", "m.youtube.com", "youtu.be", "www.youtu.be")
+SHORT_HOSTS = ("youtu.be", "www.youtu.be")
+#: Characters that are not seen, or turn the order of those that are.
+UNSEEN = "\u061c\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\ufeff"
 VIDEO_TYPES = (".mp4", ".webm", ".mov", ".mkv")
 
 
@@ -22,13 +25,17 @@ def is_video_name(c: Column) -> Column:
     return F.lower(F.regexp_extract(c, r"(\.[^.\\/]*)$", 1)).isin(*VIDEO_TYPES)
 
 
-def url_fault(c: Column) -> Column:
+def _host(c: Column) -> Column:
+    return F.coalesce(F.lower(F.try_parse_url(c, F.lit("HOST"))), F.lit(""))
+
+
+def url_fault(c: Column, host: Column | None = None) -> Column:
     """Why a lecture URL is refused; null if it isn't."""
     part = lambda name: F.try_parse_url(c, F.lit(name))
     authority = F.coalesce(part("AUTHORITY"), F.lit(""))
     return (
         F.when(F.coalesce(F.lower(part("PROTOCOL")), F.lit("")) != "https", "scheme")
-        .when(~F.coalesce(F.lower(part("HOST")), F.lit("")).isin(*HOSTS), "host")
+        .when(~(_host(c) if host is None else host).isin(*HOSTS), "host")
         .when(authority.contains("@"), "userinfo")
         .when(F.regexp_replace(authority, "^.*@", "").rlike(r":[^:]+$"), "port")
         .when(F.coalesce(part("PATH"), F.lit("")) == "", "path")
@@ -36,10 +43,39 @@ def url_fault(c: Column) -> Column:
 
 
 def url_fault_strict(c: Column) -> Column:
-    """As url_fault, and the path must name one video."""
-    host, path = F.lower(F.try_parse_url(c, F.lit("HOST"))), F.try_parse_url(c, F.lit("PATH"))
-    one = F.when(host == "youtu.be", path != "/").otherwise(path.startswith("/watch") | path.startswith("/shorts/") | path.startswith("/embed/"))
-    return F.coalesce(url_fault(c), F.when(~one, F.lit("video")))
+    """As url_fault, where dots may end the host, and the path must name one video."""
+    host, path = F.rtrim(_host(c), F.lit(".")), F.try_parse_url(c, F.lit("PATH"))
+    one = F.when(host.isin(*SHORT_HOSTS), path != "/").otherwise(path.startswith("/watch") | path.startswith("/shorts/") | path.startswith("/embed/"))
+    return F.coalesce(url_fault(c, host), F.when(~one, F.lit("video")))
+
+
+def fps_ok(c: Column) -> Column:
+    return c.isNotNull() & ~F.isnan(c) & c.between(0.1, 3.0)
+
+
+def size_ok(n: Column) -> Column:
+    """Bytes of an upload: some, and 4 GiB at most."""
+    return (n > 0) & (n <= 4 << 30)
+
+
+def is_slide_name(c: Column) -> Column:
+    return c.rlike(r"(?i)^[A-Z0-9_.-]+\.jpg\z")
+
+
+def is_image_name(c: Column) -> Column:
+    return F.lower(F.regexp_extract(c, r"(\.[^.\\/]*)$", 1)).isin(".jpg", ".jpeg", ".png")
+
+
+def source_fault(url: Column, video: Column) -> Column:
+    """A job has one source: a URL that isn't blank, or a video."""
+    by_url, by_video = F.trim(F.coalesce(url, F.lit(""))) != "", video.isNotNull()
+    return F.when(by_url & by_video, "both").when(~by_url & ~by_video, "none")
+
+
+def unseen_characters(c: Column) -> Column:
+    """The code points (U+XXXX) of characters in UNSEEN, in order."""
+    found = F.regexp_extract_all(c, F.lit(f"[{UNSEEN}]"), F.lit(0))
+    return F.transform(found, lambda x: F.concat(F.lit("U+"), F.lpad(F.hex(F.encode(x, "UTF-16BE")), 4, "0")))
 
 
 def frame_budget_ok(duration: Column, fps: float = 3.0, most: int = 100_000) -> Column:

@@ -62,3 +62,35 @@ def slide_speech(speech: DataFrame) -> DataFrame:
     """Every slide with the texts of its appearances in order, empty ones skipped."""
     said = F.array_sort(F.collect_list(F.when(F.col("speech_text") != "", F.struct("start_frame", "appearance_index", "speech_text"))))
     return speech.groupBy("job_id", "slide_id").agg(F.array_join(F.transform(said, lambda x: x["speech_text"]), " ").alias("speech_text"), F.count(F.lit(1)).alias("n_occurrences"))
+
+
+def word_faults(words: DataFrame) -> DataFrame:
+    """Words that can't be linked, and why: a missing part, or an end before the start."""
+    missing = F.col("word").isNull() | F.col("start_ms").isNull() | F.col("end_ms").isNull()
+    fault = F.when(missing, "missing").when(F.col("end_ms") < F.col("start_ms"), "order")
+    return words.withColumn("fault", fault).where("fault is not null").select("job_id", "segment_id", "word_pos", "fault")
+
+
+def occurrence_faults(occ: DataFrame) -> DataFrame:
+    """Appearances that can't be timed, and why."""
+    fault = F.when(F.col("slide_id").isNull(), "slide").when(F.col("start_frame") < 0, "start").when(F.col("end_frame") < F.col("start_frame"), "order")
+    return occ.withColumn("fault", fault).where("fault is not null").select("job_id", "appearance_index", "fault")
+
+
+def stored_segments(segments: DataFrame) -> DataFrame:
+    """Segments with a text that isn't blank."""
+    return segments.where(F.trim(F.coalesce("text", F.lit(""))) != "")
+
+
+def linked_slides(slides: DataFrame, speech: DataFrame) -> DataFrame:
+    """Every slide, also one without appearances, with its text, its appearances in order and their number."""
+    of = F.array_sort(F.collect_list(F.struct("start_frame", "appearance_index")))
+    shown = speech.groupBy("job_id", "slide_id").agg(F.array_join(F.transform(of, lambda x: x["appearance_index"].cast("string")), ",").alias("shown"))
+    joined = slides.join(shown, ["job_id", "slide_id"], "left").join(slide_speech(speech), ["job_id", "slide_id"], "left")
+    return joined.select("job_id", "slide_id", F.coalesce("speech_text", F.lit("")).alias("speech_text"), F.coalesce("shown", F.lit("")).alias("shown"), F.coalesce("n_occurrences", F.lit(0)).alias("n_occurrences"))
+
+
+def numbered_result(slides: DataFrame) -> DataFrame:
+    """Slides that have a path, with the numbers they had before the others were left out."""
+    number = F.row_number().over(Window.partitionBy("job_id").orderBy("slide_id"))
+    return slides.withColumn("slide_number", number).where("path is not null").select("job_id", "slide_number", "path")

@@ -41,6 +41,28 @@ def candidates(found: DataFrame, gap: int = 3) -> DataFrame:
     return found.groupBy("job_id").agg(kept.alias("kept")).select("job_id", F.explode("kept").alias("frame_index"))
 
 
+def confirmed(frames: DataFrame, scores: DataFrame, found: DataFrame, share: float = 0.45) -> DataFrame:
+    """Candidates whose change persists: of the frames 0 to 2 after one, two or more differ from the frame five before it
+    by `share` of its score."""
+    marks = found.join(scores.select("job_id", "frame_index", "combined"), ["job_id", "frame_index"]).where("frame_index > 0")
+    marks = marks.select("job_id", "frame_index", "combined", F.greatest(F.col("frame_index") - 5, F.lit(0)).alias("before"), F.explode(F.expr("sequence(frame_index, frame_index + 2)")).alias("after"))
+    for at in ("before", "after"):
+        side = frames.select("job_id", F.col("frame_index").alias(at), *[F.col(c).alias(f"{at}_{c}") for c in WEIGHTS])
+        marks = marks.join(side, ["job_id", at])
+    change = sum(F.lit(x) * F.abs(F.col(f"after_{c}") - F.col(f"before_{c}")) for c, x in WEIGHTS.items())
+    kept = marks.where(change >= F.col("combined") * share).groupBy("job_id", "frame_index").agg(F.count(F.lit(1)).alias("n"))
+    return kept.where("n >= 2").select("job_id", "frame_index")
+
+
+def representatives(frames: DataFrame, groups: DataFrame, samples: int = 12) -> DataFrame:
+    """The clearest of some evenly spread frames of each appearance (frames: visibility, sharpness); of equals the first."""
+    n = F.col("frame_count")
+    spread = F.expr(f"transform(sequence(0, {samples - 1}), j -> start_frame + j * (frame_count - 1) DIV {samples - 1})")
+    wanted = groups.withColumn("frame_index", F.explode(F.when(n <= samples, F.expr("sequence(start_frame, end_frame)")).otherwise(spread)))
+    scored = wanted.join(frames, ["job_id", "frame_index"]).withColumn("score", 0.6 * F.col("visibility") + 0.4 * F.log(1.0 + F.col("sharpness")))
+    return scored.groupBy("job_id", "appearance_index").agg(F.max_by("frame_index", F.struct("score", -F.col("frame_index"))).alias("frame_index"))
+
+
 def appearances(frames: DataFrame, boundaries: DataFrame) -> DataFrame:
     """Frames between boundaries, which begin new appearances."""
     marks = boundaries.select("job_id", "frame_index", F.lit(1).alias("mark"))

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import fold
+
 
 def postings(docs: DataFrame) -> DataFrame:
-    """(job_id, doc, term, tf) from docs (job_id, doc, text): lower-cased runs of letters and digits."""
-    terms = F.expr(r"regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+', 0)")
+    """(job_id, doc, term, tf) from docs (job_id, doc, text): lower-cased runs of letters and digits, without marks."""
+    terms = F.regexp_extract_all(fold(F.col("text")), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     return docs.select("job_id", "doc", F.explode(terms).alias("term")).groupBy("job_id", "doc", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -20,9 +22,11 @@ def query_terms(query: str) -> list[str]:
 def bm25(spark: SparkSession, docs: DataFrame, query: str, job_id, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(doc, rank) of the job's documents with any term; lower is better. Statistics span all jobs; a repeated term counts again."""
     terms = query_terms(query)
+    if not terms:  # nothing is asked for, nothing is read
+        return docs.select("doc", F.lit(0.0).alias("rank")).where("false")
     index = postings(docs)
     stats = docs.agg(F.count(F.lit(1)).alias("n_docs")).crossJoin(index.agg(F.sum("tf").alias("n_terms")))  # one row each
-    wanted = spark.createDataFrame([(t, terms.count(t)) for t in dict.fromkeys(terms)], "term string, times int")
+    wanted = spark.createDataFrame([(t, terms.count(t)) for t in dict.fromkeys(terms)], "term string, times int").withColumn("term", fold(F.col("term")))
     hits = index.join(F.broadcast(wanted), "term")  # as many rows as the query has words
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     own = hits.where(F.col("job_id") == F.lit(job_id))
@@ -33,3 +37,9 @@ def bm25(spark: SparkSession, docs: DataFrame, query: str, job_id, k1: float = 1
     gain = F.col("times") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / mean))
     scored = own.join(df, "term").join(length, "doc").crossJoin(F.broadcast(stats))
     return scored.groupBy("doc").agg((-F.sum(gain)).alias("rank"))
+
+
+def corpus_stats(docs: DataFrame) -> DataFrame:
+    """One row: documents, terms, distinct terms and mean length, of all jobs."""
+    index = postings(docs)
+    return docs.agg(F.count(F.lit(1)).alias("n_docs")).crossJoin(index.agg(F.sum("tf").alias("n_terms"), F.countDistinct("term").alias("n_distinct"))).withColumn("mean", F.col("n_terms") / F.col("n_docs"))

@@ -19,3 +19,23 @@ def update_columns(jobs: DataFrame, metrics: DataFrame) -> DataFrame:
     new = metrics.select("job_id", F.lit(True).alias("__new"), *[F.col(c).alias(f"__{c}") for c in known])
     joined = jobs.join(new, "job_id", "left")
     return joined.select(*[F.when(F.col("__new"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in known else F.col(c) for c in jobs.columns])
+
+
+def upsert_jobs(jobs: DataFrame, new: DataFrame) -> DataFrame:
+    """Rows of new in place of those of the same job; their columns that new doesn't have are null."""
+    return jobs.join(new.select("job_id"), "job_id", "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def survivors(rows: DataFrame, deleted: DataFrame) -> DataFrame:
+    """Rows of jobs that aren't deleted."""
+    return rows.join(deleted.select("job_id").distinct(), "job_id", "left_anti")
+
+
+def add_columns(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """rows with these columns (name: type); those that they lack are null."""
+    return rows.withColumns({c: F.lit(None).cast(t) for c, t in columns.items() if c not in rows.columns})
+
+
+def derived_metrics(metrics: DataFrame) -> DataFrame:
+    """processing_ratio: total seconds by the lecture's, to four places; null where that isn't known or isn't positive."""
+    return metrics.withColumn("processing_ratio", F.when(F.col("duration") > 0, F.round(F.col("total") / F.col("duration"), 4)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .queries import URLS
+
 _WORDS = r"""
 w0 AS (SELECT conv_id AS job_id, turn AS segment_id, string_split_regex(trim(text, E' \n'), '\s+') AS ws FROM conversations),
 w1 AS (SELECT job_id, segment_id, unnest(range(len(ws))) AS word_pos, unnest(ws) AS word FROM w0),
@@ -50,7 +52,7 @@ cand AS (SELECT job_id, frame_index FROM fold WHERE kept)
 def _bm25(corpus: str, job: str, terms: list[str]) -> str:
     values = ", ".join(f"('{t}', {terms.count(t)})" for t in dict.fromkeys(terms))
     return f"""
-post AS (SELECT job_id, doc, term, count(*) AS tf FROM (SELECT job_id, doc, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS term FROM {corpus}) GROUP BY ALL),
+post AS (SELECT job_id, doc, term, count(*) AS tf FROM (SELECT job_id, doc, unnest(regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}]+')) AS term FROM {corpus}) GROUP BY ALL),
 q(term, times) AS (VALUES {values}),
 st AS (SELECT (SELECT count(*) FROM {corpus}) AS n, (SELECT sum(tf) FROM post) AS total),
 df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
@@ -61,6 +63,32 @@ hit AS (SELECT doc, -sum(times * CASE WHEN ln((n - df + 5e-1) / (df + 5e-1)) <=
 """
 
 
+_JOB = "(SELECT min(conv_id) FROM conversations WHERE text LIKE '% the %')"
+_CONFIRMED = """
+, conf AS (SELECT c.job_id, c.frame_index FROM cand c JOIN sc USING (job_id, frame_index) JOIN f r ON r.job_id = c.job_id AND r.frame_index = greatest(0, c.frame_index - 5)
+  JOIN f x ON x.job_id = c.job_id AND x.frame_index BETWEEN c.frame_index AND c.frame_index + 2
+  WHERE 3e-1 * abs(x.p - r.p) + 25e-2 * abs(x.e - r.e) + 15e-2 * abs(x.h - r.h) + 3e-1 * abs(x.s - r.s) >= sc.combined * 45e-2 GROUP BY ALL HAVING count(*) >= 2),
+grp AS (SELECT s.job_id, s.frame_index, sum(CASE WHEN c.job_id IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY s.job_id ORDER BY s.frame_index) AS appearance_index FROM sc s LEFT JOIN conf c USING (job_id, frame_index)),
+app AS (SELECT job_id, CAST(appearance_index AS BIGINT) AS appearance_index, min(frame_index) AS start_frame, max(frame_index) AS end_frame, count(*) AS frame_count FROM grp GROUP BY job_id, appearance_index)
+"""
+_UNIQUE = """
+b AS (SELECT vec_id AS i, vec_id % 3 AS job_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS s FROM embeddings),
+pr AS (SELECT y.job_id, x.i AS a, y.i AS b FROM b x JOIN b y ON x.i < y.i AND x.job_id = y.job_id WHERE list_sum(list_transform(list_zip(x.s, y.s), lambda z: CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END)) <= 19),
+it AS (SELECT b.job_id, b.i, row_number() OVER (PARTITION BY b.job_id ORDER BY b.i) AS n, coalesce(m.m, []) AS m FROM b LEFT JOIN (SELECT job_id, b AS i, list(a ORDER BY a) AS m FROM pr GROUP BY ALL) m USING (job_id, i)),
+fold AS (SELECT DISTINCT job_id, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS reps FROM it
+  UNION ALL SELECT f.job_id, x.n, CASE WHEN list_has_any(f.reps, x.m) THEN f.reps ELSE list_append(f.reps, x.i) END FROM fold f JOIN it x ON x.job_id = f.job_id AND x.n = f.n + 1),
+fin AS (SELECT job_id, arg_max(reps, n) AS reps FROM fold GROUP BY job_id),
+uq AS (SELECT it.job_id, it.i, CAST(list_position(reps, coalesce(list_min(list_intersect(reps, m)), it.i)) AS BIGINT) AS slide_id FROM it JOIN fin USING (job_id))
+"""
+_URL = "u0 AS (SELECT page_id, url FROM pages UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({-1 - i}, '{u}')" for i, u in enumerate(URLS)) + r")), u AS (SELECT page_id, lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) AS scheme, regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1) AS authority, regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) AS path FROM u0), v AS (SELECT *, lower(regexp_extract(authority, '^(?:[^@]*@)?([^:]*)', 1)) AS host FROM u)"
+
+
+def _fault(host: str, more: str = "") -> str:
+    return rf"CASE WHEN scheme <> 'https' THEN 'scheme' WHEN {host} NOT IN ('youtube.com', 'www.youtube.com', 'm.youtube.com', 'youtu.be', 'www.youtu.be') THEN 'host' WHEN contains(authority, '@') THEN 'userinfo' WHEN regexp_matches(authority, ':[^:]+$') THEN 'port' WHEN path = '' THEN 'path' {more} END"
+
+
+_NAMES = "nm AS (SELECT p_partkey, p_brand || ['.mp4', '.WEBM', '.avi', '.jpg', '.JPG', '.png', '', '.mkv', '.mov', '.jpeg'][p_partkey % 10 + 1] AS name FROM part)"
+_JOBS = "SELECT c_custkey AS job_id, c_name AS name, c_acctbal AS total FROM customer"
 _DOCS = "dd AS (SELECT lang AS job_id, doc_id AS doc, text FROM documents)"
 _LINK = f"WITH {_WORDS} SELECT job_id, segment_id, word_pos, word, slide_id, appearance_index FROM linked"
 
@@ -74,7 +102,39 @@ ORACLES = {
     "fit_to_page": "SELECT p_partkey, round((842e0 - w * s) / 2, 4) AS x, round((595e0 - h * s) / 2, 4) AS y, round(w * s, 4) AS w, round(h * s, 4) AS h FROM (SELECT p_partkey, p_size * 16e0 AS w, p_retailprice AS h, least(794e0 / (p_size * 16e0), 547e0 / p_retailprice) AS s FROM part)",
     "validate_job_id": "SELECT doc_id, regexp_full_match(CASE WHEN doc_id % 3 = 0 THEN upper(substr(md5(CAST(doc_id AS VARCHAR)), 1, 8)) ELSE substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) END, '[0-9a-f]{8}') AS ok FROM documents",
     "validate_query": "SELECT doc_id, length(trim(substr(text, 1, 210))) BETWEEN 1 AND 200 AS ok FROM documents",
-    "validate_url_api": r"SELECT page_id, CASE WHEN lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) <> 'https' THEN 'scheme' WHEN lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]*)', 1)) NOT IN ('youtube.com', 'www.youtube.com', 'm.youtube.com', 'music.youtube.com', 'youtu.be') THEN 'host' END AS fault FROM pages",
+    "validate_url_api": f"WITH {_URL} SELECT page_id, {_fault('host')} AS fault FROM v",
+    "validate_url_downloader": f"WITH {_URL} SELECT page_id, {_fault("rtrim(host, '.')", "WHEN CASE WHEN rtrim(host, '.') IN ('youtu.be', 'www.youtu.be') THEN path = '/' ELSE NOT (starts_with(path, '/watch') OR starts_with(path, '/shorts/') OR starts_with(path, '/embed/')) END THEN 'video'")} AS fault FROM v",
+    "fps_domain": "SELECT o_orderkey, o_totalprice / 1e5 BETWEEN 1e-1 AND 3e0 AS ok FROM orders",
+    "video_size": "SELECT o_orderkey, n > 0 AND n <= 4294967296 AS ok FROM (SELECT o_orderkey, floor(o_totalprice) * 32768 - 67108864 AS n FROM orders)",
+    "file_names": rf"WITH {_NAMES} SELECT p_partkey, regexp_matches(name, '(?i)[.](mp4|webm|mov|mkv)$') AS video, regexp_matches(name, '(?i)[.](jpg|jpeg|png)$') AS image, regexp_full_match(name, '(?i)[A-Z0-9_.-]+[.]jpg') AS slide FROM nm",
+    "one_source": "SELECT page_id, CASE WHEN page_id % 3 > 0 AND page_id % 2 = 0 THEN 'both' WHEN page_id % 3 = 0 AND page_id % 2 <> 0 THEN 'none' END AS fault FROM pages",
+    "suspicious_unicode": "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'U+200B U+202E U+FEFF' ELSE '' END AS found FROM documents",
+    "storage_filename": r"""WITH a AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'con.' || lang ELSE text || ' . ' END AS c FROM documents),
+b AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(c, '[<>:"/\\|?*]', '_', 'g'), '[\x00-\x1f]', '', 'g'), '\s+', ' ', 'g')) AS c FROM a),
+e AS (SELECT doc_id, rtrim(CASE WHEN c IN ('.', '..') THEN 'lecture' ELSE c END, ' .') AS c FROM b),
+g AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '_' || c WHEN c = '' THEN 'lecture' ELSE c END AS c FROM e)
+SELECT doc_id, CASE WHEN length(c) > 180 THEN rtrim(substr(c, 1, 180), ' .') ELSE c END AS name FROM g""",
+    "image_url": f"WITH {_NAMES} SELECT p_partkey, '/jobs/4c674654/slides/' || url_encode('a b ' || name) AS url FROM nm",
+    "preview": "SELECT doc_id, CASE WHEN length(text) > 180 THEN substr(text, 1, 180) || '...' ELSE text END AS text FROM documents",
+    "ratio": "SELECT o_orderkey, CASE WHEN o_orderkey % 4 > 0 THEN printf('%.2f', floor(floor(o_totalprice) / 128e0 * 100 + 5e-1) / 100) || '×' ELSE '—' END AS shown FROM orders",
+    "corpus_stats": f"WITH {_WORDS}, {_bm25('corpus', '0', ['x'])} SELECT (SELECT count(*) FROM corpus) AS n_docs, CAST(sum(tf) AS BIGINT) AS n_terms, count(DISTINCT term) AS n_distinct, round(sum(tf) / (SELECT count(*) FROM corpus), 6) AS mean FROM post",
+    "search_empty": "SELECT '' AS doc, 0e0 AS rank WHERE false",
+    "confirmed": f"WITH RECURSIVE {_SCORES} {_CAND} {_CONFIRMED} SELECT * FROM conf",
+    "confirmed_appearances": f"WITH RECURSIVE {_SCORES} {_CAND} {_CONFIRMED} SELECT * FROM app",
+    "representative": f"WITH RECURSIVE {_SCORES} {_CAND} {_CONFIRMED}, sm AS (SELECT g.job_id, CAST(g.appearance_index AS BIGINT) AS appearance_index, g.frame_index, row_number() OVER (PARTITION BY g.job_id, g.appearance_index ORDER BY 6e-1 * f.e + 4e-1 * ln(1 + f.p * 1e2) DESC, g.frame_index) AS place FROM grp g JOIN app a USING (job_id, appearance_index) JOIN f USING (job_id, frame_index) WHERE a.frame_count <= 12 OR list_contains(list_transform(range(12), lambda j: a.start_frame + j * (a.frame_count - 1) // 11), g.frame_index)) SELECT job_id, appearance_index, frame_index FROM sm WHERE place = 1",
+    "unique_slides": f"WITH RECURSIVE {_UNIQUE} SELECT * FROM uq",
+    "slide_numbering": f"WITH RECURSIVE {_UNIQUE} SELECT job_id, CAST(row_number() OVER (PARTITION BY job_id ORDER BY min(i)) AS INTEGER) AS slide_number, min(i) AS first_i, count(*) AS n FROM uq GROUP BY job_id, slide_id",
+    "word_faults": f"WITH {_WORDS} SELECT job_id, segment_id, word_pos, CASE WHEN start_ms % 7 = 0 THEN 'missing' ELSE 'order' END AS fault FROM words WHERE start_ms % 7 = 0 OR start_ms % 11 = 0",
+    "occurrence_faults": f"WITH {_WORDS} SELECT job_id, appearance_index, CASE WHEN appearance_index = 0 THEN 'start' ELSE 'order' END AS fault FROM occ WHERE appearance_index = 0 OR appearance_index % 5 = 1",
+    "word_midpoints": f"WITH {_WORDS} SELECT job_id, segment_id, word_pos, start_ms / 1e3 + ((start_ms + 300) / 1e3 - start_ms / 1e3) / 2 AS mid FROM words",
+    "stored_segments": f"WITH {_WORDS} SELECT job_id, count(*) AS n FROM seg WHERE segment_id % 3 <> 0 AND trim(text) <> '' GROUP BY job_id",
+    "linked_slides": f"WITH {_WORDS}, ev AS (SELECT job_id, unnest(range(1, 8)) AS slide_id FROM (SELECT DISTINCT job_id FROM osp)) SELECT ev.job_id, ev.slide_id, coalesce(string_agg(CASE WHEN speech_text <> '' THEN speech_text END, ' ' ORDER BY start_frame, appearance_index), '') AS speech_text, coalesce(string_agg(CAST(appearance_index AS VARCHAR), ',' ORDER BY start_frame, appearance_index), '') AS shown, count(osp.job_id) AS n_occurrences FROM ev LEFT JOIN osp USING (job_id, slide_id) GROUP BY ALL",
+    "numbered_result": f"WITH {_WORDS}, s AS (SELECT DISTINCT job_id, slide_id FROM occ) SELECT job_id, slide_number, path FROM (SELECT job_id, CAST(row_number() OVER (PARTITION BY job_id ORDER BY slide_id) AS INTEGER) AS slide_number, CASE WHEN slide_id % 2 = 1 THEN printf('slide_%03d.jpg', slide_id) END AS path FROM s) WHERE path IS NOT NULL",
+    "upsert_job": f"WITH j AS ({_JOBS}) SELECT job_id, CASE WHEN job_id % 3 = 0 THEN upper(name) ELSE name END AS name, CASE WHEN job_id % 3 <> 0 THEN total END AS total FROM j",
+    "update_metrics": f"WITH j AS ({_JOBS}) SELECT job_id, name, CASE WHEN job_id % 2 <> 0 THEN total WHEN job_id % 4 > 0 THEN total + 1 END AS total FROM j",
+    "survivors_after_delete": f"WITH {_WORDS} SELECT job_id, slide_id, appearance_index FROM occ WHERE job_id % 4 <> 1",
+    "schema_migration": "SELECT c_custkey AS job_id, c_name AS name, CAST(NULL AS DOUBLE) AS download_seconds FROM customer",
+    "derived_metrics": "SELECT job_id, total, duration, CASE WHEN duration > 0 THEN round(total / duration, 4) END AS processing_ratio FROM (SELECT c_custkey AS job_id, c_custkey * 3e0 AS total, CASE WHEN c_custkey % 5 > 0 THEN c_custkey % 5 * 16e0 - 16e0 END AS duration FROM customer)",
     "frame_budget": "SELECT o_orderkey, ceil(o_totalprice * 3e0) <= 100000 AS ok FROM orders",
     "occurrence_times": f"WITH {_WORDS} SELECT job_id, slide_id, appearance_index, round(start_frame / 3e0, 3) AS start_time, round((end_frame + 1) / 3e0, 3) AS end_time FROM occ",
     "timeline_violations": f"WITH {_WORDS}, l AS (SELECT job_id, appearance_index, slide_id, start_frame, CASE WHEN appearance_index % 4 = 0 THEN end_frame + 5 ELSE end_frame END AS end_frame FROM occ), b AS (SELECT *, lag(end_frame) OVER (PARTITION BY job_id ORDER BY start_frame, end_frame, slide_id) AS before FROM l) SELECT job_id, appearance_index, before FROM b WHERE start_frame < before + 1",
@@ -85,7 +145,7 @@ ORACLES = {
     "slide_speech": f"WITH {_WORDS} SELECT job_id, slide_id, coalesce(string_agg(CASE WHEN speech_text <> '' THEN speech_text END, ' ' ORDER BY start_frame, appearance_index), '') AS speech_text, count(*) AS n_occurrences FROM osp GROUP BY ALL",
     "link_summary": f"WITH {_WORDS} SELECT job_id, count(DISTINCT slide_id) AS slide_count, count(*) AS appearance_count FROM occ GROUP BY ALL",
     "postings": f"WITH {_WORDS}, {_bm25('corpus', '0', ['x'])} SELECT * FROM post",
-    "search_bm25": f"WITH {_WORDS}, {_bm25('corpus', '0', ['the', 'of', 'and'])} SELECT doc, text, start_ms, end_ms, slide_id, round(rank, 6) AS rank FROM corpus JOIN hit USING (doc) WHERE job_id = 0 ORDER BY start_ms, doc LIMIT 50",
+    "search_bm25": f"WITH {_WORDS}, {_bm25('corpus', _JOB, ['the', 'of', 'and'])} SELECT doc, text, start_ms, end_ms, slide_id, round(rank, 6) AS rank FROM corpus JOIN hit USING (doc) WHERE job_id = (SELECT min(conv_id) FROM conversations WHERE text LIKE '% the %') ORDER BY start_ms, doc LIMIT 50",
     "search_count": f"WITH {_DOCS}, {_bm25('dd', chr(39) + 'en' + chr(39), ['the', 'in'])} SELECT count(*) AS total FROM hit",
     "search_documents": f"WITH {_DOCS}, {_bm25('dd', chr(39) + 'de' + chr(39), ['the', 'in', 'in'])} SELECT doc, round(rank, 6) AS rank FROM hit",
     "transition_scores": f"WITH {_SCORES} SELECT job_id, frame_index, round(short, 10) AS short, round(medium, 10) AS medium, round(long, 10) AS long, round(combined, 10) AS combined FROM sc",

@@ -88,3 +88,38 @@ def test_validate_query_reads_whole_texts(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["ok"] for r in queries.validate_query(spark, str(tmp_path)).collect()}
     assert got == {0: False, 1: True, 2: True, 3: False, 4: False, 5: None}
+
+
+def test_queries_are_not_empty(spark):
+    """What compares rows has rows to compare."""
+    for name in ("search_bm25", "confirmed", "representative", "unique_slides", "word_faults"):
+        assert queries.queries()[name](spark, SF).count() > 0, name
+    assert queries.search_empty(spark, SF).count() == 0
+    numbers = queries.slide_numbering(spark, SF)
+    assert numbers.agg(F.max("n")).first()[0] > 1  # some slides are met again
+
+
+def test_hosts_and_dots(spark):
+    rows = spark.createDataFrame([("https://www.youtu.be/abc",), ("https://music.youtube.com/watch?v=x",), ("https://youtu.be./abc",)], "u string")
+    api, strict = zip(*rows.select(validation.url_fault(F.col("u")).isNull(), validation.url_fault_strict(F.col("u")).isNull()).collect(), strict=True)
+    assert list(api) == [True, False, False] and list(strict) == [True, False, True]
+
+
+def test_storage_names(spark):
+    names = ["CON.mp4", "x\ty", "a/b:c?.mp4", "..", "", "caf\u00e9\u200b", "a" * 200, " . "]
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(scalars.storage_filename(F.col("n"))).collect()]
+    assert got == ["_CON.mp4", "xy", "a_b_c_.mp4", "lecture", "lecture", "caf\u00e9", "a" * 180, "lecture"]
+
+
+def test_a_candidate_at_the_end_is_not_confirmed(spark):
+    frames = spark.createDataFrame([(1, i, float(i >= 19), 0.0, 0.0, 0.0) for i in range(20)], "job_id long, frame_index long, pixel double, edge double, hist double, struct_ double")
+    scores = scoring.transition_scores(frames)
+    found = spark.createDataFrame([(1, 19)], "job_id long, frame_index long")
+    assert scoring.confirmed(frames, scores, found).count() == 0
+
+
+def test_marks_are_folded(spark):
+    from lectern.operators import search
+
+    docs = spark.createDataFrame([(1, "a", "un caf\u00e9 noir"), (1, "b", "the"), (1, "c", "th\u00e9")], "job_id long, doc string, text string")
+    assert [r["doc"] for r in search.bm25(spark, docs, "cafe", 1).collect()] == ["a"]
