@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: At most so many labelled rows are learnt from, and so many characters of each.
-SAMPLE_ROWS, SAMPLE_CHARS = 1500, 1000
+#: At most so many labelled rows are learnt from, in SLICES slices of so many characters each from anywhere in a longer text.
+SAMPLE_ROWS, SLICES, SLICE_CHARS = 1500, 4, 250
 UNITS, WINDOW, SIDE_BY_SIDE = 8, 256, 1024
 
 
@@ -168,14 +168,18 @@ class Network:
         return [(a, b, self.labels[best[a]]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
-def fit(docs: DataFrame, labelled: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> Network | None:
+def fit(docs: DataFrame, labelled: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Network | None:
     """A network from at most sample_rows rows for which `labelled` holds, drawn by a hash of the id; None without any."""
     rows = docs.where(labelled & F.col(label_col).isNotNull() & (F.length(text_col) > 0))
-    rows = rows.select(F.xxhash64(F.col(id_col), F.lit("sample")).alias("draw"), F.col(label_col).cast("string").alias("label"), F.substring(text_col, 1, sample_chars).alias("body"))
-    # numbers first, so that no task sends sample_rows texts
-    last = rows.select("draw").orderBy("draw").limit(sample_rows).agg(F.max("draw")).first()[0]
-    sample = rows.where(F.col("draw") <= F.lit(last)).limit(2 * sample_rows).collect() if last is not None else []
-    sample.sort(key=lambda r: (r["draw"], r["label"], r["body"]))
+    text, size = F.col(text_col).cast("string"), F.length(text_col)
+    start = lambda k: F.pmod(F.xxhash64(F.col(id_col), F.lit(k)), F.greatest(size - SLICE_CHARS, F.lit(0)) + 1).cast("int") + 1
+    slices = F.concat_ws(" ", *[F.substr(text, start(k), F.lit(SLICE_CHARS)) for k in range(SLICES)])
+    body = F.when(size <= SLICES * SLICE_CHARS, text).otherwise(slices)
+    rows = rows.select(F.xxhash64(F.col(id_col), text).alias("draw"), F.col(label_col).cast("string").alias("label"), body.alias("body"))
+    # a bound on the draw instead of a sort: about a quarter more than needed comes, repeated rows once
+    share = min(1.0, 1.25 * sample_rows / max(1, rows.count()))
+    sample = rows.where(F.col("draw") <= F.lit(int(2**64 * share - 2**63) - (share == 1.0))).distinct().collect()
+    sample = sorted(sample, key=lambda r: (r["draw"], r["label"], r["body"]))[:sample_rows]
     labels = sorted({r["label"] for r in sample})
     if not labels:
         return None
@@ -197,7 +201,7 @@ def predict(docs: DataFrame, network: Network | None, text_col: str = "text") ->
         best = p.argmax(1)
         return pd.DataFrame({"lang_pred": [network.labels[b] if t else "und" for b, t in zip(best, known, strict=True)], "score": np.where([len(t) > 0 for t in known], np.clip(p.max(1), 0, 1), 0.0)})
 
-    found = "__identified"
+    found = common.fresh("identified", docs.columns)
     return docs.withColumn(found, identify(F.col(text_col).cast("string"))).select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")], f"{found}.lang_pred", f"{found}.score")
 
 

@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: At most so many labelled rows of either kind are learnt from, and so many characters of each.
-SAMPLE_ROWS, SAMPLE_CHARS = 2500, 4000
+#: At most so many labelled rows of either kind are learnt from, whole texts.
+SAMPLE_ROWS = 2000
 WINDOW, SHORTEST, MISSPELT_FROM = 6, 4, 5
 #: Distinct runs of characters a worker remembers.
 REMEMBERED = 500_000
@@ -214,18 +214,24 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(np.dot(self.features(text), self.coefficients), -30, 30))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, learnt_from: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, learnt_from: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model | None:
     """A model from at most sample_rows labelled rows of each kind (drawn by a hash of the id) for which learnt_from holds."""
     rows = labels.where(learnt_from & F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y"))
     totals = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(totals) < 2:
         return None
+    def below(draw, total: int):
+        """Whether a draw is among so many of `total` as should be sample_rows."""
+        share = min(1.0, sample_rows / max(1, total))
+        return draw <= F.lit(int(2**64 * share - 2**63) - (share == 1.0))
+
     draw = F.xxhash64("id", F.lit("sample"))
-    picked = [rows.where(F.col("y") == y).orderBy(draw, "id").limit(sample_rows) for y in (0, 1)]
-    picked = F.broadcast(picked[0].unionByName(picked[1]))  # bounded: 2 * sample_rows pairs of numbers
-    body = F.substring(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 1, sample_chars).alias("body")
-    sample = docs.select(F.col(id_col).cast("long").alias("id"), body).join(picked, "id").limit(4 * sample_rows).toPandas()
-    sample = sample.sort_values(["id", "body", "y"]).drop_duplicates()
+    picked = rows.where(F.when(F.col("y") == 0, below(draw, totals[0])).otherwise(below(draw, totals[1]))).distinct()
+    picked = F.broadcast(picked)  # bounded: some 2 * sample_rows pairs of numbers
+    body = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body")
+    sample = common.stash(docs.select(F.col(id_col).cast("long").alias("id"), body).join(picked, "id").distinct(), "sample")
+    share = sample.where(below(F.xxhash64("id", "body"), sample.count() // 2))  # an id may be on many rows
+    sample = share.toPandas().sort_values(["id", "body", "y"])
     if sample["y"].nunique() < 2:
         return None
     texts, toxic = sample["body"].tolist(), sample["y"].to_numpy()
