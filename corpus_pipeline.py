@@ -19,9 +19,10 @@ LEAST_SCORE = 0.4
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language is recognised; the network learns from rows of `docs` that aren't held out."""
     network = lang_id.fit(docs, ~common.held_out(F.col("doc_id")))
-    known = lang_id.predict(docs.withColumnsRenamed({"score": "__score", "lang_pred": "__pred"}), network)
+    kept_by = {c: common.fresh(f"{c}_before", docs.columns) for c in ("score", "lang_pred") if c in docs.columns}
+    known = lang_id.predict(docs.withColumnsRenamed(kept_by), network)
     kept = known.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).drop("lang_pred", "score")
-    return kept.withColumnsRenamed({"__score": "score", "__pred": "lang_pred"})
+    return kept.withColumnsRenamed({v: k for k, v in kept_by.items()})
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,14 +32,18 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (sets of five-word shingles alike to 0.8 or more) keep the document with the smallest id."""
-    kept = simhash.similar_documents(docs, shingle=5, similarity=0.8).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]), "left_semi")
+    found = simhash.similar_documents(docs, shingle=5, similarity=0.8)
+    other = common.fresh("kept_id", docs.columns)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(other)).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept[other]), "left_semi")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut later copies of passages of fifty words or more out; documents of which nothing is left go."""
-    cut = passages.remove_passages(docs)
-    cut = cut.where((F.trim(F.coalesce(F.col("text"), F.lit(""))) != "") | (F.col("n_chars") == 0))
+    was = common.fresh("was_blank", docs.columns)
+    blank = F.trim(F.coalesce(F.col("text"), F.lit(""))) == ""
+    cut = passages.remove_passages(docs.withColumn(was, blank))
+    cut = cut.where(~blank | F.col(was)).drop(was)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 
@@ -49,7 +54,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("exact", exact), ("near", near), ("passages", repeated_passages), ("packing", pack)]
 
-#: No SQL can state the network's predictions, so the stages are tested against brute force.
+#: No SQL can state the network's predictions, so the stages' operators are tested against brute force.
 ORACLE_SQL = None
 
 
