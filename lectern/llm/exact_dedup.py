@@ -96,14 +96,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(id_col, "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
-def _first_of_runs(at: int):
+def _first_of_runs(at: int, extra: list[str]):
     def scan(batches):
         part = TaskContext.get().partitionId()
 
         def out(rows: pa.RecordBatch, edge: list[bool]):
             digests = [hashlib.sha256((rows.column(at)[i].as_py() or "").encode()).digest() if e else None for i, e in enumerate(edge)]
             more = [pa.array(digests, pa.binary()), pa.array([part] * len(edge), pa.int32()), pa.array(edge, pa.bool_())]
-            return pa.RecordBatch.from_arrays([*rows.columns, *more], names=[*rows.schema.names, "__digest", "__part", "__edge"])
+            return pa.RecordBatch.from_arrays([*rows.columns, *more], names=[*rows.schema.names, *extra])
 
         held, last, first = None, None, True  # the first row of the run at hand, and its text
         for batch in batches:
@@ -140,10 +140,11 @@ def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     body, id_ = F.coalesce(F.col(text_col), F.lit("")).cast("binary"), F.col(id_col).cast("long")
     key = [F.substring(body, 1, LEAD), F.xxhash64(body)]
     ranged = docs.repartitionByRange(n, *key, id_.asc_nulls_last()).sortWithinPartitions(*key, body, id_.asc_nulls_last())
-    extra = T.StructType().add("__digest", "binary").add("__part", "integer").add("__edge", "boolean")
-    rows = common.stash(ranged.mapInArrow(_first_of_runs(docs.columns.index(text_col)), T.StructType(docs.schema.fields + extra.fields)), "exact-first")
+    digest, part, edge, best = (common.fresh(c, docs.columns) for c in ("digest", "part", "edge", "best"))
+    extra = T.StructType().add(digest, "binary").add(part, "integer").add(edge, "boolean")
+    rows = common.stash(ranged.mapInArrow(_first_of_runs(docs.columns.index(text_col), [digest, part, edge]), T.StructType(docs.schema.fields + extra.fields)), "exact-first")
     # at most two runs a partition can go on in another one
-    ends = rows.where("__edge").groupBy("__digest").agg(F.min(F.struct(id_.isNull(), id_, F.col("__part"))).alias("__best"))
-    ends = ends.select("__digest", F.col("__best")["__part"].alias("__best"))
-    stays = ~F.col("__edge") | (F.col("__part") == F.col("__best"))
-    return rows.join(F.broadcast(ends), "__digest", "left").where(stays).select(*docs.columns)
+    ends = rows.where(F.col(edge)).groupBy(digest).agg(F.min(F.struct(id_.isNull(), id_, F.col(part).alias("at"))).alias(best))
+    ends = ends.select(digest, F.col(best)["at"].alias(best))
+    stays = ~F.col(edge) | (F.col(part) == F.col(best))
+    return rows.join(F.broadcast(ends), digest, "left").where(stays).select(*docs.columns)

@@ -59,6 +59,13 @@ def test_distinct_documents(docs, empty, parts):
     assert exact_dedup.distinct_documents(empty).count() == 0 and exact_dedup.distinct_documents(docs).columns == docs.columns
 
 
+def test_distinct_documents_with_clashing_names(docs):
+    clashing = docs.withColumnsRenamed({"h": "digest", "row": "part", "node": "edge"}).withColumn("best", F.lit(1)).withColumn("_digest", F.lit(2))
+    got = exact_dedup.distinct_documents(clashing, partitions=3)
+    assert got.columns == clashing.columns
+    assert {(r["digest"], r["part"], r["edge"], r["best"], r["_digest"]) for r in got.collect()} == {("x", -1, "y", 1, 2)}
+
+
 def test_simhash(docs, empty):
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
     assert got[0] == got[1] == 0 and got[3] == got[4] == got[5] == 3 and got[7] == 7 and got[2] == got[None] == 2
