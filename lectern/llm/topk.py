@@ -7,12 +7,13 @@ negative components), and full adders reduce all bitmaps of a weight to one and
 scores themselves bit-sliced. The top rows are then selected from the most significant slice downward; rows that tie at
 the boundary are resolved exactly by the smaller id.
 
-Blocks of queries meet every block of the index through an equi-join on the pair's key; each pair leaves k rows a query,
-and these are merged. What is replicated is the query blocks (bounded) and slices, never pairs of vectors.
+The slices of a block are built once and stored. Blocks of queries then meet every block of the index through an equi-join
+on the pair's key; each pair leaves k rows a query, and these are merged. What is replicated is packed slices, once for
+so many queries, and packed queries, once for so many vectors; never the vectors, never pairs of them.
 
 Defined results: vectors that are null or hold a null or a non-finite component take no part, nor do rows of a null
-id; an id on several rows is several candidates, and none of them serves that id's queries; vectors must be of one
-length, others than the most common length raise an error; an empty table gives no rows.
+id; an id on several rows is several candidates, and none of them serves that id's queries; vectors of several lengths
+raise a ValueError; an empty table gives no rows. Only the two named columns are read, whatever others are called.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Vectors of an index block, and queries of a query block.
-BLOCK, QUERIES = 65536, 512
+#: Vectors of an index block hold at most so many components in all; queries of a query block, fewest and most.
+COMPONENTS, FEWEST, MOST = 1 << 22, 128, 8192
 
 
 def slices(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[list[np.ndarray]]]:
@@ -111,13 +112,21 @@ def top_rows(total: list[np.ndarray], alive: np.ndarray, k: int) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(found.view(np.uint8), bitorder="little"))
 
 
-def search_block(ids: np.ndarray, values: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int):
-    """(query id, row id, score) of the k best rows of this block for each query."""
+def build(ids: np.ndarray, values: np.ndarray) -> dict[str, bytes]:
+    """The packed index of a block: ids in order, least values, bits and bitmaps of the components one after another."""
     order = np.argsort(ids, kind="stable")
-    ids, values = ids[order], values[order]
-    low, bits, maps = slices(values)
-    inverse = [[~m for m in of] for of in maps]
+    low, bits, maps = slices(values[order])
+    packed = [m for of in maps for m in of]
+    return {"ids": ids[order].tobytes(), "low": low.tobytes(), "bits": bits.tobytes(), "maps": np.concatenate(packed).tobytes() if packed else b""}
+
+
+def search_block(block: dict[str, bytes], query_ids: np.ndarray, queries: np.ndarray, k: int):
+    """(query id, row id, score) of the k best rows of this block for each query; scores are read from the sum's slices."""
+    ids, low, bits = (np.frombuffer(block[c], np.int64) for c in ("ids", "low", "bits"))
     n, adder = len(ids), Adder(-(-len(ids) // 64))
+    flat = np.frombuffer(block["maps"], np.uint64).reshape(-1, adder.words)
+    maps = np.split(flat, np.cumsum(bits)[:-1])
+    inverse = [~m for m in maps]
     everyone = np.packbits(np.arange(adder.words * 64) < n, bitorder="little").view(np.uint64)
     out = []
     for q_id, q in zip(query_ids.tolist(), queries, strict=True):
@@ -135,7 +144,10 @@ def search_block(ids: np.ndarray, values: np.ndarray, query_ids: np.ndarray, que
             alive[own >> 6] &= ~(np.uint64(1) << np.uint64(own & 63))
         rows = top_rows(total, alive, k)
         rows = rows[(rows < a) | (rows >= b)]
-        score = values[rows] @ q
+        # the sum counts |q| * (v - low) where q > 0, and |q| * (2**bits - 1 - (v - low)) where q < 0
+        score = np.full(len(rows), q @ low + (np.minimum(q, 0) * ((1 << bits) - 1)).sum())
+        for weight, t in enumerate(total):
+            score += (t[rows >> 6] >> (rows & 63).astype(np.uint64) & np.uint64(1)).astype(np.int64) << weight
         best = np.lexsort((ids[rows], -score))[:k]
         out.append((np.full(len(best), q_id), ids[rows][best], score[best]))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
@@ -148,21 +160,38 @@ def top_k(vectors: DataFrame, k: int = 20, scale: int = 64, every: int = 20, id_
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).where(fine)
     rows = rows.select("id", F.transform("v", lambda x: F.floor(x * float(scale)).cast("long")).alias("v"))
-    total, asked = rows.agg(F.count(F.lit(1)), F.count_if(F.col("id") % every == 0)).first()
-    blocks, chunks = max(1, -(-total // BLOCK)), max(1, -(-asked // QUERIES))
-    spread = lambda n: F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(n))
-    index = rows.withColumn("block", spread(blocks)).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    query = rows.where(F.col("id") % every == 0).withColumn("chunk", spread(chunks)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({c: np.zeros(0, np.int64) for c in ("query_id", "vec_id", "score")})
-        if left.empty or right.empty:
-            return empty
-        found = search_block(left["id"].to_numpy(), np.stack(left["v"].to_list()), right["id"].to_numpy(), np.stack(right["v"].to_list()), k)
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found, strict=True)))
-
-    keys = ("block", "chunk")
-    near = index.select("block", F.col("chunk").cast("long").alias("chunk"), "id", "v").groupBy(*keys).cogroup(query.select(F.col("block").cast("long").alias("block"), "chunk", "id", "v").groupBy(*keys))
-    near = near.applyInPandas(search, "query_id long, vec_id long, score long")
+    rows = rows.withColumn("spread", F.abs(F.xxhash64("id", F.monotonically_increasing_id()) % (1 << 40)))
+    asking = F.col("id") % every == 0
+    total, asked, shortest, longest = rows.agg(F.count(F.lit(1)), F.count_if(asking), F.min(F.size("v")), F.max(F.size("v"))).first()
+    if shortest != longest:
+        raise ValueError(f"vectors of {shortest} to {longest} components")
+    blocks = max(1, -(-total * (longest or 1) // COMPONENTS))
+    # enough pairs for all tasks of a shuffle, each of as many queries as that allows
+    queries = min(MOST, max(FEWEST, -(-asked * blocks // common.shuffle_parts(spark))))
+    chunks = max(1, -(-asked // queries))
+
+    def indexed(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([{"block": key[0]} | build(part["id"].to_numpy(), np.stack(part["v"].to_list()))])
+
+    def gathered(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([{"chunk": key[0], "asks": part["id"].to_numpy().tobytes(), "q": np.stack(part["v"].to_list()).tobytes()}])
+
+    def search(parts):
+        for part in parts:
+            for pair in part.to_dict("records"):
+                asks = np.frombuffer(pair["asks"], np.int64)
+                found = search_block(pair, asks, np.frombuffer(pair["q"], np.int64).reshape(len(asks), -1), k)
+                yield pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found, strict=True)))
+
+    common.bound_batches(spark)
+    index = rows.withColumn("block", F.col("spread") % blocks).groupBy("block").applyInPandas(indexed, "block long, ids binary, low binary, bits binary, maps binary")
+    index = common.stash(index, "topk-index")
+    query = rows.where(asking).withColumn("chunk", F.col("spread") % chunks).groupBy("chunk").applyInPandas(gathered, "chunk long, asks binary, q binary")
+    query = common.stash(query, "topk-queries")
+    dealt = max(common.shuffle_parts(spark), 2 * blocks * chunks)
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left, right = index.withColumn("chunk", numbers(chunks)), query.withColumn("block", numbers(blocks))
+    pairs = left.repartition(dealt, "block", "chunk").join(right.repartition(dealt, "block", "chunk").hint("merge"), ["block", "chunk"])
+    near = pairs.mapInPandas(search, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
     return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

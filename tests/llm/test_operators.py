@@ -224,6 +224,31 @@ def test_topk(spark):
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     assert {tuple(x) for x in topk.top_k(table).collect()} == want
     assert topk.top_k(table.where("vec_id < 0")).count() == 0
+    odd = spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], table.schema)
+    with pytest.raises(ValueError):
+        topk.top_k(odd)
+
+
+@pytest.mark.parametrize("components, fewest", [(1 << 22, 128), (40, 3)])
+def test_topk_over_blocks_with_ties_repeated_ids_and_clashing_names(spark, monkeypatch, components, fewest):
+    monkeypatch.setattr(topk, "COMPONENTS", components)
+    monkeypatch.setattr(topk, "FEWEST", fewest)
+    monkeypatch.setattr(topk, "MOST", fewest)
+    r = np.random.default_rng(6)
+    rows = [(i // 2 * 2, [float(x) for x in r.integers(-3, 4, 5)], 1, 2, 3, "x", "y") for i in range(160)]
+    rows += [(400, [0.0] * 5, 1, 2, 3, "x", "y"), (420, [-2.0, 7e3, 0.0, 0.0, 1.0], 1, 2, 3, "x", "y")]
+    v = [(i, (64 * np.array(x)).astype(int)) for i, x, *_ in rows]
+    want = []
+    for q, x in v:
+        if q % 20 == 0:
+            want += [(q, -s, i) for s, i in sorted((-int(x @ y), i) for i, y in v if i != q)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, block long, chunk long, spread long, v string, maps string")
+    # an id on two rows asks twice: its rows are ranked together
+    expected: dict[int, list] = {}
+    for q, s, i in want:
+        expected.setdefault(q, []).append((-s, i))
+    full = {(q, n, i, -s) for q, found in expected.items() for n, (s, i) in enumerate(sorted(found)[:20], 1)}
+    assert {tuple(x) for x in topk.top_k(table).collect()} == full
 
 
 def test_lang_id(spark, docs, empty):
