@@ -101,7 +101,7 @@ ORACLES = {
     "image_basename": r"SELECT page_id, regexp_extract(url, '([^/\\]*)$', 1) AS name FROM pages",
     "fit_to_page": "SELECT p_partkey, round((842e0 - w * s) / 2, 4) AS x, round((595e0 - h * s) / 2, 4) AS y, round(w * s, 4) AS w, round(h * s, 4) AS h FROM (SELECT p_partkey, p_size * 16e0 AS w, p_retailprice AS h, least(794e0 / (p_size * 16e0), 547e0 / p_retailprice) AS s FROM part)",
     "validate_job_id": "SELECT doc_id, regexp_full_match(CASE WHEN doc_id % 3 = 0 THEN upper(substr(md5(CAST(doc_id AS VARCHAR)), 1, 8)) ELSE substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) END, '[0-9a-f]{8}') AS ok FROM documents",
-    "validate_query": "SELECT doc_id, length(trim(substr(text, 1, 210))) BETWEEN 1 AND 200 AS ok FROM documents",
+    "validate_query": "SELECT doc_id, length(trim(text)) BETWEEN 1 AND 200 AS ok FROM documents",
     "validate_url_api": f"WITH {_URL} SELECT page_id, {_fault('host')} AS fault FROM v",
     "validate_url_downloader": f"WITH {_URL} SELECT page_id, {_fault("rtrim(host, '.')", "WHEN CASE WHEN rtrim(host, '.') IN ('youtu.be', 'www.youtu.be') THEN path = '/' ELSE NOT (starts_with(path, '/watch') OR starts_with(path, '/shorts/') OR starts_with(path, '/embed/')) END THEN 'video'")} AS fault FROM v",
     "fps_domain": "SELECT o_orderkey, o_totalprice / 1e5 BETWEEN 1e-1 AND 3e0 AS ok FROM orders",
