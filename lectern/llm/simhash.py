@@ -17,6 +17,9 @@ separate rows of one document class; null ids count after all others; an empty t
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -269,8 +272,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 _SET_SEEDS, _SET_DISTANCE = 12, 4
 #: Buckets of the counts that refute candidates before their texts are fetched.
 BUCKETS = 256
+#: Longs of the parities that refute pairs of the prefix join, 64 buckets each.
+PARITIES = 16
 #: Texts on a shingle that are paired without a look at what they can share at all: so few pairs a text are bounded.
 SHORT_LIST = 16
+_PARITY = [f"p{i}" for i in range(PARITIES)]
 #: Frequent shingles that go last in the order of prefixes.
 COMMON = 100_000
 
@@ -373,8 +379,8 @@ def shingle_codes(text: bytes, shingle: int) -> np.ndarray:
 
 
 def _set_digests(texts: DataFrame, shingle: int) -> DataFrame:
-    """(row, digest, size, sketch) of texts (row, body): 128 bits of each set of shingles, its size, and how many of its
-    codes fall into each of BUCKETS buckets (null for sets too large to count so)."""
+    """(row, digest, size, sketch, p0, p1, ...) of texts (row, body): 128 bits of each set of shingles, its size, how many of its
+    codes fall into each of BUCKETS buckets (null for sets too large to count so), and in which of 64 * PARITIES buckets an odd number do."""
 
     def mark(batches):
         import xxhash
@@ -385,11 +391,14 @@ def _set_digests(texts: DataFrame, shingle: int) -> DataFrame:
             for t in batch.column(1).to_pylist():
                 codes = shingle_codes(t, shingle)
                 counts = np.bincount((codes % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-                out.append((xxhash.xxh3_128_digest(codes.tobytes()), len(codes), counts.astype("<u2").tobytes() if counts.max() < 1 << 16 else None))
-            columns = zip(*out, strict=True) if out else [[]] * 3
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int32(), pa.binary()), strict=True))], names=["row", "digest", "size", "sketch"])
+                odd = np.bincount((codes % np.uint64(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES) & 1
+                bits = np.packbits(odd.astype(bool), bitorder="little").view(np.int64).tolist()
+                out.append((xxhash.xxh3_128_digest(codes.tobytes()), len(codes), counts.astype("<u2").tobytes() if counts.max() < 1 << 16 else None, *bits))
+            columns = zip(*out, strict=True) if out else [[]] * len(types)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["row", "digest", "size", "sketch", *_PARITY])
 
-    return texts.mapInArrow(mark, "row long, digest binary, size int, sketch binary")
+    types = (pa.binary(), pa.int32(), pa.binary(), *[pa.int64()] * PARITIES)
+    return texts.mapInArrow(mark, "row long, digest binary, size int, sketch binary, " + ", ".join(f"{p} long" for p in _PARITY))
 
 
 def _possible(edges: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
@@ -451,12 +460,14 @@ def _every_shingle(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.mapInArrow(emit, "row long, h long")
 
 
-def _prefix_pairs(texts: DataFrame, classes: DataFrame, doubles: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def _prefix_pairs(texts: DataFrame, parities: DataFrame, classes: DataFrame, doubles: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Pairs (a, b) of rows in different classes that can be this similar: all that are, and few others.
 
-    Sets of similarity t share t / (1 + t) of their sizes' sum. Outside the prefix that ends first in the common order lie
-    at most ceil(t * size) - 1 shingles, so what prefixes share has to be the rest at least. Shingles are joined, nothing is capped;
-    those of one class only, and the rows of `doubles` (sets that another row has), can't add a link and stay out.
+    Sets of similarity t share t / (1 + t) of their sizes' sum, the rest differs. Each difference turns one of the parities
+    (row, p0, p1, ...) at most, so sets whose parities differ in more places are refuted in the join itself. Two more tests
+    hold at the first shingle that two prefixes share, in the common order, which is enough for the pair to be met: it isn't
+    preceded by one and the same shingle in both, and what follows it in either set suffices. Shingles are joined, nothing is
+    capped; those of one class only, and the rows of `doubles` (sets that another row has), can't add a link and stay out.
     """
     often = _common_shingles(texts, shingle)
 
@@ -472,14 +483,17 @@ def _prefix_pairs(texts: DataFrame, classes: DataFrame, doubles: DataFrame, shin
                 size += len(first)
                 if size > 100_000 or i == len(rows) - 1:
                     n = [len(x[0]) for x in held]
-                    columns = [np.concatenate([x[0] for x in held]).view(np.int64), np.repeat([x[1] for x in held], n), np.repeat(np.array([x[2] for x in held], np.int32), n)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "row", "size"])
+                    h = np.concatenate([x[0] for x in held]).view(np.int64)
+                    place = np.concatenate([np.arange(k, dtype=np.int32) for k in n])
+                    before = pa.array(np.roll(h, 1), mask=place == 0)
+                    columns = [pa.array(h), pa.array(np.repeat([x[1] for x in held], n)), pa.array(np.repeat(np.array([x[2] for x in held], np.int32), n)), pa.array(place), before]
+                    yield pa.RecordBatch.from_arrays(columns, names=["h", "row", "size", "place", "before"])
                     held, size = [], 0
 
-    found = common.stash(texts.mapInArrow(emit, "h long, row long, size int"), "prefixes")
+    found = common.stash(texts.mapInArrow(emit, "h long, row long, size int, place int, before long"), "prefixes")
     twice = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     again = found.join(twice, "h").join(doubles, "row", "left_anti").join(classes.select(F.col("node").alias("row"), "root"), "row", "left")
-    again = common.stash(again.select("h", "row", "size", F.coalesce("root", "row").alias("class")), "prefixes")
+    again = common.stash(again.select("h", "row", "size", "place", "before", F.coalesce("root", "row").alias("class")), "prefixes")
     common.discard(found)
     mixed = again.groupBy("h").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("h")
     kept = common.stash(again.join(mixed, "h"), "prefixes")
@@ -491,18 +505,22 @@ def _prefix_pairs(texts: DataFrame, classes: DataFrame, doubles: DataFrame, shin
     shared = every.join(shared, "h", "left_semi").groupBy("row").agg(F.count(F.lit(1)).alias("shared"))
     largest = F.floor(F.col("shared") * ((1 + similarity) / similarity) + 1e-6) - F.col("size")
     bounded = kept.where("long").join(shared, "row").withColumn("largest", largest).where(F.col("largest") >= F.ceil(similarity * F.col("size") - 1e-6))
-    columns = ("h", "row", "size", "class", "largest")
+    columns = ("h", "row", "size", "place", "before", "class", "largest")
     kept = kept.where("long is null").withColumn("largest", F.lit(1 << 62)).select(*columns).unionByName(bounded.select(*columns))
     for _ in range(2):  # texts that no other class's text on the same shingle is small or open enough for
         reach = kept.groupBy("h").agg(F.min("size").alias("least"), F.max("largest").alias("most"), F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
         kept = kept.join(reach, "h").where("size <= most and largest >= least").select(*columns)
         kept = common.stash(kept, "prefixes")
-    x, y = (kept.select("h", *[F.col(c).alias(f"{c}_{side}") for c in ("row", "size", "class", "largest")]) for side in "ab")
+    kept = common.stash(kept.join(parities, "row"), "prefixes")
+    x, y = (kept.select("h", *[F.col(c).alias(f"{c}_{side}") for c in kept.columns if c != "h"]) for side in "ab")
     low, high = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
-    pairs = x.join(y, "h").where((F.col("row_a") < F.col("row_b")) & (F.col("class_a") != F.col("class_b")) & (low >= similarity * high - 1e-6) & (F.col("size_a") <= F.col("largest_b")) & (F.col("size_b") <= F.col("largest_a")))
-    pairs = pairs.groupBy(F.col("row_a").alias("a"), F.col("row_b").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.first(low).alias("low"), F.first(high).alias("high"))
-    need = similarity / (1 + similarity) * (F.col("low") + F.col("high")) - 1e-6
-    return pairs.where(F.col("shared") + F.ceil(similarity * F.col("high") - 1e-9) - 1 >= need).select("a", "b")
+    need = F.ceil(similarity / (1 + similarity) * (low + high) - 1e-6)
+    turned = reduce(add, [F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in _PARITY])
+    fits = (low >= similarity * high - 1e-6) & (F.col("size_a") <= F.col("largest_b")) & (F.col("size_b") <= F.col("largest_a"))
+    first = ~F.coalesce(F.col("before_a") == F.col("before_b"), F.lit(False))
+    enough = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) >= need
+    pairs = x.join(y, "h").where((F.col("row_a") < F.col("row_b")) & (F.col("class_a") != F.col("class_b")) & fits & first & enough & (turned <= low + high - 2 * need))
+    return pairs.select(F.col("row_a").alias("a"), F.col("row_b").alias("b")).distinct()
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, seeds: int = _SET_SEEDS, distance: int = _SET_DISTANCE) -> DataFrame:
@@ -538,7 +556,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     alike = verified(edges).unionByName(equal)
     at = common.stash(components(alike), "classes")
-    pairs = _prefix_pairs(texts, at, equal.select(F.col("b").alias("row")), shingle, similarity)
+    pairs = _prefix_pairs(texts, digests.select("row", *_PARITY), at, equal.select(F.col("b").alias("row")), shingle, similarity)
     alike = alike.unionByName(verified(pairs.join(edges, ["a", "b"], "left_anti")))
     roots = components(alike)
     keyed = rows.select("row", "id").join(roots, F.col("row") == F.col("node"), "left").select("id", F.coalesce("root", "row").alias("root"))
