@@ -254,7 +254,9 @@ def links(distinct: DataFrame, distance: int = 3, busiest: bool = False) -> Data
     whole = F.array(F.xxhash64("node"))
     placed = placed.select("fp", F.explode(F.when(F.col("full"), F.coalesce(*rest)).otherwise(whole)).alias("node"))
     common.bound_batches(distinct.sparkSession)
-    return placed.repartition("node").sortWithinPartitions("node").select("node", "fp").mapInArrow(_link_nodes(distance, busiest), "a long, b long")
+    found = placed.repartition("node").sortWithinPartitions("node").select("node", "fp").mapInArrow(_link_nodes(distance, busiest), "a long, b long")
+    found.bands = keyed  # stored; of no use once the links are
+    return found
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3, seed: int = 42) -> DataFrame:
@@ -273,7 +275,7 @@ _SET_SEEDS, _SET_DISTANCE = 12, 4
 #: Buckets of the counts that refute candidates before their texts are fetched.
 BUCKETS = 256
 #: Longs of the parities that refute pairs of the prefix join, 64 buckets each.
-PARITIES = 16
+PARITIES = 4
 #: Texts on a shingle that are paired without a look at what they can share at all: so few pairs a text are bounded.
 SHORT_LIST = 16
 _PARITY = [f"p{i}" for i in range(PARITIES)]
@@ -497,9 +499,12 @@ def _prefix_pairs(texts: DataFrame, parities: DataFrame, classes: DataFrame, dou
     common.discard(found)
     mixed = again.groupBy("h").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("h")
     kept = common.stash(again.join(mixed, "h"), "prefixes")
+    common.discard(again)
     # whatever two texts of long lists share occurs twice among such texts, which bounds what a text can share and so the size of its partner
     long_ = kept.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHORT_LIST).select("h", F.lit(True).alias("long"))
-    kept = common.stash(kept.join(long_, "h", "left"), "prefixes")
+    marked = common.stash(kept.join(long_, "h", "left"), "prefixes")
+    common.discard(kept)
+    kept = marked
     every = common.stash(_every_shingle(texts.join(kept.where("long").select("row").distinct(), "row", "left_semi"), shingle), "shingles")
     shared = every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     shared = every.join(shared, "h", "left_semi").groupBy("row").agg(F.count(F.lit(1)).alias("shared"))
@@ -507,11 +512,13 @@ def _prefix_pairs(texts: DataFrame, parities: DataFrame, classes: DataFrame, dou
     bounded = kept.where("long").join(shared, "row").withColumn("largest", largest).where(F.col("largest") >= F.ceil(similarity * F.col("size") - 1e-6))
     columns = ("h", "row", "size", "place", "before", "class", "largest")
     kept = kept.where("long is null").withColumn("largest", F.lit(1 << 62)).select(*columns).unionByName(bounded.select(*columns))
-    for _ in range(2):  # texts that no other class's text on the same shingle is small or open enough for
+    done = [marked, every]
+    for bits in (None, parities):  # texts that no other class's text on the same shingle is small or open enough for
         reach = kept.groupBy("h").agg(F.min("size").alias("least"), F.max("largest").alias("most"), F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
         kept = kept.join(reach, "h").where("size <= most and largest >= least").select(*columns)
-        kept = common.stash(kept, "prefixes")
-    kept = common.stash(kept.join(parities, "row"), "prefixes")
+        kept = common.stash(kept if bits is None else kept.join(bits, "row"), "prefixes")
+        common.discard(*done)
+        done = [kept]
     x, y = (kept.select("h", *[F.col(c).alias(f"{c}_{side}") for c in kept.columns if c != "h"]) for side in "ab")
     low, high = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
     need = F.ceil(similarity / (1 + similarity) * (low + high) - 1e-6)
@@ -544,9 +551,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     codes = common.stash(marked.groupBy("seed", "fp").agg(F.min("row").alias("rep")), "codes")
     same = marked.join(codes, ["seed", "fp"]).where("row <> rep").select(F.col("rep").alias("a"), F.col("row").alias("b"))
     near = links(codes.select("fp", "seed"), distance, busiest=True)
+    bands = near.bands
     near = near.join(codes.select(F.col("fp").alias("a"), "seed", F.col("rep").alias("x")), "a").join(codes.select(F.col("fp").alias("b"), "seed", F.col("rep").alias("y")), ["b", "seed"])
     near = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b")
     edges = common.stash(same.unionByName(near).select("a", "b").distinct(), "edges")
+    common.discard(marked, codes, bands)
     texts, sketches = rows.select("row", "body"), digests.select("row", "size", "sketch")
 
     def verified(pairs):
