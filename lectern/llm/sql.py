@@ -27,5 +27,26 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
+OP13 = r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(string_split(regexp_replace(t, '[.,;:!?\x0A-\x0D]', chr(10), 'g'), chr(10))) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, 1 AS size, unnest(w) AS phrase FROM w
+      UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w
+      UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM w),
+f AS (SELECT lang, size, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang),
+c AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS x FROM f WHERE size > 1 AND f >= 10),
+k AS (SELECT lang, phrase, size, a, x, unnest(range(1, size)) AS k FROM c),
+e AS (SELECT lang, phrase, size, a, k, array_to_string(list_slice(x, 1, k), ' ') AS head, array_to_string(list_slice(x, k + 1, size), ' ') AS tail FROM k),
+u AS (SELECT e.*, f.f AS l FROM e JOIN f ON f.lang = e.lang AND f.phrase = e.head),
+s AS (SELECT u.lang, u.phrase, u.size, u.a, u.k, u.l, f.f AS r, CAST((1000000::HUGEINT * u.a * u.a) // (u.l::HUGEINT * f.f) AS BIGINT) AS score FROM u JOIN f ON f.lang = u.lang AND f.phrase = u.tail),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, a, unnest([x[1] || ' ' || x[2], x[2] || ' ' || x[3]]) AS phrase FROM c WHERE size = 3) GROUP BY ALL),
+z AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b LEFT JOIN i USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM z JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_topk": OP6, "op7_exact_dedup": OP7}
+    return {"op6_topk": OP6, "op7_exact_dedup": OP7, "op13_phrases": OP13}
