@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, common, exact_dedup, lang_id, packing, passages, phrases, repeats, simhash, simple8b, topk, toxicity
+from . import byte_bpe, common, exact_dedup, lang_id, neighbours, packing, passages, phrases, repeats, simhash, simple8b, topk, toxicity
 
 
 def op1_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,9 +51,13 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(common.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=20, every=20)
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(common.documents(spark, sf_dir), longest=3, threshold=10, share=50, top=2000)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_passages, op2_simhash, op3_lang_id, op4_simple8b, op5_toxicity, op6_topk, op7_exact_dedup, op8_repeats, op9_packing, op10_byte_bpe, op13_phrases)}
+    return {f.__name__: f for f in (op1_passages, op2_simhash, op3_lang_id, op4_simple8b, op5_toxicity, op6_topk, op7_exact_dedup, op8_repeats, op9_packing, op10_byte_bpe, op12_neighbours, op13_phrases)}
