@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, common, exact_dedup, lang_id, neighbours, packing, passages, phrases, repeats, simhash, simple8b, topk, toxicity
+from . import byte_bpe, common, exact_dedup, lang_id, negatives, neighbours, packing, passages, phrases, repeats, simhash, simple8b, topk, toxicity
 
 
 def op1_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +52,12 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(common.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", moved), positives=5, negatives=3, low=50, high=95, scale=256, every=50)
+
+
 def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=20, every=20)
 
@@ -60,4 +67,4 @@ def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_passages, op2_simhash, op3_lang_id, op4_simple8b, op5_toxicity, op6_topk, op7_exact_dedup, op8_repeats, op9_packing, op10_byte_bpe, op12_neighbours, op13_phrases)}
+    return {f.__name__: f for f in (op1_passages, op2_simhash, op3_lang_id, op4_simple8b, op5_toxicity, op6_topk, op7_exact_dedup, op8_repeats, op9_packing, op10_byte_bpe, op11_negatives, op12_neighbours, op13_phrases)}
