@@ -47,12 +47,6 @@ def fit_to_page(w: Column, h: Column, page_w: float = 842.0, page_h: float = 595
     return [(F.lit(page_w) - w * scale) / 2, (F.lit(page_h) - h * scale) / 2, w * scale, h * scale]
 
 
-def fold(c: Column) -> Column:
-    """Lower case, and Latin letters without their marks."""
-    plain = {ch: unicodedata.normalize("NFD", ch)[0] for ch in map(chr, range(0xC0, 0x250)) if unicodedata.decomposition(ch) and not unicodedata.decomposition(ch).startswith("<")}
-    return F.translate(F.lower(c), "".join(plain), "".join(plain.values()))
-
-
 #: Names that stand for devices.
 DEVICES = ("CON", "PRN", "AUX", "NUL", *(f"COM{i}" for i in range(1, 10)), *(f"LPT{i}" for i in range(1, 10)))
 
