@@ -4,13 +4,24 @@ from __future__ import annotations
 
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+#: White space as Python has it, in a class of Java's patterns with (?U).
+WHITE = r"[\s\x{1c}-\x{1f}]"
 
 
 def clean_text(c: Column) -> Column:
     """Runs of white space become one space; ends are trimmed; null becomes empty."""
-    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)[\s\x{1c}-\x{1f}]+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), f"(?U){WHITE}+", " "))
+
+
+def strip(c: Column) -> Column:
+    """Without white space of any kind at the ends. A run is met once, so long ones cost no more than their length."""
+    return F.regexp_replace(c, rf"(?U)\A{WHITE}++|(?<!{WHITE}){WHITE}++\z", "")
 
 
 def format_time(seconds: Column) -> Column:
@@ -34,9 +45,20 @@ def basename(path: Column) -> Column:
     return F.element_at(F.split(path, r"[\\/]"), -1)
 
 
+def path_name(path: Column) -> Column:
+    """The last part of a path between slashes; empty parts and dots that stand alone are none."""
+    parts = F.filter(F.split(F.coalesce(path, F.lit("")), "/"), lambda x: ~x.isin("", "."))
+    return F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit(""))
+
+
+def suffix(name: Column) -> Column:
+    """The last dot of a name and what follows it; empty if either side of it is."""
+    return F.regexp_extract(name, r"(?s).(\.[^.]+)\z", 1)
+
+
 def safe_filename(name: Column, fallback: str = "lecture") -> Column:
     """The last path part with only letters, digits and ._ - left, no double dots, no dots or spaces at its ends."""
-    c = F.regexp_replace(basename(name), r"[^A-Za-z0-9._ -]", "_")
+    c = F.regexp_replace(path_name(name), r"[^A-Za-z0-9._ -]", "_")
     c = F.trim(F.replace(c, F.lit(".."), F.lit("_")), F.lit(" ."))
     return F.when(c == "", fallback).otherwise(c)
 
@@ -47,16 +69,27 @@ def fit_to_page(w: Column, h: Column, page_w: float = 842.0, page_h: float = 595
     return [(F.lit(page_w) - w * scale) / 2, (F.lit(page_h) - h * scale) / 2, w * scale, h * scale]
 
 
+@F.pandas_udf(T.StringType())
+def _compose(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+
+
+def composed(c: Column) -> Column:
+    """Normal form C. Texts whose characters all lie below the combining marks are in it, and don't go to Python."""
+    other = c.rlike(r"[^\x{0}-\x{2ff}]")
+    return F.when(other, _compose(F.when(other, c))).otherwise(c)
+
+
 #: Names that stand for devices.
 DEVICES = ("CON", "PRN", "AUX", "NUL", *(f"COM{i}" for i in range(1, 10)), *(f"LPT{i}" for i in range(1, 10)))
 
 
 def storage_filename(name: Column, fallback: str = "lecture", most: int = 180) -> Column:
-    """A title as a file name: letters of any script stay; unseen and control characters go; others that a file system
-    refuses become underscores. Titles are taken to be in composed form."""
+    """A title as a file name: letters of any script stay, composed; unseen and control characters go; others that a file
+    system refuses become underscores."""
     from .validation import UNSEEN
 
-    c = F.regexp_replace(F.coalesce(name, F.lit("")), f"[{UNSEEN}]", "")
+    c = F.regexp_replace(composed(F.coalesce(name, F.lit(""))), f"[{UNSEEN}]", "")
     c = F.regexp_replace(F.regexp_replace(c, r'[<>:"/\\|?*]', "_"), r"[\x00-\x1f]", "")
     c = F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
     c = F.rtrim(F.when(c.isin(".", ".."), fallback).otherwise(c), F.lit(" ."))

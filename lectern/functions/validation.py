@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .scalars import path_name, safe_filename, strip, suffix
+
 #: Hosts of lecture pages.
 HOSTS = ("youtube.com", "www.youtube.com", "m.youtube.com", "youtu.be", "www.youtu.be")
 SHORT_HOSTS = ("youtu.be", "www.youtu.be")
@@ -18,35 +23,57 @@ def is_job_id(c: Column) -> Column:
 
 
 def is_query(c: Column) -> Column:
-    return F.length(F.trim(c)).between(1, 200)
+    return F.length(strip(c)).between(1, 200)
 
 
 def is_video_name(c: Column) -> Column:
-    return F.lower(F.regexp_extract(c, r"(\.[^.\\/]*)$", 1)).isin(*VIDEO_TYPES)
-
-
-def _host(c: Column) -> Column:
-    return F.coalesce(F.lower(F.try_parse_url(c, F.lit("HOST"))), F.lit(""))
-
-
-def url_fault(c: Column, host: Column | None = None) -> Column:
+    """Judged by the name as it would be stored."""
+    return F.lower(suffix(safe_filename(c))).isin(*VIDEO_TYPES)
+
+
+def _url_parts(c: Column) -> dict[str, Column]:
+    """scheme, name, password, host, port and path of a URL by its generic syntax; a part that isn't there is empty.
+
+    White space at the ends, control characters before it and line ends inside it don't count.
+    """
+    url = F.regexp_replace(F.regexp_replace(strip(F.coalesce(c, F.lit(""))), r"\A[\x00-\x20]+", ""), r"[\t\r\n]", "")
+    scheme = r"(?s)\A(?:([A-Za-z][A-Za-z0-9+.-]*):)?"
+    after = lambda pattern: F.regexp_extract(url, scheme + pattern, 2)
+    authority = after(r"(?://([^/?#]*))?")
+    who, where = F.regexp_extract(authority, r"(?s)\A(.*)@", 1), F.regexp_replace(authority, r"(?s)\A.*@", "")
+    path = after(r"(?://[^/?#]*)?([^?#]*)")
+    return {
+        "scheme": F.lower(F.regexp_extract(url, scheme, 1)),
+        "name": F.regexp_extract(who, r"(?s)\A([^:]*)", 1), "password": F.regexp_extract(who, r"(?s):(.*)\z", 1),
+        "host": F.lower(F.regexp_extract(where, r"(?s)\A([^:]*)", 1)), "port": F.regexp_extract(where, r"(?s)\A[^:]*:(.*)\z", 1),
+        "path": F.regexp_replace(path, r"(?s);[^/]*\z", ""),
+    }
+
+
+def url_fault(c: Column) -> Column:
     """Why a lecture URL is refused; null if it isn't."""
-    part = lambda name: F.try_parse_url(c, F.lit(name))
-    authority = F.coalesce(part("AUTHORITY"), F.lit(""))
+    u = _url_parts(c)
     return (
-        F.when(F.coalesce(F.lower(part("PROTOCOL")), F.lit("")) != "https", "scheme")
-        .when(~(_host(c) if host is None else host).isin(*HOSTS), "host")
-        .when(authority.contains("@"), "userinfo")
-        .when(F.regexp_replace(authority, "^.*@", "").rlike(r":[^:]+$"), "port")
-        .when(F.coalesce(part("PATH"), F.lit("")) == "", "path")
+        F.when(u["scheme"] != "https", "scheme")
+        .when(~u["host"].isin(*HOSTS), "host")
+        .when((u["name"] != "") | (u["password"] != ""), "userinfo")
+        .when(u["port"] != "", "port")
+        .when(u["path"] == "", "path")
     )
 
 
 def url_fault_strict(c: Column) -> Column:
     """As url_fault, where dots may end the host, and the path must name one video."""
-    host, path = F.rtrim(_host(c), F.lit(".")), F.try_parse_url(c, F.lit("PATH"))
-    one = F.when(host.isin(*SHORT_HOSTS), path != "/").otherwise(path.startswith("/watch") | path.startswith("/shorts/") | path.startswith("/embed/"))
-    return F.coalesce(url_fault(c, host), F.when(~one, F.lit("video")))
+    u = _url_parts(c)
+    host, path = F.rtrim(u["host"], F.lit(".")), u["path"]
+    one = F.when(host.isin(*SHORT_HOSTS), ~path.isin("", "/")).otherwise(path.startswith("/watch") | path.startswith("/shorts/") | path.startswith("/embed/"))
+    return (
+        F.when(u["scheme"] != "https", "scheme")
+        .when((u["name"] != "") | (u["password"] != ""), "userinfo")
+        .when(u["port"] != "", "port")
+        .when(~host.isin(*HOSTS), "host")
+        .when(~one, "video")
+    )
 
 
 def fps_ok(c: Column) -> Column:
@@ -63,19 +90,26 @@ def is_slide_name(c: Column) -> Column:
 
 
 def is_image_name(c: Column) -> Column:
-    return F.lower(F.regexp_extract(c, r"(\.[^.\\/]*)$", 1)).isin(".jpg", ".jpeg", ".png")
+    return F.lower(suffix(path_name(c))).isin(".jpg", ".jpeg", ".png")
 
 
 def source_fault(url: Column, video: Column) -> Column:
     """A job has one source: a URL that isn't blank, or a video."""
-    by_url, by_video = F.trim(F.coalesce(url, F.lit(""))) != "", video.isNotNull()
+    by_url, by_video = strip(F.coalesce(url, F.lit(""))) != "", video.isNotNull()
     return F.when(by_url & by_video, "both").when(~by_url & ~by_video, "none")
 
 
-def unseen_characters(c: Column) -> Column:
-    """The code points (U+XXXX) of characters in UNSEEN, in order."""
+def unseen_characters(c: Column, named: bool = False) -> Column:
+    """The code points (U+XXXX, or U+XXXX (NAME)) of characters in UNSEEN, in order."""
     found = F.regexp_extract_all(c, F.lit(f"[{UNSEEN}]"), F.lit(0))
-    return F.transform(found, lambda x: F.concat(F.lit("U+"), F.lpad(F.hex(F.encode(x, "UTF-16BE")), 4, "0")))
+    names = F.create_map(*[F.lit(x) for k, v in unseen_names().items() for x in (k, v if named else v.partition(" ")[0])])
+    return F.transform(found, lambda x: F.element_at(names, x))
+
+
+def unseen_names() -> dict[str, str]:
+    """Each character of UNSEEN with what it is called."""
+    every = [ch for a, b in re.findall(r"(.)(?:-(.))?", UNSEEN) for ch in map(chr, range(ord(a), ord(b or a) + 1))]
+    return {ch: f"U+{ord(ch):04X} ({unicodedata.name(ch, 'UNKNOWN')})" for ch in every}
 
 
 def frame_budget_ok(duration: Column, fps: float = 3.0, most: int = 100_000) -> Column:

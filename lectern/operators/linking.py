@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import strip
+
 FPS = 3
 
 
@@ -79,7 +81,7 @@ def occurrence_faults(occ: DataFrame) -> DataFrame:
 
 def stored_segments(segments: DataFrame) -> DataFrame:
     """Segments with a text that isn't blank."""
-    return segments.where(F.trim(F.coalesce("text", F.lit(""))) != "")
+    return segments.where(strip(F.coalesce("text", F.lit(""))) != "")
 
 
 def linked_slides(slides: DataFrame, speech: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ def index_changes(store: Store, seen, gone: DataFrame, docs: DataFrame) -> tuple
         totals = totals.unionByName(out["doc_stats"].agg((-F.count(F.lit(1))).alias("n_docs"), F.coalesce(-F.sum("dl"), F.lit(0)).alias("n_terms")))
         totals = totals.unionByName(seen.read("corpus_stats"))
     change = shared.stash(more.groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0"), "term-changes")
-    touched = store.buckets_of("term_stats", change)
+    touched = store.buckets_of("term_stats", change) if seen.has("term_stats") else list(range(store.buckets))
     terms = change.unionByName(seen.read("term_stats", buckets=touched)) if seen.has("term_stats") else change
     terms = terms.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
     totals = totals.agg(*[F.sum(c).alias(c) for c in ("n_docs", "n_terms")])
@@ -48,6 +48,8 @@ def index_changes(store: Store, seen, gone: DataFrame, docs: DataFrame) -> tuple
 
 def replace_documents(store: Store, gone: DataFrame, docs: DataFrame) -> None:
     """Documents in place of those of the jobs in `gone` (one column) and of their own jobs."""
+    docs = shared.stash(docs.select("job_id", "doc", "text"), "documents")
+    gone = shared.stash(gone.select(F.col(gone.columns[0]).alias("job_id")).distinct(), "replaced")
     seen = store.snapshot()
     new, also = index_changes(store, seen, gone, docs)
     store.replace(gone, new, also, seen)
@@ -90,7 +92,7 @@ def search_index(store: Store, query: str, job_id, k1: float = 1.2, b: float = 0
 
 def bm25(spark: SparkSession, docs: DataFrame, query: str, job_id, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """search_index over an index made of docs just now."""
-    return search_index(build(spark, docs), query, job_id, k1, b)
+    return search_index(build(spark, docs, buckets=4), query, job_id, k1, b)
 
 
 def corpus_stats(docs: DataFrame) -> DataFrame:

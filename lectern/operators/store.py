@@ -1,28 +1,46 @@
-"""Tables by job: replace, upsert, partial update."""
+"""Tables by job: replace, upsert, partial update, and the stored tables of processed lectures."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import strip
+from ..sources import shared
+from . import search
+from .tables import Store, key_id
+
+#: Key columns of a library's tables; the index's four are among them.
+TABLES = {"jobs": "job_id", "slides": "job_id", "slide_occurrences": "job_id", "speech_segments": "job_id"} | search.INDEX
+#: Tables whose rows go with their job.
+CHILDREN = ("slides", "slide_occurrences", "speech_segments")
+
 
 def replace_job(old: DataFrame, new: DataFrame) -> DataFrame:
     """Rows of new, and those rows of old whose job is not in new."""
     return old.join(new.select("job_id").distinct(), "job_id", "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def _one_each(rows: DataFrame) -> DataFrame:
+    """One row a job: of several the last in the order of their other columns, nulls first."""
+    order = Window.partitionBy("job_id").orderBy(*[F.col(c).desc_nulls_last() for c in rows.columns if c != "job_id"] or [F.lit(0)])
+    place = next(n for n in ("place", "place_", "place__") if n not in rows.columns)
+    return rows.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).drop(place)
+
+
 def update_columns(jobs: DataFrame, metrics: DataFrame) -> DataFrame:
-    """Known columns take the new values, null too; unknown columns and jobs are ignored."""
+    """Known columns take the new values, null too; unknown columns and jobs are ignored. A job met twice counts once (_one_each)."""
     known = [c for c in metrics.columns if c in jobs.columns and c != "job_id"]
     if not known:
         return jobs
-    new = metrics.select("job_id", F.lit(True).alias("__new"), *[F.col(c).alias(f"__{c}") for c in known])
-    joined = jobs.join(new, "job_id", "left")
-    return joined.select(*[F.when(F.col("__new"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in known else F.col(c) for c in jobs.columns])
+    new = _one_each(metrics.select("job_id", *known)).select("job_id", F.struct(*known).alias("new")).alias("n")
+    joined = jobs.alias("j").join(new, F.col("j.job_id") == F.col("n.job_id"), "left")
+    return joined.select(*[F.when(F.col("n.new").isNotNull(), F.col("n.new")[c]).otherwise(F.col(f"j.`{c}`")).alias(c) if c in known else F.col(f"j.`{c}`") for c in jobs.columns])
 
 
 def upsert_jobs(jobs: DataFrame, new: DataFrame) -> DataFrame:
-    """Rows of new in place of those of the same job; their columns that new doesn't have are null."""
+    """Rows of new in place of those of the same job; their columns that new doesn't have are null. A job met twice counts once."""
+    new = _one_each(new)
     return jobs.join(new.select("job_id"), "job_id", "left_anti").unionByName(new, allowMissingColumns=True)
 
 
@@ -39,3 +57,55 @@ def add_columns(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
 def derived_metrics(metrics: DataFrame) -> DataFrame:
     """processing_ratio: total seconds by the lecture's, to four places; null where that isn't known or isn't positive."""
     return metrics.withColumn("processing_ratio", F.when(F.col("duration") > 0, F.round(F.col("total") / F.col("duration"), 4)))
+
+
+def library(spark: SparkSession, root: str | None = None, buckets: int = 16) -> Store:
+    """The stored tables of processed lectures at root, or in a new place of the shared folder."""
+    return Store(spark, root or shared.fresh(spark, "library"), TABLES, buckets)
+
+
+def save_jobs(store: Store, jobs: DataFrame) -> None:
+    """Put jobs in, in place of those of the same id: all their old columns, slides, occurrences and segments go.
+
+    Index rows aren't children of a job; they stay until its slides are saved again, and a search joins them to segments.
+    """
+    seen = store.snapshot()
+    rows = shared.stash(_one_each(jobs), "jobs")
+    if seen.has("jobs"):
+        rows = seen.read("jobs", buckets=[]).unionByName(rows, allowMissingColumns=True)
+    gone = rows.select("job_id")
+    store.replace(gone, {"jobs": rows} | {t: seen.read(t, buckets=[]) for t in CHILDREN if seen.has(t)}, seen=seen)
+
+
+def save_linked_slides(store: Store, gone: DataFrame, slides: DataFrame, occurrences: DataFrame, segments: DataFrame) -> None:
+    """Linked slides in place of all that was stored for the jobs in `gone` and for their own, with the index, in one commit.
+
+    slides: job_id, slide_id, representative_path, speech_text; occurrences: job_id, slide_id, appearance_index, start_frame,
+    end_frame, start_time, end_time, speech_text; segments: job_id, slide_id, appearance_index, segment_id, start_time,
+    end_time, text. Texts are stripped, and blank segments aren't stored. Ids are made of the rows' keys, so a job saved
+    again has the ids it had; rows with one key (a segment cut twice at one time) share an id.
+    """
+    slide, shown = key_id(F.lit("slide"), "job_id", "slide_id"), key_id(F.lit("shown"), "job_id", "slide_id", "appearance_index")
+    said = key_id(F.lit("said"), "job_id", "slide_id", "appearance_index", "segment_id", "start_time")
+    text = lambda c: F.coalesce(c, F.lit(""))
+    slides = slides.select(slide.alias("id"), "job_id", "slide_id", "representative_path", text("speech_text").alias("speech_text"))
+    occurrences = occurrences.select(shown.alias("id"), "job_id", slide.alias("slide_db_id"), "appearance_index", "start_frame", "end_frame", "start_time", "end_time", text("speech_text").alias("speech_text"))
+    segments = segments.withColumn("text", strip(text("text"))).where("text <> ''")
+    segments = segments.select(said.alias("id"), "job_id", shown.alias("occurrence_id"), "slide_id", "segment_id", "start_time", "end_time", "text")
+    slides, occurrences, segments = (shared.stash(x, "linked") for x in (slides, occurrences, segments))
+    jobs = gone.select(F.col(gone.columns[0]).alias("job_id"))
+    jobs = shared.stash(jobs.unionByName(slides.select("job_id")).unionByName(occurrences.select("job_id")).unionByName(segments.select("job_id")).distinct(), "replaced")
+    seen = store.snapshot()
+    new, also = search.index_changes(store, seen, jobs, segments.select("job_id", F.col("id").alias("doc"), "text"))
+    store.replace(jobs, new | {"slides": slides, "slide_occurrences": occurrences, "speech_segments": segments}, also, seen)
+
+
+def search_lecture(store: Store, query: str, job_id, most: int = 50) -> tuple[DataFrame, DataFrame]:
+    """The earliest `most` segments of a job that have any word of the query (id, text, start_time, end_time, slide_number,
+    image_path, rank), and the number of all (total)."""
+    hits = search.search_index(store, query, job_id).withColumnRenamed("doc", "id")
+    seen = store.snapshot()
+    segments = seen.read("speech_segments", job_id).join(hits, "id")
+    paths = seen.read("slides", job_id).select("slide_id", F.col("representative_path").alias("image_path"))
+    found = segments.join(paths, "slide_id", "left").select("id", "text", "start_time", "end_time", F.col("slide_id").alias("slide_number"), "image_path", "rank")
+    return found.orderBy("start_time", "id").limit(most), segments.agg(F.count(F.lit(1)).alias("total"))

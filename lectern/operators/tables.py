@@ -122,7 +122,7 @@ class Store:
             key = self.keys[table]
             # the keys of the new rows are replaced too, so that a key never has rows of two commits
             keys = gone.select(F.col(name).alias(key)).unionByName(rows.select(key)).distinct()
-            buckets = self.buckets_of(table, keys)
+            buckets = self.buckets_of(table, keys) if seen.has(table) else list(range(self.buckets if key else 1))
             kept = rows
             if seen.has(table):
                 old = seen.read(table, buckets=buckets)

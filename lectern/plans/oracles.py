@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from .queries import URLS
+import re
+import unicodedata
+
+from ..functions.validation import UNSEEN
+from .queries import NAMES, URLS
+
+#: White space of all scripts, for RE2, whose own class has ASCII only.
+_WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 _WORDS = r"""
 w0 AS (SELECT conv_id AS job_id, turn AS segment_id, string_split_regex(trim(text, E' \n'), '\s+') AS ws FROM conversations),
@@ -80,14 +87,38 @@ fold AS (SELECT DISTINCT job_id, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS
 fin AS (SELECT job_id, arg_max(reps, n) AS reps FROM fold GROUP BY job_id),
 uq AS (SELECT it.job_id, it.i, CAST(list_position(reps, coalesce(list_min(list_intersect(reps, m)), it.i)) AS BIGINT) AS slide_id FROM it JOIN fin USING (job_id))
 """
-_URL = "u0 AS (SELECT page_id, url FROM pages UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({-1 - i}, '{u}')" for i, u in enumerate(URLS)) + r")), u AS (SELECT page_id, lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) AS scheme, regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1) AS authority, regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) AS path FROM u0), v AS (SELECT *, lower(regexp_extract(authority, '^(?:[^@]*@)?([^:]*)', 1)) AS host FROM u)"
-
-
-def _fault(host: str, more: str = "") -> str:
-    return rf"CASE WHEN scheme <> 'https' THEN 'scheme' WHEN {host} NOT IN ('youtube.com', 'www.youtube.com', 'm.youtube.com', 'youtu.be', 'www.youtu.be') THEN 'host' WHEN contains(authority, '@') THEN 'userinfo' WHEN regexp_matches(authority, ':[^:]+$') THEN 'port' WHEN path = '' THEN 'path' {more} END"
+_URL = (
+    "u0 AS (SELECT page_id, url FROM pages UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({-1 - i}, '{u}')" for i, u in enumerate(URLS)) + rf""")),
+u1 AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '^{_WHITE}+|{_WHITE}+$', '', 'g'), '^[\x00-\x20]+', ''), '[\t\r\n]', '', 'g') AS url FROM u0),
+u2 AS (SELECT page_id, lower(regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*):', 1)) AS scheme, regexp_replace(url, '^[a-zA-Z][a-zA-Z0-9+.-]*:', '') AS rest FROM u1),
+u3 AS (SELECT *, regexp_extract(rest, '^//([^/?#]*)', 1) AS authority, regexp_replace(regexp_extract(rest, '^(//[^/?#]*)?([^?#]*)', 2), ';[^/]*$', '') AS path FROM u2),
+u AS (SELECT *, regexp_extract(authority, '^(.*)@', 1) AS who, regexp_replace(authority, '^.*@', '') AS place FROM u3),
+v AS (SELECT *, lower(regexp_extract(place, '^([^:]*)', 1)) AS host, contains(place, ':') AND NOT ends_with(regexp_extract(place, '^[^:]*(:.*)$', 1), ':') AS port, who NOT IN ('', ':') AS userinfo FROM u)"""
+)
+_HOSTS = "('youtube.com', 'www.youtube.com', 'm.youtube.com', 'youtu.be', 'www.youtu.be')"
 
 
+_REPLACED = """
+replaced AS (SELECT job_id, doc, text, start_ms, end_ms, slide_id FROM corpus WHERE (job_id % 3 = 0 AND slide_id = 1) OR (job_id % 3 <> 0 AND job_id % 5 <> 0))
+"""
+_ID = "CAST('0x' || substr(md5({}), 1, 15) AS BIGINT)".format
+_KEY = lambda kind, *parts: _ID(" || chr(1) || ".join([f"'{kind}'", *(f"CAST({p} AS VARCHAR)" for p in parts)]))
+_SAVED = f"""
+kept AS (SELECT job_id, slide_id, appearance_index, start_frame, end_frame FROM occ WHERE job_id % 3 <> 0 OR slide_id <= 2),
+txt AS (SELECT job_id, slide_id, string_agg(CASE WHEN speech_text <> '' THEN speech_text END, ' ' ORDER BY start_frame, appearance_index) AS t FROM osp GROUP BY ALL),
+ssl AS (SELECT {_KEY("slide", "job_id", "slide_id")} AS id, job_id, slide_id, printf('slide_%03d.jpg', slide_id) AS representative_path, coalesce(t, '') AS speech_text FROM (SELECT DISTINCT job_id, slide_id FROM kept) JOIN txt USING (job_id, slide_id)),
+soc AS (SELECT {_KEY("shown", "job_id", "slide_id", "appearance_index")} AS id, job_id, {_KEY("slide", "job_id", "slide_id")} AS slide_db_id, appearance_index, start_frame, end_frame, round(start_frame / 3e0, 3) AS start_time, round((end_frame + 1) / 3e0, 3) AS end_time FROM kept),
+ssg AS (SELECT {_KEY("said", "job_id", "slide_id", "appearance_index", "segment_id", "start_ms / 1e3")} AS id, job_id, {_KEY("shown", "job_id", "slide_id", "appearance_index")} AS occurrence_id, slide_id, segment_id, start_ms / 1e3 AS start_time, end_ms / 1e3 AS end_time, text
+        FROM seg WHERE (job_id % 3 <> 0 OR slide_id <= 2) AND segment_id % 4 <> 3),
+docs AS (SELECT job_id, id AS doc, text FROM ssg)
+"""
 _NAMES = "nm AS (SELECT p_partkey, p_brand || ['.mp4', '.WEBM', '.avi', '.jpg', '.JPG', '.png', '', '.mkv', '.mov', '.jpeg'][p_partkey % 10 + 1] AS name FROM part)"
+#: A file name's last part, and how it is stored.
+_SAFE = r"""lp AS (SELECT *, coalesce(list_filter(string_split(name, '/'), lambda x: x NOT IN ('', '.'))[-1], '') AS last FROM nm),
+st AS (SELECT *, trim(replace(regexp_replace(last, '[^A-Za-z0-9._ -]', '_', 'g'), '..', '_'), ' .') AS kept FROM lp),
+sf AS (SELECT *, CASE WHEN kept = '' THEN 'lecture' ELSE kept END AS safe FROM st)"""
+_MORE = ", ".join(f"({-1 - i}, '{n}')" for i, n in enumerate(NAMES))
+_CALLED = ", ".join(f"{ord(c)}: '{unicodedata.name(c)}'" for a, b in re.findall("(.)(?:-(.))?", UNSEEN) for c in map(chr, range(ord(a), ord(b or a) + 1)))
 _JOBS = "SELECT c_custkey AS job_id, c_name AS name, c_acctbal AS total FROM customer"
 _DOCS = "dd AS (SELECT lang AS job_id, doc_id AS doc, text FROM documents)"
 _LINK = f"WITH {_WORDS} SELECT job_id, segment_id, word_pos, word, slide_id, appearance_index FROM linked"
@@ -97,19 +128,19 @@ ORACLES = {
     "format_time": "SELECT o_orderkey, printf('%02d:%02d', CAST(floor(o_totalprice) AS BIGINT) // 60, CAST(floor(o_totalprice) AS BIGINT) % 60) AS shown FROM orders",
     "format_duration": "SELECT o_orderkey, CASE WHEN s >= 3600 THEN printf('%dh %dm %ds', s // 3600, s % 3600 // 60, s % 60) WHEN s >= 60 THEN printf('%dm %ds', s // 60, s % 60) ELSE printf('%ds', s) END AS shown FROM (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS s FROM orders)",
     "format_bytes": "SELECT o_orderkey, CASE WHEN n < 1048576 THEN printf('%.1f KB', floor(n / 1024e0 * 10 + 5e-1) / 10) WHEN n < 1073741824 THEN printf('%.1f MB', floor(n / 1048576e0 * 10 + 5e-1) / 10) ELSE printf('%.2f GB', floor(n / 1073741824e0 * 100 + 5e-1) / 100) END AS shown FROM (SELECT o_orderkey, floor(o_totalprice) * 4096 AS n FROM orders)",
-    "safe_filename": r"SELECT page_id, CASE WHEN n = '' THEN 'lecture' ELSE n END AS name FROM (SELECT page_id, trim(replace(regexp_replace(regexp_extract(url, '([^/\\]*)$', 1), '[^A-Za-z0-9._ -]', '_', 'g'), '..', '_'), ' .') AS n FROM pages)",
+    "safe_filename": f"WITH nm AS (SELECT page_id, url AS name FROM pages UNION ALL SELECT * FROM (VALUES {_MORE})), {_SAFE} SELECT page_id, safe AS name FROM sf",
     "image_basename": r"SELECT page_id, regexp_extract(url, '([^/\\]*)$', 1) AS name FROM pages",
     "fit_to_page": "SELECT p_partkey, round((842e0 - w * s) / 2, 4) AS x, round((595e0 - h * s) / 2, 4) AS y, round(w * s, 4) AS w, round(h * s, 4) AS h FROM (SELECT p_partkey, p_size * 16e0 AS w, p_retailprice AS h, least(794e0 / (p_size * 16e0), 547e0 / p_retailprice) AS s FROM part)",
     "validate_job_id": "SELECT doc_id, regexp_full_match(CASE WHEN doc_id % 3 = 0 THEN upper(substr(md5(CAST(doc_id AS VARCHAR)), 1, 8)) ELSE substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) END, '[0-9a-f]{8}') AS ok FROM documents",
-    "validate_query": "SELECT doc_id, length(trim(text)) BETWEEN 1 AND 200 AS ok FROM documents",
-    "validate_url_api": f"WITH {_URL} SELECT page_id, {_fault('host')} AS fault FROM v",
-    "validate_url_downloader": f"WITH {_URL} SELECT page_id, {_fault("rtrim(host, '.')", "WHEN CASE WHEN rtrim(host, '.') IN ('youtu.be', 'www.youtu.be') THEN path = '/' ELSE NOT (starts_with(path, '/watch') OR starts_with(path, '/shorts/') OR starts_with(path, '/embed/')) END THEN 'video'")} AS fault FROM v",
+    "validate_query": rf"SELECT doc_id, length(regexp_replace(text, '^{_WHITE}+|{_WHITE}+$', '', 'g')) BETWEEN 1 AND 200 AS ok, CASE doc_id % 4 WHEN 0 THEN false WHEN 1 THEN true ELSE length(regexp_replace(text || chr(11) || chr(160), '^{_WHITE}+|{_WHITE}+$', '', 'g')) BETWEEN 1 AND 200 END AS ok_spaced FROM documents",
+    "validate_url_api": f"WITH {_URL} SELECT page_id, CASE WHEN scheme <> 'https' THEN 'scheme' WHEN host NOT IN {_HOSTS} THEN 'host' WHEN userinfo THEN 'userinfo' WHEN port THEN 'port' WHEN path = '' THEN 'path' END AS fault FROM v",
+    "validate_url_downloader": f"WITH {_URL}, h AS (SELECT * REPLACE (rtrim(host, '.') AS host) FROM v) SELECT page_id, CASE WHEN scheme <> 'https' THEN 'scheme' WHEN userinfo THEN 'userinfo' WHEN port THEN 'port' WHEN host NOT IN {_HOSTS} THEN 'host' WHEN CASE WHEN ends_with(host, 'youtu.be') THEN path IN ('', '/') ELSE NOT regexp_matches(path, '^/(watch|shorts/|embed/)') END THEN 'video' END AS fault FROM h",
     "fps_domain": "SELECT o_orderkey, o_totalprice / 1e5 BETWEEN 1e-1 AND 3e0 AS ok FROM orders",
     "video_size": "SELECT o_orderkey, n > 0 AND n <= 4294967296 AS ok FROM (SELECT o_orderkey, floor(o_totalprice) * 32768 - 67108864 AS n FROM orders)",
-    "file_names": rf"WITH {_NAMES} SELECT p_partkey, regexp_matches(name, '(?i)[.](mp4|webm|mov|mkv)$') AS video, regexp_matches(name, '(?i)[.](jpg|jpeg|png)$') AS image, regexp_full_match(name, '(?i)[A-Z0-9_.-]+[.]jpg') AS slide FROM nm",
-    "one_source": "SELECT page_id, CASE WHEN page_id % 3 > 0 AND page_id % 2 = 0 THEN 'both' WHEN page_id % 3 = 0 AND page_id % 2 <> 0 THEN 'none' END AS fault FROM pages",
-    "suspicious_unicode": "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'U+200B U+202E U+FEFF' ELSE '' END AS found FROM documents",
-    "storage_filename": r"""WITH a AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'con.' || lang ELSE text || ' . ' END AS c FROM documents),
+    "file_names": rf"WITH {_NAMES}, every AS (SELECT * FROM nm UNION ALL SELECT * FROM (VALUES {_MORE})), {_SAFE.replace('FROM nm', 'FROM every')} SELECT p_partkey, regexp_matches(safe, '(?is).[.](mp4|webm|mov|mkv)$') AS video, regexp_matches(last, '(?is).[.](jpg|jpeg|png)$') AS image, regexp_full_match(name, '(?i)[A-Z0-9_.-]+[.]jpg') AS slide FROM sf",
+    "one_source": rf"SELECT page_id, CASE WHEN by_url AND by_video THEN 'both' WHEN NOT by_url AND NOT by_video THEN 'none' END AS fault FROM (SELECT page_id, NOT regexp_full_match(CASE WHEN page_id % 3 > 0 THEN url WHEN page_id % 2 = 0 THEN ' ' ELSE chr(9) || chr(10) END, '{_WHITE}*') AS by_url, page_id % 2 = 0 AND url IS NOT NULL AS by_video FROM pages)",
+    "suspicious_unicode": f"SELECT doc_id, array_to_string(list_transform(regexp_extract_all(CASE WHEN doc_id % 5 = 0 THEN 'a' || chr(8203) || chr(8238) || text || chr(65279) ELSE text END, '[{UNSEEN}]'), lambda x: printf('U+%04X', unicode(x)) || ' (' || map {{{_CALLED}}}[unicode(x)] || ')'), ' ') AS found FROM documents",
+    "storage_filename": r"""WITH a AS (SELECT doc_id, nfc_normalize(CASE WHEN doc_id % 7 = 0 THEN 'con.' || lang WHEN doc_id % 5 = 1 THEN 'e' || chr(769) || ' o' || chr(776) || chr(9) || chr(4352) || chr(4449) || ' ' || text ELSE text || ' . ' END) AS c FROM documents),
 b AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(c, '[<>:"/\\|?*]', '_', 'g'), '[\x00-\x1f]', '', 'g'), '\s+', ' ', 'g')) AS c FROM a),
 e AS (SELECT doc_id, rtrim(CASE WHEN c IN ('.', '..') THEN 'lecture' ELSE c END, ' .') AS c FROM b),
 g AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '_' || c WHEN c = '' THEN 'lecture' ELSE c END AS c FROM e)
@@ -118,7 +149,16 @@ SELECT doc_id, CASE WHEN length(c) > 180 THEN rtrim(substr(c, 1, 180), ' .') ELS
     "preview": "SELECT doc_id, CASE WHEN length(text) > 180 THEN substr(text, 1, 180) || '...' ELSE text END AS text FROM documents",
     "ratio": "SELECT o_orderkey, CASE WHEN o_orderkey % 4 > 0 THEN printf('%.2f', floor(floor(o_totalprice) / 128e0 * 100 + 5e-1) / 100) || '×' ELSE '—' END AS shown FROM orders",
     "corpus_stats": f"WITH {_WORDS}, {_bm25('corpus', '0', ['x'])} SELECT (SELECT count(*) FROM corpus) AS n_docs, CAST(sum(tf) AS BIGINT) AS n_terms, count(DISTINCT term) AS n_distinct, round(sum(tf) / (SELECT count(*) FROM corpus), 6) AS mean FROM post",
-    "search_empty": "SELECT '' AS doc, 0e0 AS rank WHERE false",
+    "search_empty": f"WITH {_WORDS} SELECT (SELECT count(*) FROM corpus) AS n_docs, (SELECT count(*) FROM corpus WHERE list_has_any(regexp_extract_all(text, '[a-z]+'), [])) AS total",
+    "index_terms": f"WITH {_WORDS}, {_REPLACED}, {_bm25('replaced', '0', ['x'])} SELECT * FROM df",
+    "index_lengths": f"WITH {_WORDS}, {_REPLACED}, {_bm25('replaced', '0', ['x'])} SELECT job_id, doc, CAST(coalesce(dl, 0) AS BIGINT) AS dl FROM replaced LEFT JOIN dl USING (job_id, doc)",
+    "index_totals": f"WITH {_WORDS}, {_REPLACED}, {_bm25('replaced', '0', ['x'])} SELECT n AS n_docs, CAST(total AS BIGINT) AS n_terms FROM st",
+    "search_replaced": f"WITH {_WORDS}, {_REPLACED}, {_bm25('replaced', _JOB + ' + 1', ['the', 'le', 'cafe', 'of', 'the'])} SELECT doc, round(rank, 6) AS rank FROM hit",
+    "saved_slides": f"WITH {_WORDS}, {_SAVED} SELECT * FROM ssl",
+    "saved_occurrences": f"WITH {_WORDS}, {_SAVED} SELECT * FROM soc",
+    "saved_segments": f"WITH {_WORDS}, {_SAVED} SELECT * FROM ssg",
+    "saved_again": f"WITH {_WORDS}, {_SAVED}, n AS (SELECT job_id, job_id % 4 = 0 AS anew FROM nf) SELECT job_id, CASE WHEN anew THEN 'again.mp4' ELSE concat('lecture', job_id, '.mp4') END AS video_filename, CASE WHEN NOT anew THEN 3e0 END AS fps, CASE WHEN anew THEN 0 ELSE (SELECT count(*) FROM ssl x WHERE x.job_id = n.job_id) END AS slides, CASE WHEN anew THEN 0 ELSE (SELECT count(*) FROM soc x WHERE x.job_id = n.job_id) END AS occurrences, CASE WHEN anew THEN 0 ELSE (SELECT count(*) FROM ssg x WHERE x.job_id = n.job_id) END AS segments, (SELECT count(*) FROM ssg x WHERE x.job_id = n.job_id) AS indexed FROM n",
+    "search_saved": f"WITH {_WORDS}, {_SAVED}, {_bm25('docs', _JOB, ['the', 'of', 'le', 'und'])} SELECT id, text, start_time, end_time, slide_id AS slide_number, printf('slide_%03d.jpg', slide_id) AS image_path, round(rank, 6) AS rank, (SELECT count(*) FROM hit) AS total FROM ssg JOIN hit ON hit.doc = ssg.id ORDER BY start_time, id LIMIT 50",
     "confirmed": f"WITH RECURSIVE {_SCORES} {_CAND} {_CONFIRMED} SELECT * FROM conf",
     "confirmed_appearances": f"WITH RECURSIVE {_SCORES} {_CAND} {_CONFIRMED} SELECT * FROM app",
     "representative": f"WITH RECURSIVE {_SCORES} {_CAND} {_CONFIRMED}, sm AS (SELECT g.job_id, CAST(g.appearance_index AS BIGINT) AS appearance_index, g.frame_index, row_number() OVER (PARTITION BY g.job_id, g.appearance_index ORDER BY 6e-1 * f.e + 4e-1 * ln(1 + f.p * 1e2) DESC, g.frame_index) AS place FROM grp g JOIN app a USING (job_id, appearance_index) JOIN f USING (job_id, frame_index) WHERE a.frame_count <= 12 OR list_contains(list_transform(range(12), lambda j: a.start_frame + j * (a.frame_count - 1) // 11), g.frame_index)) SELECT job_id, appearance_index, frame_index FROM sm WHERE place = 1",
@@ -127,7 +167,7 @@ SELECT doc_id, CASE WHEN length(c) > 180 THEN rtrim(substr(c, 1, 180), ' .') ELS
     "word_faults": f"WITH {_WORDS} SELECT job_id, segment_id, word_pos, CASE WHEN start_ms % 7 = 0 THEN 'missing' ELSE 'order' END AS fault FROM words WHERE start_ms % 7 = 0 OR start_ms % 11 = 0",
     "occurrence_faults": f"WITH {_WORDS} SELECT job_id, appearance_index, CASE WHEN appearance_index = 0 THEN 'start' ELSE 'order' END AS fault FROM occ WHERE appearance_index = 0 OR appearance_index % 5 = 1",
     "word_midpoints": f"WITH {_WORDS} SELECT job_id, segment_id, word_pos, start_ms / 1e3 + ((start_ms + 300) / 1e3 - start_ms / 1e3) / 2 AS mid FROM words",
-    "stored_segments": f"WITH {_WORDS} SELECT job_id, count(*) AS n FROM seg WHERE segment_id % 3 <> 0 AND trim(text) <> '' GROUP BY job_id",
+    "stored_segments": f"WITH {_WORDS} SELECT job_id, count(*) AS n FROM (SELECT job_id, CASE WHEN segment_id % 3 = 0 THEN chr(9) || ' ' || chr(8232) ELSE text END AS text FROM seg) WHERE NOT regexp_full_match(text, '{_WHITE}*') GROUP BY job_id",
     "linked_slides": f"WITH {_WORDS}, ev AS (SELECT job_id, unnest(range(1, 8)) AS slide_id FROM (SELECT DISTINCT job_id FROM osp)) SELECT ev.job_id, ev.slide_id, coalesce(string_agg(CASE WHEN speech_text <> '' THEN speech_text END, ' ' ORDER BY start_frame, appearance_index), '') AS speech_text, coalesce(string_agg(CAST(appearance_index AS VARCHAR), ',' ORDER BY start_frame, appearance_index), '') AS shown, count(osp.job_id) AS n_occurrences FROM ev LEFT JOIN osp USING (job_id, slide_id) GROUP BY ALL",
     "numbered_result": f"WITH {_WORDS}, s AS (SELECT DISTINCT job_id, slide_id FROM occ) SELECT job_id, slide_number, path FROM (SELECT job_id, CAST(row_number() OVER (PARTITION BY job_id ORDER BY slide_id) AS INTEGER) AS slide_number, CASE WHEN slide_id % 2 = 1 THEN printf('slide_%03d.jpg', slide_id) END AS path FROM s) WHERE path IS NOT NULL",
     "upsert_job": f"WITH j AS ({_JOBS}) SELECT job_id, CASE WHEN job_id % 3 = 0 THEN upper(name) ELSE name END AS name, CASE WHEN job_id % 3 <> 0 THEN total END AS total FROM j",

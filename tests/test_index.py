@@ -41,7 +41,7 @@ def test_search_as_sqlite(spark, query):
 def test_terms_as_sqlite(spark):
     """Letters of the Latin, Greek and Cyrillic blocks, composed and not, each inside a word."""
     letters = [chr(c) for c in (*range(0xC0, 0x250), *range(0x370, 0x528), *range(0x1E00, 0x2000)) if chr(c).isalpha() and c != 0x37F]
-    texts = [f"q{c}z" for c in letters] + ["cafés", "Việt ́a", "aͅb", "é", "x²"]
+    texts = [f"q{c}z" for c in letters] + ["cafe\u0301s", "Vie\u0323\u0302t \u0301a", "a\u0345b", "e\u0301", "x\u00b2", "\u0301"]
     db = sqlite3.connect(":memory:")
     db.execute("create virtual table t using fts5(x)")
     db.execute("create virtual table v using fts5vocab(t, 'instance')")
