@@ -2,43 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import series
+
 LAGS = {"short": (2, 0.25), "medium": (5, 0.40), "long": (10, 0.35)}
 WEIGHTS = {"pixel": 0.30, "edge": 0.25, "hist": 0.15, "struct_": 0.30}
 
 
 def transition_scores(frames: DataFrame) -> DataFrame:
     """job_id, frame_index, short, medium, long, combined; a lag that reaches before the first frame scores 0."""
-    w = Window.partitionBy("job_id").orderBy("frame_index")
-    change = lambda k: sum(F.lit(x) * F.abs(F.col(c) - F.lag(c, k).over(w)) for c, x in WEIGHTS.items())
-    rows = frames.select("job_id", "frame_index", *[F.coalesce(change(k), F.lit(0.0)).alias(n) for n, (k, _) in LAGS.items()])
+
+    def changes(w):
+        change = lambda k: sum(F.lit(x) * F.abs(F.col(c) - F.lag(c, k).over(w)) for c, x in WEIGHTS.items())
+        return {n: F.coalesce(change(k), F.lit(0.0)) for n, (k, _) in LAGS.items()}
+
+    rows = series.over_halo(frames, max(k for k, _ in LAGS.values()), 0, changes).select("job_id", "frame_index", *LAGS)
     return rows.withColumn("combined", sum(F.lit(x) * F.col(n) for n, (_, x) in LAGS.items()))
 
 
 def thresholds(scores: DataFrame) -> DataFrame:
     """Strong and recovery thresholds of each job from the median, its absolute deviation and high percentiles."""
-    finite = scores.where(~F.isnan("combined") & (F.abs("combined") < float("inf")))
-    first = finite.groupBy("job_id").agg(F.expr("percentile(combined, array(5e-1, 96e-2, 92e-2))").alias("p"))
-    mad = finite.join(first, "job_id").groupBy("job_id").agg(F.first("p").alias("p"), F.expr("percentile(abs(combined - p[0]), 5e-1)").alias("mad"))
+    first = series.quantiles(scores.select("job_id", F.col("combined").alias("x")), [0.5, 0.96, 0.92])
+    apart = scores.join(first, "job_id").select("job_id", F.abs(F.col("combined") - F.col("p")[0]).alias("x"))
+    mad = first.join(series.quantiles(apart, [0.5]).select("job_id", F.col("p")[0].alias("mad")), "job_id")
     m, med = F.greatest("mad", F.lit(1e-5)), F.col("p")[0]
     return mad.select("job_id", F.least(med + 5.0 * m, F.col("p")[1]).alias("strong"), F.greatest(med + 2.2 * m, F.least(med + 3.0 * m, F.col("p")[2])).alias("recovery"))
 
 
 def peaks(scores: DataFrame, limits: DataFrame) -> DataFrame:
     """Frames from the 10th on that reach a threshold and are highest in their surroundings."""
-    w = Window.partitionBy("job_id").orderBy("frame_index")
-    near = lambda r: F.max("combined").over(w.rowsBetween(-r, r))
-    rows = scores.withColumn("near3", near(3)).withColumn("near2", near(2)).join(limits, "job_id").where("frame_index >= 10")
+    near = lambda w: {f"near{r}": F.max("combined").over(w.rowsBetween(-r, r)) for r in (2, 3)}
+    rows = series.over_halo(scores, 3, 3, near).join(limits, "job_id").where("frame_index >= 10")
     strong = F.col("combined") >= F.col("strong")
     return rows.where((strong & (F.col("combined") >= F.col("near3"))) | (~strong & (F.col("combined") >= F.col("recovery")) & (F.col("combined") >= F.col("near2")))).select("job_id", "frame_index", "combined")
 
 
 def candidates(found: DataFrame, gap: int = 3) -> DataFrame:
     """Peaks at least `gap` after the last one kept, job by job."""
-    kept = F.aggregate(F.sort_array(F.collect_list("frame_index")), F.array().cast("array<bigint>"), lambda a, x: F.when((F.size(a) == 0) | (x - F.element_at(a, -1) >= gap), F.concat(a, F.array(x))).otherwise(a))
-    return found.groupBy("job_id").agg(kept.alias("kept")).select("job_id", F.explode("kept").alias("frame_index"))
+    return series.spaced(found, gap)
 
 
 def confirmed(frames: DataFrame, scores: DataFrame, found: DataFrame, share: float = 0.45) -> DataFrame:
@@ -67,5 +70,5 @@ def appearances(frames: DataFrame, boundaries: DataFrame) -> DataFrame:
     """Frames between boundaries, which begin new appearances."""
     marks = boundaries.select("job_id", "frame_index", F.lit(1).alias("mark"))
     rows = frames.select("job_id", "frame_index").join(marks, ["job_id", "frame_index"], "left")
-    index = F.sum(F.coalesce("mark", F.lit(0))).over(Window.partitionBy("job_id").orderBy("frame_index"))
-    return rows.withColumn("appearance_index", index).groupBy("job_id", "appearance_index").agg(F.min("frame_index").alias("start_frame"), F.max("frame_index").alias("end_frame"), F.count(F.lit(1)).alias("frame_count"))
+    rows = series.running(rows, F.coalesce("mark", F.lit(0)), "appearance_index", "frame_index")
+    return rows.groupBy("job_id", "appearance_index").agg(F.min("frame_index").alias("start_frame"), F.max("frame_index").alias("end_frame"), F.count(F.lit(1)).alias("frame_count"))

@@ -1,10 +1,13 @@
-"""Near-duplicate slides: hash pairs in bands, then greedy first-match representatives."""
+"""Near-duplicate slides: hash pairs in bands, a cascade of structure and edges, greedy first-match representatives."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import shared
+from . import series
+
 
 def close_hashes(rows: DataFrame, distance: int = 5) -> DataFrame:
     """(a, b, bits), a < b, of hashes at `distance` or less: they agree on one of distance + 1 bands."""
@@ -20,19 +23,74 @@ def close_hashes(rows: DataFrame, distance: int = 5) -> DataFrame:
 def greedy_slides(items: DataFrame, pairs: DataFrame) -> DataFrame:
     """slide_id of each item (job_id, i): in order, the first earlier representative it matches, else a new slide.
 
-    One job's appearances are one lecture's; they meet in one fold.
+    By rounds over the match graph pairs(job_id, a, b), a < b: an undecided item without undecided earlier matches is a
+    representative, and its later matches are not. Each round decides the first undecided item of every chain of matches;
+    for items in no particular order the rounds are few, and a chain of n slides each like the next takes n / 2.
     """
-    earlier = pairs.groupBy("job_id", F.col("b").alias("i")).agg(F.sort_array(F.collect_list("a")).alias("m"))
-    rows = items.join(earlier, ["job_id", "i"], "left").withColumn("m", F.coalesce("m", F.array().cast("array<bigint>")))
-    per_job = rows.groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("i", "m"))).alias("xs"))
-    none = F.array().cast("array<bigint>")
-    reps = F.aggregate("xs", none, lambda acc, x: F.when(F.size(F.array_intersect(acc, x["m"])) > 0, acc).otherwise(F.concat(acc, F.array(x["i"]))))
-    each = per_job.withColumn("reps", reps).select("job_id", "reps", F.explode("xs").alias("x"))
-    first = F.coalesce(F.array_min(F.array_intersect("reps", F.col("x.m"))), F.col("x.i"))
-    return each.select("job_id", F.col("x.i").alias("i"), F.array_position("reps", first).alias("slide_id"))
+    open_ = shared.stash(pairs.select("job_id", "a", "b").distinct(), "matches")
+    every, chosen = open_, None
+    undecided = shared.stash(items.select("job_id", "i").distinct(), "items")
+    while True:
+        later = open_.select("job_id", F.col("b").alias("i")).distinct()
+        new = shared.stash(undecided.join(later, ["job_id", "i"], "left_anti"), "representatives")
+        chosen = new if chosen is None else chosen.unionByName(new)
+        covered = open_.join(new.withColumnRenamed("i", "a"), ["job_id", "a"]).select("job_id", F.col("b").alias("i")).distinct()
+        decided = shared.stash(new.unionByName(covered), "decided")
+        undecided = shared.stash(undecided.join(decided, ["job_id", "i"], "left_anti"), "items")
+        if not undecided.limit(1).count():
+            break
+        for end in ("a", "b"):
+            open_ = open_.join(decided.withColumnRenamed("i", end), ["job_id", end], "left_anti")
+        open_ = shared.stash(open_, "matches")
+    numbers = series.running(chosen, F.lit(1), "slide_id", "i").select("job_id", "i", F.col("slide_id").cast("long").alias("slide_id"))
+    first = every.join(chosen.withColumnRenamed("i", "a"), ["job_id", "a"]).groupBy("job_id", F.col("b").alias("i")).agg(F.min("a").alias("a"))
+    # what matches a representative before it is never one itself
+    members = first.join(numbers.withColumnRenamed("i", "a"), ["job_id", "a"]).select("job_id", "i", "slide_id")
+    return numbers.unionByName(members)
 
 
 def numbered(slides: DataFrame) -> DataFrame:
     """Slides numbered from 1 by their first appearance."""
     first = slides.groupBy("job_id", "slide_id").agg(F.min("i").alias("first_i"), F.count(F.lit(1)).alias("n"))
-    return first.withColumn("slide_number", F.row_number().over(Window.partitionBy("job_id").orderBy("first_i")))
+    return series.running(first, F.lit(1), "slide_number", "first_i").withColumn("slide_number", F.col("slide_number").cast("int"))
+
+
+def structural_similarity(a: Column, b: Column, width: int = 8, window: int = 7, span: float = 2.0) -> Column:
+    """Mean structural similarity of two grids (row after row): over all whole windows, from means, variances and covariance
+    with the sample's correction; span is the range that values may have."""
+    at = [[(y + dy) * width + x + dx for dy in range(window) for dx in range(window)] for y in range(width - window + 1) for x in range(width - window + 1)]
+    n, c1, c2 = float(window**2), (0.01 * span) ** 2, (0.03 * span) ** 2
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda t, x: t + x)
+
+    def one(cells: list[int]) -> Column:
+        x, y = (F.array(*[F.element_at(g, i + 1) for i in cells]) for g in (a, b))
+        sums = F.struct(total(x).alias("x"), total(y).alias("y"), total(F.transform(x, lambda v: v * v)).alias("xx"), total(F.transform(y, lambda v: v * v)).alias("yy"), total(F.zip_with(x, y, lambda v, w: v * w)).alias("xy"))
+
+        def score(s: Column) -> Column:
+            mx, my = s["x"] / n, s["y"] / n
+            vx, vy, vxy = (s["xx"] - s["x"] * mx) / (n - 1), (s["yy"] - s["y"] * my) / (n - 1), (s["xy"] - s["x"] * my) / (n - 1)
+            return (2 * mx * my + c1) * (2 * vxy + c2) / ((mx * mx + my * my + c1) * (vx + vy + c2))
+
+        return F.element_at(F.transform(F.array(sums), score), 1)
+
+    return total(F.array(*[one(cells) for cells in at])) / float(len(at))
+
+
+def edge_map(grid: Column, width: int = 8, least: float = 0.25) -> Column:
+    """1 for each inner cell at which the values change by `least` or more from left to right and from top to bottom taken together."""
+    cells = [y * width + x for y in range(1, width - 1) for x in range(1, width - 1)]
+    change = lambda i, step: F.abs(F.element_at(grid, i + 1 + step) - F.element_at(grid, i + 1 - step))
+    return F.array(*[F.when(change(i, 1) + change(i, width) >= least, 1).otherwise(0) for i in cells])
+
+
+def duplicate_slides(pairs: DataFrame, grids: DataFrame, similar: float = 0.92, edges: float = 0.90, width: int = 8, span: float = 2.0) -> DataFrame:
+    """Of pairs (a, b) of close hashes those alike in structure and then in edges: a, b, ssim, edge. grids: id, v.
+
+    The costlier test is made of what passes the cheaper one.
+    """
+    sides = [grids.select(F.col("id").alias(x), F.col("v").alias(f"{x}_v")) for x in "ab"]
+    met = pairs.select("a", "b").join(sides[0], "a").join(sides[1], "b")
+    alike = met.withColumn("ssim", structural_similarity(F.col("a_v"), F.col("b_v"), width, span=span)).where(F.col("ssim") >= similar)
+    maps = F.zip_with(edge_map(F.col("a_v"), width), edge_map(F.col("b_v"), width), lambda x, y: F.abs(x - y))
+    edge = 1.0 - F.aggregate(maps, F.lit(0), lambda t, x: t + x) / float((width - 2) ** 2)
+    return alike.withColumn("edge", edge).where(F.col("edge") >= edges).select("a", "b", "ssim", "edge")
