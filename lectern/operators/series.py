@@ -16,7 +16,7 @@ from ..sources import shared
 #: Positions of a chunk.
 CHUNK = 4096
 #: Rows of a job or of a bucket that one task sorts, and buckets of a round.
-SMALL, BUCKETS = 4096, 256
+SMALL, BUCKETS = 4096, 64
 
 
 def halo(rows: DataFrame, before: int, after: int, index: str = "frame_index") -> DataFrame:
@@ -58,8 +58,9 @@ def positions(rows: DataFrame, order: list[str], name: str = "position") -> Data
 def quantiles(rows: DataFrame, at: list[float]) -> DataFrame:
     """(job_id, p): exact quantiles of x in rows (job_id, x), between neighbours in proportion; x null or not finite is left out.
 
-    Jobs of up to SMALL rows are sorted. For others each wanted rank is looked for by counting: rows fall into BUCKETS equal
-    spans of the values that are still open, the bucket that holds the rank is opened next, until its rows are few or equal.
+    Jobs of up to SMALL rows are sorted. For others each wanted rank is looked for by counting: the values that are still open
+    are cut into BUCKETS of about the same number of rows, and the bucket that holds the rank is opened next, until its rows are few or
+    equal. Rows are so divided by about BUCKETS a round, whatever the values are.
     """
     rows = rows.select("job_id", F.col("x").cast("double").alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") < float("inf")))
     rows = shared.stash(rows, "series")
@@ -85,13 +86,15 @@ def quantiles(rows: DataFrame, at: list[float]) -> DataFrame:
         open_ = open_.where((F.col("low") < F.col("high")) & (F.col("n") > SMALL))
         if not open_.limit(1).count():
             break
-        # halves of the bounds, since their difference may pass what a double holds
-        part = F.least(F.floor((F.col("x") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2) * BUCKETS), F.lit(BUCKETS - 1))
-        held = rows.join(open_, "job_id").where(F.col("x").between(F.col("low"), F.col("high"))).withColumn("bucket", part)
-        held = held.groupBy(*names, "rank", "inside", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
-        below = F.coalesce(F.sum("n").over(Window.partitionBy(*names).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        held = held.withColumn("below", below).where((F.col("inside") >= F.col("below")) & (F.col("inside") < F.col("below") + F.col("n")))
-        open_ = shared.stash(held.select("job_id", "n", "low", "high", "q", "rank", "share", "side", (F.col("inside") - F.col("below")).alias("inside")), "ranks")
+        # spans that ranks share are cut once, at values of about equal depth; what equals a cut has a bucket of its own
+        span = ["job_id", "low", "high"]
+        held = rows.join(open_.select(*span).distinct(), "job_id").where(F.col("x").between(F.col("low"), F.col("high")))
+        cuts = held.groupBy(*span).agg(F.expr(f"percentile_approx(x, array({', '.join(f'{i}D / {BUCKETS}' for i in range(BUCKETS + 1))}), 10000)").alias("cuts"))
+        bucket = F.size(F.filter("cuts", lambda c: c < F.col("x"))) + F.size(F.filter("cuts", lambda c: c <= F.col("x")))
+        held = held.join(shared.stash(cuts, "cuts"), span).groupBy(*span, bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("least"), F.max("x").alias("most"))
+        below = F.coalesce(F.sum("n").over(Window.partitionBy(*span).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        held = open_.drop("n").join(held.withColumn("below", below), span).where((F.col("inside") >= F.col("below")) & (F.col("inside") < F.col("below") + F.col("n")))
+        open_ = shared.stash(held.select("job_id", "n", F.col("least").alias("low"), F.col("most").alias("high"), "q", "rank", "share", "side", (F.col("inside") - F.col("below")).alias("inside")), "ranks")
     values = done[0]
     for d in done[1:]:
         values = values.unionByName(d)

@@ -9,15 +9,17 @@ from ..sources import shared
 from . import series
 
 
-def close_hashes(rows: DataFrame, distance: int = 5) -> DataFrame:
-    """(a, b, bits), a < b, of hashes at `distance` or less: they agree on one of distance + 1 bands."""
+def close_hashes(rows: DataFrame, distance: int = 5, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, a, b, bits), a < b, of hashes (id, phash) at `distance` or less, within rows of equal `by`: they agree on one of
+    distance + 1 bands."""
     n = distance + 1
     cut = [64 * i // n for i in range(n + 1)]
     bands = F.array(*[F.shiftrightunsigned("phash", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(cut[:-1], cut[1:], strict=True)])
-    keyed = rows.select("id", "phash", F.posexplode(bands).alias("band", "value"))
-    left, right = (keyed.select(F.col("id").alias(x), F.col("phash").alias(f"{x}_hash"), "band", "value") for x in "ab")
+    keyed = rows.select(*by, "id", "phash", F.posexplode(bands).alias("band", "value"))
+    left, right = (keyed.select(*by, F.col("id").alias(x), F.col("phash").alias(f"{x}_hash"), "band", "value") for x in "ab")
     bits = F.bit_count(F.col("a_hash").bitwiseXOR(F.col("b_hash")))
-    return left.join(right, ["band", "value"]).where(F.col("a") < F.col("b")).withColumn("bits", bits).where(F.col("bits") <= distance).select("a", "b", "bits").distinct()
+    met = left.join(right, [*by, "band", "value"]).where(F.col("a") < F.col("b")).withColumn("bits", bits)
+    return met.where(F.col("bits") <= distance).select(*by, "a", "b", "bits").distinct()
 
 
 def greedy_slides(items: DataFrame, pairs: DataFrame) -> DataFrame:

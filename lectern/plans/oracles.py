@@ -78,15 +78,39 @@ _CONFIRMED = """
 grp AS (SELECT s.job_id, s.frame_index, sum(CASE WHEN c.job_id IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY s.job_id ORDER BY s.frame_index) AS appearance_index FROM sc s LEFT JOIN conf c USING (job_id, frame_index)),
 app AS (SELECT job_id, CAST(appearance_index AS BIGINT) AS appearance_index, min(frame_index) AS start_frame, max(frame_index) AS end_frame, count(*) AS frame_count FROM grp GROUP BY job_id, appearance_index)
 """
-_UNIQUE = """
-b AS (SELECT vec_id AS i, vec_id % 3 AS job_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS s FROM embeddings),
-pr AS (SELECT y.job_id, x.i AS a, y.i AS b FROM b x JOIN b y ON x.i < y.i AND x.job_id = y.job_id WHERE list_sum(list_transform(list_zip(x.s, y.s), lambda z: CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END)) <= 19),
+_PLANTED = """
+e0 AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+e1 AS (SELECT id, v FROM e0 UNION ALL SELECT id + 1000000, list_transform(v, lambda x, i: CASE id % 4 WHEN 0 THEN CASE WHEN (i - 1 + id) % 21 = 0 THEN -x ELSE x END WHEN 1 THEN x * 101e-2 WHEN 2 THEN x * 5e-1 ELSE -x END) FROM e0),
+pl AS (SELECT id, v, list_transform(v, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS s FROM e1)
+"""
+_BITS = "CAST(list_sum(list_transform(list_zip(x.s, y.s), lambda z: CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END)) AS INTEGER)"
+
+
+def _unique(job: str) -> str:
+    return f"""{_PLANTED},
+b AS (SELECT id AS i, CAST({job} AS BIGINT) AS job_id, s FROM pl),
+pr AS (SELECT y.job_id, x.i AS a, y.i AS b FROM b x JOIN b y ON x.i < y.i AND x.job_id = y.job_id WHERE {_BITS} <= 5),
 it AS (SELECT b.job_id, b.i, row_number() OVER (PARTITION BY b.job_id ORDER BY b.i) AS n, coalesce(m.m, []) AS m FROM b LEFT JOIN (SELECT job_id, b AS i, list(a ORDER BY a) AS m FROM pr GROUP BY ALL) m USING (job_id, i)),
 fold AS (SELECT DISTINCT job_id, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS reps FROM it
   UNION ALL SELECT f.job_id, x.n, CASE WHEN list_has_any(f.reps, x.m) THEN f.reps ELSE list_append(f.reps, x.i) END FROM fold f JOIN it x ON x.job_id = f.job_id AND x.n = f.n + 1),
 fin AS (SELECT job_id, arg_max(reps, n) AS reps FROM fold GROUP BY job_id),
 uq AS (SELECT it.job_id, it.i, CAST(list_position(reps, coalesce(list_min(list_intersect(reps, m)), it.i)) AS BIGINT) AS slide_id FROM it JOIN fin USING (job_id))
 """
+
+
+_BLOCKS = "(id % 1000000) // 64"
+_WINDOWS = [[(y + dy) * 8 + x + dx + 1 for dy in range(7) for dx in range(7)] for y in (0, 1) for x in (0, 1)]
+_SSIM = " + ".join(
+    f"(SELECT (2 * mx * my + 4e-4) * (2 * (xy - 49 * mx * my) / 48 + 36e-4) / ((mx * mx + my * my + 4e-4) * ((xx - 49 * mx * mx) / 48 + (yy - 49 * my * my) / 48 + 36e-4)) FROM (SELECT list_avg(a) AS mx, list_avg(b) AS my, list_inner_product(a, a) AS xx, list_inner_product(b, b) AS yy, list_inner_product(a, b) AS xy FROM (SELECT list_select(av, {w}) AS a, list_select(bv, {w}) AS b)))"
+    for w in _WINDOWS
+)
+_INNER = [y * 8 + x + 1 for y in range(1, 7) for x in range(1, 7)]
+_CASCADE = f"""{_PLANTED},
+pr AS (SELECT x.id AS a, y.id AS b, x.v AS av, y.v AS bv FROM pl x JOIN pl y ON x.id < y.id WHERE {_BITS} <= 5),
+sm AS (SELECT *, ({_SSIM}) / 4 AS ssim FROM pr),
+ed AS (SELECT a, b, ssim, 1 - list_avg(list_transform({_INNER}, lambda i: CASE WHEN (abs(av[i + 1] - av[i - 1]) + abs(av[i + 8] - av[i - 8]) >= 25e-2) <> (abs(bv[i + 1] - bv[i - 1]) + abs(bv[i + 8] - bv[i - 8]) >= 25e-2) THEN 1e0 ELSE 0e0 END)) AS edge FROM sm WHERE ssim >= 92e-2)
+"""
+_LONG = _SCORES.replace("user_id", "CAST(0 AS BIGINT)")
 _URL = (
     "u0 AS (SELECT page_id, url FROM pages UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({-1 - i}, '{u}')" for i, u in enumerate(URLS)) + rf""")),
 u1 AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '^{_WHITE}+|{_WHITE}+$', '', 'g'), '^[\x00-\x20]+', ''), '[\t\r\n]', '', 'g') AS url FROM u0),
@@ -162,8 +186,8 @@ SELECT doc_id, CASE WHEN length(c) > 180 THEN rtrim(substr(c, 1, 180), ' .') ELS
     "confirmed": f"WITH RECURSIVE {_SCORES} {_CAND} {_CONFIRMED} SELECT * FROM conf",
     "confirmed_appearances": f"WITH RECURSIVE {_SCORES} {_CAND} {_CONFIRMED} SELECT * FROM app",
     "representative": f"WITH RECURSIVE {_SCORES} {_CAND} {_CONFIRMED}, sm AS (SELECT g.job_id, CAST(g.appearance_index AS BIGINT) AS appearance_index, g.frame_index, row_number() OVER (PARTITION BY g.job_id, g.appearance_index ORDER BY 6e-1 * f.e + 4e-1 * ln(1 + f.p * 1e2) DESC, g.frame_index) AS place FROM grp g JOIN app a USING (job_id, appearance_index) JOIN f USING (job_id, frame_index) WHERE a.frame_count <= 12 OR list_contains(list_transform(range(12), lambda j: a.start_frame + j * (a.frame_count - 1) // 11), g.frame_index)) SELECT job_id, appearance_index, frame_index FROM sm WHERE place = 1",
-    "unique_slides": f"WITH RECURSIVE {_UNIQUE} SELECT * FROM uq",
-    "slide_numbering": f"WITH RECURSIVE {_UNIQUE} SELECT job_id, CAST(row_number() OVER (PARTITION BY job_id ORDER BY min(i)) AS INTEGER) AS slide_number, min(i) AS first_i, count(*) AS n FROM uq GROUP BY job_id, slide_id",
+    "unique_slides": f"WITH RECURSIVE {_unique(_BLOCKS)} SELECT * FROM uq",
+    "slide_numbering": f"WITH RECURSIVE {_unique(_BLOCKS)} SELECT job_id, CAST(row_number() OVER (PARTITION BY job_id ORDER BY min(i)) AS INTEGER) AS slide_number, min(i) AS first_i, count(*) AS n FROM uq GROUP BY job_id, slide_id",
     "word_faults": f"WITH {_WORDS} SELECT job_id, segment_id, word_pos, CASE WHEN start_ms % 7 = 0 THEN 'missing' ELSE 'order' END AS fault FROM words WHERE start_ms % 7 = 0 OR start_ms % 11 = 0",
     "occurrence_faults": f"WITH {_WORDS} SELECT job_id, appearance_index, CASE WHEN appearance_index = 0 THEN 'start' ELSE 'order' END AS fault FROM occ WHERE appearance_index = 0 OR appearance_index % 5 = 1",
     "word_midpoints": f"WITH {_WORDS} SELECT job_id, segment_id, word_pos, start_ms / 1e3 + ((start_ms + 300) / 1e3 - start_ms / 1e3) / 2 AS mid FROM words",
@@ -193,7 +217,13 @@ SELECT doc_id, CASE WHEN length(c) > 180 THEN rtrim(substr(c, 1, 180), ' .') ELS
     "local_peaks": f"WITH {_SCORES} SELECT job_id, frame_index, round(combined, 10) AS combined FROM pk",
     "candidates": f"WITH RECURSIVE {_SCORES} {_CAND} SELECT * FROM cand",
     "appearances": f"WITH RECURSIVE {_SCORES} {_CAND}, m AS (SELECT s.job_id, s.frame_index, sum(CASE WHEN c.job_id IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY s.job_id ORDER BY s.frame_index) AS appearance_index FROM sc s LEFT JOIN cand c USING (job_id, frame_index)) SELECT job_id, CAST(appearance_index AS BIGINT) AS appearance_index, min(frame_index) AS start_frame, max(frame_index) AS end_frame, count(*) AS frame_count FROM m GROUP BY job_id, appearance_index",
-    "phash_pairs": "WITH b AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS s FROM embeddings), p AS (SELECT a.vec_id AS a, b.vec_id AS b, CAST(list_sum(list_transform(list_zip(a.s, b.s), lambda z: CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END)) AS INTEGER) AS bits FROM b a JOIN b ON a.vec_id < b.vec_id) SELECT * FROM p WHERE bits <= 19",
+    "phash_pairs": f"WITH {_PLANTED}, p AS (SELECT x.id AS a, y.id AS b, {_BITS} AS bits FROM pl x JOIN pl y ON x.id < y.id) SELECT * FROM p WHERE bits <= 5",
+    "slide_cascade": f"WITH {_CASCADE} SELECT a, b, round(ssim, 6) AS ssim, round(edge, 6) AS edge FROM ed WHERE edge >= 9e-1",
+    "unique_slides_one": f"WITH RECURSIVE {_unique('0')} SELECT * FROM uq",
+    "long_scores": f"WITH {_LONG} SELECT frame_index, round(short, 10) AS short, round(medium, 10) AS medium, round(long, 10) AS long, round(combined, 10) AS combined FROM sc",
+    "long_threshold": f"WITH {_LONG} SELECT round(strong, 10) AS strong, round(recovery, 10) AS recovery FROM th",
+    "long_candidates": f"WITH RECURSIVE {_LONG} {_CAND} SELECT frame_index FROM cand",
+    "long_appearances": f"WITH RECURSIVE {_LONG} {_CAND}, m AS (SELECT s.frame_index, sum(CASE WHEN c.job_id IS NULL THEN 0 ELSE 1 END) OVER (ORDER BY s.frame_index) AS appearance_index FROM sc s LEFT JOIN cand c USING (job_id, frame_index)) SELECT CAST(appearance_index AS BIGINT) AS appearance_index, min(frame_index) AS start_frame, max(frame_index) AS end_frame, count(*) AS frame_count FROM m GROUP BY appearance_index",
     "job_metrics": f"WITH {_WORDS} SELECT job_id, count(DISTINCT segment_id) AS segments, count(*) AS words, round((max(start_ms) + 300) / 1e3, 4) AS seconds FROM words GROUP BY job_id",
     "replace_job": f"WITH {_WORDS} SELECT job_id, slide_id, appearance_index FROM occ WHERE job_id % 3 <> 0 UNION ALL SELECT job_id, max(slide_id), 0 FROM occ WHERE job_id % 3 = 0 GROUP BY job_id",
 }

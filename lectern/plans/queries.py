@@ -242,8 +242,15 @@ def appearances(s, d):
 
 
 def phash_pairs(s, d):
-    """Pairs of sign hashes that differ in 19 bits or fewer."""
-    return slides.close_hashes(adapters.hashes(s, d), distance=19)
+    """Pairs of sign hashes that differ in 5 bits or fewer, among the vectors and a changed copy of each."""
+    return slides.close_hashes(adapters.planted_hashes(s, d), distance=5)
+
+
+def slide_cascade(s, d):
+    """Of these pairs those that are alike in structure and in edges too, the vectors taken as grids of 8 x 8."""
+    rows = shared.stash(adapters.planted_hashes(s, d), "hashes")
+    found = slides.duplicate_slides(slides.close_hashes(rows, distance=5), rows.select("id", "v"), similar=0.92, edges=0.90)
+    return found.select("a", "b", F.round("ssim", 6).alias("ssim"), F.round("edge", 6).alias("edge"))
 
 
 def job_metrics(s, d):
@@ -366,15 +373,44 @@ def representative(s, d):
     return scoring.representatives(clear, scoring.appearances(frames, _confirmed(s, d)))
 
 
-def _matches(s, d):
-    """Items (job_id, i) and their matches (job_id, a, b): hashes a fifth of whose bits differ at most, within jobs."""
-    rows = adapters.hashes(s, d)
-    pairs = slides.close_hashes(rows, distance=19).where(F.col("a") % 3 == F.col("b") % 3).select((F.col("a") % 3).alias("job_id"), "a", "b")
-    return rows.select((F.col("id") % 3).alias("job_id"), F.col("id").alias("i")), pairs
+def _matches(s, d, job):
+    """Items (job_id, i) and their matches (job_id, a, b): planted hashes at 5 bits or fewer, within jobs."""
+    rows = shared.stash(adapters.planted_hashes(s, d).select(job.cast("long").alias("job_id"), "id", "phash"), "hashes")
+    return rows.select("job_id", F.col("id").alias("i")), slides.close_hashes(rows, 5, ("job_id",)).drop("bits")
 
 
 def unique_slides(s, d):
-    return slides.greedy_slides(*_matches(s, d))
+    """Slides of lectures of 128 appearances at most."""
+    return slides.greedy_slides(*_matches(s, d, F.expr("(id % 1000000) DIV 64")))
+
+
+def unique_slides_one(s, d):
+    """All appearances as one lecture."""
+    return slides.greedy_slides(*_matches(s, d, F.lit(0)))
+
+
+def long_scores(s, d):
+    scores = scoring.transition_scores(adapters.long_signal(s, d))
+    return scores.select("frame_index", *[F.round(c, 10).alias(c) for c in ("short", "medium", "long", "combined")])
+
+
+def long_threshold(s, d):
+    limits = scoring.thresholds(scoring.transition_scores(adapters.long_signal(s, d)))
+    return limits.select(F.round("strong", 10).alias("strong"), F.round("recovery", 10).alias("recovery"))
+
+
+def _long(s, d):
+    frames = shared.stash(adapters.long_signal(s, d), "frames")
+    scores = shared.stash(scoring.transition_scores(frames), "scores")
+    return frames, scoring.candidates(scoring.peaks(scores, scoring.thresholds(scores)))
+
+
+def long_candidates(s, d):
+    return _long(s, d)[1].select("frame_index")
+
+
+def long_appearances(s, d):
+    return scoring.appearances(*_long(s, d)).drop("job_id")
 
 
 def slide_numbering(s, d):
@@ -449,6 +485,7 @@ ALL = (
     corpus_stats, search_empty, confirmed, confirmed_appearances, representative, unique_slides, slide_numbering, word_faults, occurrence_faults, word_midpoints,
     stored_segments, linked_slides, numbered_result, upsert_job, update_metrics, survivors_after_delete, schema_migration, derived_metrics,
     index_terms, index_lengths, index_totals, search_replaced, saved_slides, saved_occurrences, saved_segments, saved_again, search_saved,
+    slide_cascade, unique_slides_one, long_scores, long_threshold, long_candidates, long_appearances,
 )
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import series
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -28,18 +30,42 @@ def occurrences(timed: DataFrame) -> DataFrame:
     return rows.where(F.col("appearance_index") % 7 != 6)
 
 
+def _edge() -> Column:
+    return F.when(F.col("event_type") == "click", 0.0).when(F.col("event_type") == "view", 0.25).when(F.col("event_type") == "signup", 0.5).when(F.col("event_type") == "purchase", 0.75).otherwise(1.0)
+
+
 def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four surrogate features a frame, from events: job_id, frame_index, pixel, edge, hist, struct_."""
-    edge = F.when(F.col("event_type") == "click", 0.0).when(F.col("event_type") == "view", 0.25).when(F.col("event_type") == "signup", 0.5).when(F.col("event_type") == "purchase", 0.75).otherwise(1.0)
     index = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long") - 1
     return table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("job_id"), index.alias("frame_index"), (F.col("value") / F.lit(500.0)).alias("pixel"), edge.alias("edge"),
+        F.col("user_id").alias("job_id"), index.alias("frame_index"), (F.col("value") / F.lit(500.0)).alias("pixel"), _edge().alias("edge"),
+        (F.get_json_object("props", "$.k").cast("double") / F.lit(100.0)).alias("hist"), (F.hour("ts") / F.lit(24.0)).alias("struct_"),
+    )
+
+
+def long_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same features of all events as one lecture, numbered in two levels."""
+    frames = table(spark, sf_dir, "events").select(
+        F.lit(0).cast("long").alias("job_id"), "ts", "event_id", (F.col("value") / F.lit(500.0)).alias("pixel"), _edge().alias("edge"),
         (F.get_json_object("props", "$.k").cast("double") / F.lit(100.0)).alias("hist"), (F.hour("ts") / F.lit(24.0)).alias("struct_"),
     )
+    return series.positions(frames, ["ts", "event_id"], "frame_index").drop("ts", "event_id")
+
+
+def planted_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hashes with a changed copy of each vector: three values turned round, brightened, dimmed, or all turned round."""
+    rows = hashes(spark, sf_dir).select("id", "v")
+    kind = F.col("id") % 4
+    changed = F.transform("v", lambda x, i: F.when(kind == 0, F.when((i + F.col("id")) % 21 == 0, -x).otherwise(x)).when(kind == 1, x * 1.01).when(kind == 2, x * 0.5).otherwise(-x))
+    return _hashed(rows.unionByName(rows.withColumn("v", changed).withColumn("id", F.col("id") + 1_000_000)))
+
+
+def _hashed(rows: DataFrame) -> DataFrame:
+    bits = F.aggregate(F.transform("v", lambda x, i: F.when(x > 0, F.expr("1L")).otherwise(F.expr("0L"))), F.expr("0L"), lambda a, x: F.shiftleft(a, 1).bitwiseOR(x))
+    return rows.withColumn("phash", bits)
 
 
 def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """64-bit sign hashes of the vectors: id, phash, v."""
-    bits = F.aggregate(F.transform("v", lambda x, i: F.when(x > 0, F.expr("1L")).otherwise(F.expr("0L"))), F.expr("0L"), lambda a, x: F.shiftleft(a, 1).bitwiseOR(x))
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
-    return rows.withColumn("phash", bits)
+    return _hashed(rows)
