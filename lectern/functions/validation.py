@@ -22,6 +22,11 @@ def is_job_id(c: Column) -> Column:
     return c.rlike(r"^[0-9a-f]{8}\z")
 
 
+def new_job_id() -> Column:
+    """A random id of 32 bits; ids may meet, as the length is given."""
+    return F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 8)
+
+
 def is_query(c: Column) -> Column:
     return F.length(strip(c)).between(1, 200)
 

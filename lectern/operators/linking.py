@@ -10,9 +10,11 @@ from ..functions.scalars import strip
 FPS = 3
 
 
-def occurrence_times(occ: DataFrame) -> DataFrame:
-    """Half-open seconds of each appearance; its last frame is inside."""
-    start, end = F.col("start_frame") / F.lit(float(FPS)), (F.col("end_frame") + 1) / F.lit(float(FPS))
+def occurrence_times(occ: DataFrame, fps: float = FPS) -> DataFrame:
+    """Half-open seconds of each appearance; its last frame is inside. A rate that isn't positive raises."""
+    if not fps > 0:
+        raise ValueError(f"{fps} frames a second")
+    start, end = F.col("start_frame") / F.lit(float(fps)), (F.col("end_frame") + 1) / F.lit(float(fps))
     return occ.select("job_id", "slide_id", "appearance_index", F.round(start, 3).alias("start_time"), F.round(end, 3).alias("end_time"))
 
 

@@ -59,6 +59,30 @@ def derived_metrics(metrics: DataFrame) -> DataFrame:
     return metrics.withColumn("processing_ratio", F.when(F.col("duration") > 0, F.round(F.col("total") / F.col("duration"), 4)))
 
 
+#: The columns of a job's record.
+RECORD = (
+    "video_size_bytes", "video_duration_sec", "processing_fps", "whisper_model", "device", "download_time_sec", "frame_extraction_time_sec", "slide_detection_time_sec", "pdf_generation_time_sec", "audio_extraction_time_sec", "transcription_time_sec",
+    "slide_speech_linking_time_sec", "database_storage_time_sec", "total_processing_time_sec", "frames_extracted", "unique_slides", "slide_appearances", "transcript_segments", "transcript_words", "pdf_size_bytes", "processing_ratio", "peak_memory_mb",
+)
+_TEXTS, _COUNTS = ("whisper_model", "device"), ("video_size_bytes", "frames_extracted", "unique_slides", "slide_appearances", "transcript_segments", "transcript_words", "pdf_size_bytes")
+
+
+def job_record(measured: DataFrame) -> DataFrame:
+    """job_id and the columns of RECORD; what wasn't measured is null, and columns of other names are left out.
+
+    Unless they are given, the total is the sum of the stages' seconds without the download, null ones as none, and the ratio
+    is the total by the lecture's seconds, to four places, where these are known and positive.
+    """
+    stages = [c for c in RECORD if c.endswith("_time_sec") and not c.startswith(("download", "total")) and c in measured.columns]
+    rows = measured
+    if "total_processing_time_sec" not in rows.columns:
+        rows = rows.withColumn("total_processing_time_sec", sum((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in stages), F.lit(0.0)))
+    if "processing_ratio" not in rows.columns and "video_duration_sec" in rows.columns:
+        rows = rows.withColumn("processing_ratio", F.when(F.col("video_duration_sec") > 0, F.round(F.col("total_processing_time_sec") / F.col("video_duration_sec"), 4)))
+    kind = lambda c: "string" if c in _TEXTS else "bigint" if c in _COUNTS else "double"
+    return rows.select("job_id", *[(F.col(c) if c in rows.columns else F.lit(None)).cast(kind(c)).alias(c) for c in RECORD])
+
+
 def library(spark: SparkSession, root: str | None = None, buckets: int = 16) -> Store:
     """The stored tables of processed lectures at root, or in a new place of the shared folder."""
     return Store(spark, root or shared.fresh(spark, "library"), TABLES, buckets)

@@ -173,6 +173,16 @@ SELECT doc_id, CASE WHEN length(c) > 180 THEN rtrim(substr(c, 1, 180), ' .') ELS
     "preview": "SELECT doc_id, CASE WHEN length(text) > 180 THEN substr(text, 1, 180) || '...' ELSE text END AS text FROM documents",
     "ratio": "SELECT o_orderkey, CASE WHEN o_orderkey % 4 > 0 THEN printf('%.2f', floor(floor(o_totalprice) / 128e0 * 100 + 5e-1) / 100) || '×' ELSE '—' END AS shown FROM orders",
     "corpus_stats": f"WITH {_WORDS}, {_bm25('corpus', '0', ['x'])} SELECT (SELECT count(*) FROM corpus) AS n_docs, CAST(sum(tf) AS BIGINT) AS n_terms, count(DISTINCT term) AS n_distinct, round(sum(tf) / (SELECT count(*) FROM corpus), 6) AS mean FROM post",
+    "transcript_words": f"WITH {_WORDS} SELECT job_id, segment_id, CAST(word_pos AS INTEGER) AS word_pos, word, start_ms / 1e3 AS start, (start_ms + 300) / 1e3 AS end FROM words WHERE segment_id % 9 <> 4 AND start_ms // 400 % 11 NOT IN (3, 5, 8, 9)",
+    "transcript_faults": f"WITH {_WORDS} SELECT job_id, segment_id, CAST(word_pos AS INTEGER) AS word_pos, CASE start_ms // 400 % 11 WHEN 3 THEN 'object' WHEN 5 THEN 'missing' WHEN 8 THEN 'number' ELSE 'order' END AS fault FROM words WHERE segment_id % 9 <> 4 AND start_ms // 400 % 11 IN (3, 5, 8, 9) UNION ALL SELECT DISTINCT job_id, segment_id, -1, 'words' FROM words WHERE segment_id % 9 = 4",
+    "linked_json": f"WITH {_WORDS}, c AS (SELECT job_id, count(DISTINCT slide_id) AS slides, count(*) AS appearances FROM occ GROUP BY job_id), w AS (SELECT job_id, appearance_index, segment_id, count(*) AS n_words FROM linked GROUP BY ALL) SELECT job_id, slides, appearances, seg.slide_id, appearance_index, round((end_frame + 1) / 3e0, 3) AS end_time, segment_id, start_ms / 1e3 AS start, end_ms / 1e3 AS end, text, n_words FROM seg JOIN c USING (job_id) JOIN w USING (job_id, appearance_index, segment_id) JOIN occ USING (job_id, appearance_index)",
+    "artifact_listing": r"SELECT conv_id, count(*) AS n, min(CAST(turn AS VARCHAR)) AS first, CAST(sum(strlen(text) + 1) AS BIGINT) AS length FROM conversations GROUP BY conv_id",
+    "job_ids": "SELECT count(*) AS n, count(*) AS ok FROM customer",
+    "job_record": f"""WITH {_WORDS}, a AS (SELECT job_id, count(DISTINCT segment_id) AS transcript_segments, count(*) AS transcript_words, CASE WHEN job_id % 7 > 0 THEN (max(start_ms) + 300) / 1e3 END AS video_duration_sec FROM words GROUP BY job_id),
+b AS (SELECT job_id, count(DISTINCT slide_id) AS unique_slides, count(*) AS slide_appearances, max(end_frame) + 1 AS frames_extracted FROM occ GROUP BY job_id),
+t AS (SELECT *, CASE WHEN job_id % 2 > 0 THEN transcript_words * 5e-1 END AS download_time_sec, CASE WHEN job_id % 3 > 0 THEN transcript_words * 125e-3 END AS frame_extraction_time_sec, CASE WHEN job_id % 4 > 0 THEN transcript_words * 25e-2 END AS slide_detection_time_sec, CASE WHEN job_id % 5 > 0 THEN transcript_words * 1e0 END AS transcription_time_sec FROM a JOIN b USING (job_id)),
+u AS (SELECT *, coalesce(frame_extraction_time_sec, 0) + coalesce(slide_detection_time_sec, 0) + coalesce(transcription_time_sec, 0) AS total_processing_time_sec FROM t)
+SELECT job_id, transcript_words * 1000 AS video_size_bytes, video_duration_sec, CAST(NULL AS DOUBLE) AS processing_fps, 'small.en' AS whisper_model, CAST(NULL AS VARCHAR) AS device, download_time_sec, frame_extraction_time_sec, slide_detection_time_sec, CAST(NULL AS DOUBLE) AS pdf_generation_time_sec, CAST(NULL AS DOUBLE) AS audio_extraction_time_sec, transcription_time_sec, CAST(NULL AS DOUBLE) AS slide_speech_linking_time_sec, CAST(NULL AS DOUBLE) AS database_storage_time_sec, total_processing_time_sec, frames_extracted, unique_slides, slide_appearances, transcript_segments, transcript_words, unique_slides * 2048 AS pdf_size_bytes, CASE WHEN video_duration_sec > 0 THEN round(total_processing_time_sec / video_duration_sec, 4) END AS processing_ratio, CAST(NULL AS DOUBLE) AS peak_memory_mb FROM u""",
     "search_empty": f"WITH {_WORDS} SELECT (SELECT count(*) FROM corpus) AS n_docs, (SELECT count(*) FROM corpus WHERE list_has_any(regexp_extract_all(text, '[a-z]+'), [])) AS total",
     "index_terms": f"WITH {_WORDS}, {_REPLACED}, {_bm25('replaced', '0', ['x'])} SELECT * FROM df",
     "index_lengths": f"WITH {_WORDS}, {_REPLACED}, {_bm25('replaced', '0', ['x'])} SELECT job_id, doc, CAST(coalesce(dl, 0) AS BIGINT) AS dl FROM replaced LEFT JOIN dl USING (job_id, doc)",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars, validation
 from ..operators import linking, scoring, search, slides, store
-from ..sources import adapters, shared
+from ..sources import adapters, listings, shared, transcripts
 from ..sources.adapters import table
 
 QUERY = "the of and"
@@ -477,6 +477,81 @@ def derived_metrics(s, d):
     return store.derived_metrics(rows)
 
 
+def _transcripts(s, d):
+    """Conversations written as JSON lines, with wrong types planted: every 11 words one of four kinds, every 9 turns a number
+    for the list of words. Read back: job_id, doc."""
+    timed = adapters.words(s, d)
+    second = lambda c: F.format_string("%.3f", F.col(c) / F.lit(1000.0))
+    text = F.to_json(F.struct("word"))
+    text = F.substring(text, 9, 1_000_000_000)  # the value and the closing brace
+    whole = lambda start: F.concat(F.lit('{"start": '), start, F.lit(', "end": '), second("end_ms"), F.lit(', "word": '), text)
+    kind = (F.col("start_ms") / F.lit(400)).cast("long") % 11
+    item = F.when(kind == 3, F.lit('"oops"')).when(kind == 5, F.lit('{"start": 1, "word": "x"}')).when(kind == 7, whole(F.concat(F.lit('"'), second("start_ms"), F.lit('"')))).when(kind == 8, whole(F.lit('"soon"'))).when(kind == 9, whole(F.lit("1e9"))).otherwise(whole(second("start_ms")))
+    items = timed.withColumn("item", item).groupBy("job_id", "segment_id").agg(F.array_sort(F.collect_list(F.struct("word_pos", "item"))).alias("xs"))
+    listed = F.when(F.col("segment_id") % 9 == 4, F.lit("5")).otherwise(F.concat(F.lit("["), F.array_join(F.transform("xs", lambda x: x["item"]), ", "), F.lit("]")))
+    turns = items.select("job_id", "segment_id", F.concat(F.lit('{"id": '), F.col("segment_id").cast("string"), F.lit(', "words": '), listed, F.lit("}")).alias("turn"))
+    lines = turns.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("segment_id", "turn"))).alias("ts"))
+    doc = F.concat(F.lit('{"job": '), F.col("job_id").cast("string"), F.lit(', "segments": ['), F.array_join(F.transform("ts", lambda t: t["turn"]), ", "), F.lit("]}"))
+    path = shared.fresh(s, "transcripts")
+    lines.select(doc.alias("doc")).write.text(path)
+    return transcripts.read_documents(s, path, lines=True).select(F.variant_get("doc", "$.job", "bigint").alias("job_id"), "doc")
+
+
+def transcript_words(s, d):
+    found = transcripts.words(_transcripts(s, d))
+    return found.where("fault IS NULL").select("job_id", "segment_id", "word_pos", "word", "start", "end")
+
+
+def transcript_faults(s, d):
+    docs = shared.stash(_transcripts(s, d), "documents")
+    words = transcripts.words(docs).where("fault IS NOT NULL").select("job_id", "segment_id", "word_pos", "fault")
+    return words.unionByName(transcripts.segments(docs).where("fault IS NOT NULL").select("job_id", "segment_id", F.lit(-1).alias("word_pos"), "fault"))
+
+
+def linked_json(s, d):
+    """Linked lectures written as JSON, read again, and taken apart to their segments."""
+    words, occ = (shared.stash(x, "lectures") for x in _words(s, d))
+    linked = shared.stash(linking.link_words(words, occ), "lectures")
+    speech = linking.occurrence_speech(occ, linking.linked_segments(linked))
+    shown = occ.join(linking.occurrence_times(occ).drop("slide_id"), ["job_id", "appearance_index"]).join(speech.select("job_id", "appearance_index", "speech_text"), ["job_id", "appearance_index"])
+    own = linking.slide_speech(speech).select("job_id", "slide_id", F.format_string("slide_%03d.jpg", "slide_id").alias("representative_path"), "speech_text")
+    said = linked.select("job_id", "slide_id", "appearance_index", F.col("segment_id").alias("seg_pos"), "segment_id", "word_pos", "word", (F.col("start_ms") / F.lit(1000.0)).alias("start"), (F.col("end_ms") / F.lit(1000.0)).alias("end"))
+    path = shared.fresh(s, "linked")
+    transcripts.write_documents(transcripts.linked_documents(own, shown, said), path)
+    docs = transcripts.read_documents(s, path, lines=True)
+    get = lambda c, at, kind: F.variant_get(c, f"$.{at}", kind)
+    slides_ = docs.select(get("doc", "job_id", "bigint").alias("job_id"), get("doc", "slide_count", "bigint").alias("slides"), get("doc", "appearance_count", "bigint").alias("appearances"), F.explode(get("doc", "slides", "array<variant>")).alias("s"))
+    times = slides_.select("job_id", "slides", "appearances", get("s", "slide_id", "bigint").alias("slide_id"), F.explode(get("s", "occurrences", "array<variant>")).alias("o"))
+    parts = times.select("job_id", "slides", "appearances", "slide_id", get("o", "appearance_index", "bigint").alias("appearance_index"), get("o", "end_time", "double").alias("end_time"), F.explode(get("o", "speech_segments", "array<variant>")).alias("x"))
+    return parts.select("job_id", "slides", "appearances", "slide_id", "appearance_index", "end_time", get("x", "segment_id", "bigint").alias("segment_id"), get("x", "start", "double").alias("start"), get("x", "end", "double").alias("end"), get("x", "text", "string").alias("text"), F.size(get("x", "words", "array<variant>")).cast("long").alias("n_words"))
+
+
+def artifact_listing(s, d):
+    """Turns of conversations written as files, a folder each, and listed: files, first name by its bytes, bytes of all."""
+    path = shared.fresh(s, "files")
+    turns = table(s, d, "conversations").select("conv_id", "turn", F.regexp_replace("text", "\n", " ").alias("value"))
+    turns.repartition("conv_id").write.partitionBy("conv_id", "turn").text(path)
+    found = listings.files(s, path, "txt").withColumn("turn", F.regexp_extract("folder", "turn=([0-9]+)$", 1)).withColumn("folder", F.regexp_extract("folder", "conv_id=([0-9]+)/", 1))
+    return listings.first_files(found.withColumn("name", F.col("turn"))).select(F.col("folder").cast("long").alias("conv_id"), "n", "first", "length")
+
+
+def job_record(s, d):
+    """The record of a job's processing, from what was counted and timed."""
+    words, occ = _words(s, d)
+    counts = words.groupBy("job_id").agg(F.countDistinct("segment_id").alias("transcript_segments"), F.count(F.lit(1)).alias("transcript_words"), F.max("end_ms").alias("end_ms"))
+    shown = occ.groupBy("job_id").agg(F.countDistinct("slide_id").alias("unique_slides"), F.count(F.lit(1)).alias("slide_appearances"), (F.max("end_frame") + 1).alias("frames_extracted"))
+    rows = counts.join(shown, "job_id").withColumn("video_duration_sec", F.when(F.col("job_id") % 7 > 0, F.col("end_ms") / F.lit(1000.0)))
+    timed = {f"{n}_time_sec": F.when(F.col("job_id") % k > 0, F.col("transcript_words") * F.lit(x)) for k, (n, x) in enumerate((("download", 0.5), ("frame_extraction", 0.125), ("slide_detection", 0.25), ("transcription", 1.0)), 2)}
+    sizes = {"video_size_bytes": F.col("transcript_words") * 1000, "pdf_size_bytes": F.col("unique_slides") * 2048, "whisper_model": F.lit("small.en"), "unknown": F.lit(1)}
+    return store.job_record(rows.withColumns(timed | sizes).drop("end_ms"))
+
+
+def job_ids(s, d):
+    """New ids for all customers' jobs: how many there are, and how many are of the right form."""
+    rows = table(s, d, "customer").select(validation.new_job_id().alias("job_id"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(validation.is_job_id(F.col("job_id"))).alias("ok"))
+
+
 ALL = (
     clean_text, format_time, format_duration, format_bytes, safe_filename, image_basename, fit_to_page, validate_job_id, validate_query, validate_url_api, frame_budget,
     occurrence_times, timeline_violations, link_words, link_words_asof, linked_segments, occurrence_speech, slide_speech, link_summary,
@@ -486,6 +561,7 @@ ALL = (
     stored_segments, linked_slides, numbered_result, upsert_job, update_metrics, survivors_after_delete, schema_migration, derived_metrics,
     index_terms, index_lengths, index_totals, search_replaced, saved_slides, saved_occurrences, saved_segments, saved_again, search_saved,
     slide_cascade, unique_slides_one, long_scores, long_threshold, long_candidates, long_appearances,
+    transcript_words, transcript_faults, linked_json, artifact_listing, job_record, job_ids,
 )
 
 
