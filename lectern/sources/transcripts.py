@@ -11,11 +11,10 @@ from ..functions.scalars import clean_text
 def read_documents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """name, doc (variant), fault: each file under path is a document, or each line of its files. A path that isn't there raises.
 
-    fault tells what isn't JSON (`syntax`) or isn't an object (`shape`); doc is null then.
+    fault tells what isn't JSON (`syntax`) or isn't an object (`shape`); doc is null then. Files of no bytes give no rows, as Spark
+    passes over them.
     """
-    # files whole as bytes: the text source passes over empty ones
-    rows = spark.read.text(path) if lines else spark.read.format("binaryFile").load(path).withColumn("value", F.col("content").cast("string"))
-    text = rows.select(F.regexp_extract("_metadata.file_name", r"^(.*?)(\.[^.]*)?$", 1).alias("name"), "value")
+    text = spark.read.text(path, wholetext=not lines).select(F.regexp_extract("_metadata.file_name", r"^(.*?)(\.[^.]*)?$", 1).alias("name"), "value")
     parsed = text.withColumn("doc", F.try_parse_json("value"))
     fault = F.when(F.col("doc").isNull(), "syntax").when(~_is_object(F.col("doc")), "shape")
     return parsed.select("name", F.when(fault.isNull(), F.col("doc")).alias("doc"), fault.alias("fault"))

@@ -11,7 +11,7 @@ from lectern.sources import listings, transcripts
 
 
 def test_documents(spark, tmp_path):
-    for name, text in {"a": '{"x": 1}', "b": "[1]", "c": "{", "d": "", "e": "null", "f": '"s"'}.items():
+    for name, text in {"a": '{"x": 1}', "b": "[1]", "c": "{", "d": " ", "g": "", "e": "null", "f": '"s"'}.items():
         (tmp_path / f"{name}.json").write_text(text)
     got = transcripts.read_documents(spark, str(tmp_path))
     assert {r["name"]: r["fault"] for r in got.select("name", "fault").collect()} == {"a": None, "b": "shape", "c": "syntax", "d": "syntax", "e": "shape", "f": "shape"}
