@@ -31,11 +31,19 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (sets of five-word shingles alike to 0.8 or more) keep the document with the smallest id."""
+    """Of each group of near copies (sets of five-word shingles alike to 0.8 or more) keep the document with the smallest id (one row of it)."""
     found = simhash.similar_documents(docs, shingle=5, similarity=0.8)
-    other = common.fresh("kept_id", docs.columns)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(other)).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept[other]), "left_semi")
+    own, sha, copies = (common.fresh(c, docs.columns) for c in ("kept_id", "kept_sha", "copies"))
+    # a row is known by its id and text, since an id may stand on several rows
+    kept = found.groupBy(F.col("doc_id").alias(own), F.col("text_sha256").alias(sha)).agg(F.count(F.lit(1)).alias(copies), F.max("kept").alias("kept")).where("kept").drop("kept")
+    kept = common.stash(kept, "kept")
+    text = F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")).cast("binary"), 256)
+    same = docs["doc_id"].eqNullSafe(kept[own]) & (text == kept[sha])
+    out = docs.join(kept.where(F.col(copies) == 1), same, "left_semi")
+    if kept.where(F.col(copies) > 1).limit(1).count():  # rows of one id and one text: one stays
+        again = docs.join(kept.where(F.col(copies) > 1), same, "left_semi").withColumn(sha, text)
+        out = out.unionByName(again.dropDuplicates(["doc_id", sha]).drop(sha))
+    return out
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

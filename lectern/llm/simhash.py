@@ -531,7 +531,8 @@ def _prefix_pairs(texts: DataFrame, parities: DataFrame, classes: DataFrame, dou
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, seeds: int = _SET_SEEDS, distance: int = _SET_DISTANCE) -> DataFrame:
-    """One row per input row: id_col, component_id, over links of `similarity` or more between sets of `shingle`-word shingles.
+    """One row per input row: id_col, component_id, text_sha256, kept, over links of `similarity` or more between sets of
+    `shingle`-word shingles. kept: the row of the class with the smallest id, of several rows of that id one.
 
     Texts with one set of shingles are settled by 128 bits of it. Then candidates are pairs whose word-set fingerprints
     differ in `distance` bits or fewer under one of the seeds, found through the index. Counts of shingles by bucket refute
@@ -542,7 +543,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     common.bound_batches(docs.sparkSession)
     body = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), body.alias("body"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), body.alias("body"), F.sha2(body, 256).alias("sha"))
     rows = common.stash(rows, "numbered")  # row numbers are those of this table in every job
     digests = common.stash(_set_digests(rows.select("row", "body"), shingle), "set-digests")
     sets = digests.groupBy("digest").agg(F.min("row").alias("rep"))
@@ -568,6 +569,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     pairs = _prefix_pairs(texts, digests.select("row", *_PARITY), at, equal.select(F.col("b").alias("row")), shingle, similarity)
     alike = alike.unionByName(verified(pairs.join(edges, ["a", "b"], "left_anti")))
     roots = components(alike)
-    keyed = rows.select("row", "id").join(roots, F.col("row") == F.col("node"), "left").select("id", F.coalesce("root", "row").alias("root"))
-    named = keyed.groupBy("root").agg(F.min("id").alias("component_id"))
-    return keyed.join(named, "root").select(F.col("id").alias(id_col), "component_id")
+    keyed = rows.select("row", "id", "sha").join(roots, F.col("row") == F.col("node"), "left").select("row", "id", "sha", F.coalesce("root", "row").alias("root"))
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")
+    named = keyed.groupBy("root").agg(F.min("id").alias("component_id"), best)
+    return keyed.join(named, "root").select(F.col("id").alias(id_col), "component_id", F.col("sha").alias("text_sha256"), (F.col("row") == F.col("best.row")).alias("kept"))
