@@ -168,13 +168,16 @@ class Network:
         return [(a, b, self.labels[best[a]]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
-def fit(docs: DataFrame, labelled: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Network | None:
-    """A network from at most sample_rows rows for which `labelled` holds, drawn by a hash of the id; None without any."""
+def fit(docs: DataFrame, labelled: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample_rows: int = SAMPLE_ROWS, slices: int = SLICES, slice_chars: int = SLICE_CHARS) -> Network | None:
+    """A network from at most sample_rows rows for which `labelled` holds, drawn by a hash of the id; None without any.
+
+    Of a text longer than slices * slice_chars so many slices of so many characters are learnt from, from anywhere in it.
+    """
     rows = docs.where(labelled & F.col(label_col).isNotNull() & (F.length(text_col) > 0))
     text, size = F.col(text_col).cast("string"), F.length(text_col)
-    start = lambda k: F.pmod(F.xxhash64(F.col(id_col), F.lit(k)), F.greatest(size - SLICE_CHARS, F.lit(0)) + 1).cast("int") + 1
-    slices = F.concat_ws(" ", *[F.substr(text, start(k), F.lit(SLICE_CHARS)) for k in range(SLICES)])
-    body = F.when(size <= SLICES * SLICE_CHARS, text).otherwise(slices)
+    start = lambda k: F.pmod(F.xxhash64(F.col(id_col), F.lit(k)), F.greatest(size - slice_chars, F.lit(0)) + 1).cast("int") + 1
+    some = F.concat_ws(" ", *[F.substr(text, start(k), F.lit(slice_chars)) for k in range(slices)])
+    body = F.when(size <= slices * slice_chars, text).otherwise(some)
     rows = rows.select(F.xxhash64(F.col(id_col), text).alias("draw"), F.col(label_col).cast("string").alias("label"), body.alias("body"))
     # a bound on the draw instead of a sort: about a quarter more than needed comes, repeated rows once
     share = min(1.0, 1.25 * sample_rows / max(1, rows.count()))
