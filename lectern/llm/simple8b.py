@@ -8,16 +8,21 @@ by side with array operations.
 A segment is one self-contained piece of a file (numbers little-endian):
   magic 'S8BSEG1\\0', then uint64 n_docs, n_ids, n_words; int64 doc_id[n_docs]; uint64 known[n_docs] (0: null id);
   uint64 length[n_docs]; uint64 offset[n_blocks + 1]; uint64 word[n_words].
-Segments are stored as rows of a Parquet table (shard, seq, n_docs, n_ids, image) in ascending doc_id order, so that
-Spark's commit protocol covers them and any store Spark writes to will do; `image` is the file's bytes.
+A file (shard-00000.s8b and so on) is some segments one after another; files, and segments in them, are in ascending
+doc_id order. Tasks write files under names of their attempts; a manifest (shard, seq, file, at, size, n_docs, n_ids: a row a
+segment) goes through Spark's commit protocol and so names those of the attempts that count; these files are then renamed.
+Files are reached through pyarrow's file systems (local, HDFS, S3 and others by the folder's scheme), in a folder that all
+executors share.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -160,40 +165,65 @@ def read_segment(image: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return parts[0], parts[1] != 0, parts[2].astype(np.int64), unpack(n, parts[3], parts[4])
 
 
-def write_ids(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
-    """Encode every whole text (null: empty), append end_id, write segments in ascending id order; the stored table of segments.
+def _open(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a folder, and the folder's path in it."""
+    return pyarrow.fs.FileSystem.from_uri(folder) if ":" in folder else (pyarrow.fs.LocalFileSystem(), folder)
 
-    Null ids sort first; rows of equal id are ordered by their text, and spread over partitions by its hash, so one id
-    on many rows does no harm. An empty table gives no segments. Columns besides the two named are not read.
+
+def write_ids(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None, folder: str | None = None) -> DataFrame:
+    """Encode every whole text (null: empty), append end_id, write files in ascending id order; their manifest.
+
+    folder: a new one; if none is named, one in the shared folder. Null ids sort first; rows of equal id are ordered by their
+    text, and spread over partitions by its hash, so one id on many rows does no harm. An empty table gives no files. Columns
+    besides the two named are not read.
     """
     spark = docs.sparkSession
     common.bound_batches(spark)
+    folder = (folder or f"{common.scratch(spark)}/ids-{uuid.uuid4().hex}").rstrip("/")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
     ranged = rows.repartitionByRange(partitions or common.shuffle_parts(spark), "id", F.xxhash64("body")).sortWithinPartitions("id", F.xxhash64("body"), "body")
 
     def encode(batches):
         shard, seq, coder, held, ids, total = TaskContext.get().partitionId(), 0, word_tokens.coder(tokenizer, end_id), [], [], 0
+        system, at, out, name = *_open(folder), None, f"{shard:05d}-{uuid.uuid4().hex}"
+        done = 0
 
         def row():
+            nonlocal out, done
+            if out is None:
+                system.create_dir(f"{at}/attempts")
+                out = system.open_output_stream(f"{at}/attempts/{name}")
             image = segment(held, ids)
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((shard, pa.int32()), (seq, pa.int64()), (len(held), pa.int64()), (total, pa.int64()), (image, pa.binary()))], names=["shard", "seq", "n_docs", "n_ids", "image"])
+            out.write(image)
+            done += len(image)
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((shard, pa.int32()), (seq, pa.int64()), (name, pa.string()), (done - len(image), pa.int64()), (len(image), pa.int64()), (len(held), pa.int64()), (total, pa.int64()))], names=["shard", "seq", "file", "at", "size", "n_docs", "n_ids"])
 
+        made = []
         for batch in batches:
             for d, x in zip(batch.column(0).to_pylist(), coder.encode_many(batch.column(1).to_pylist()), strict=True):
                 held.append(d)
                 ids.append(x)
                 total += len(x)
                 if total >= SEGMENT_IDS:
-                    yield row()
+                    made.append(row())
                     held, ids, total, seq = [], [], 0, seq + 1
         if held:
-            yield row()
+            made.append(row())
+        if out is not None:
+            out.close()
+        yield from made  # a row a segment, and only once the file is whole
 
-    return common.stash(ranged.mapInArrow(encode, "shard int, seq long, n_docs long, n_ids long, image binary"), "token-ids", "none")
+    manifest = common.stash(ranged.mapInArrow(encode, "shard int, seq long, file string, at long, size long, n_docs long, n_ids long"), "token-manifest")
+    system, at = _open(folder)
+    for r in manifest.select("shard", "file").distinct().toLocalIterator():  # as many as partitions
+        system.move(f"{at}/attempts/{r['file']}", f"{at}/shard-{r['shard']:05d}.s8b")
+    system.create_dir(f"{at}/attempts")
+    system.delete_dir(f"{at}/attempts")
+    return manifest.withColumn("file", F.format_string(f"{folder}/shard-%05d.s8b".replace("%", "%%").replace("%%05d", "%05d"), "shard"))
 
 
 def read_ids(segments: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row per document, from the stored segments alone: id_col, start, n_tokens, ids_crc32."""
+    """One row per document, from the files that a manifest names: id_col, start, n_tokens, ids_crc32."""
     spark = segments.sparkSession
     common.bound_batches(spark)
     # shards are as many as partitions wrote them: this window over one row a shard stays small
@@ -204,12 +234,15 @@ def read_ids(segments: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     def decode(batches):
         for batch in batches:
-            for shard, seq, image in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                docs, known, lengths, ids = read_segment(image.as_buffer())
+            for shard, seq, file, first, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                system, path = _open(file)
+                with system.open_input_file(path) as f:
+                    docs, known, lengths, ids = read_segment(f.read_at(size, first))
                 raw, ends = memoryview(ids.astype("<u4").tobytes()), np.cumsum(lengths)
                 crc = [zlib.crc32(raw[4 * (b - n) : 4 * b]) for n, b in zip(lengths.tolist(), ends.tolist(), strict=True)]
                 of = [pa.array(np.full(len(docs), x, t)) for x, t in ((shard, np.int32), (seq, np.int64))]
                 yield pa.RecordBatch.from_arrays([*of, pa.array(docs, pa.int64(), mask=~known), pa.array(ends - lengths), pa.array(lengths), pa.array(crc, pa.int64())], names=["shard", "seq", "id", "at", "n_tokens", "ids_crc32"])
 
-    read = segments.select("shard", "seq", "image").mapInArrow(decode, "shard int, seq long, id long, at long, n_tokens long, ids_crc32 long")
+    dealt = segments.select("shard", "seq", "file", "at", "size").repartition(4 * common.shuffle_parts(spark), "shard", "seq")
+    read = dealt.mapInArrow(decode, "shard int, seq long, id long, at long, n_tokens long, ids_crc32 long")
     return read.join(starts, ["shard", "seq"]).select(F.col("id").alias(id_col), (F.col("start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
