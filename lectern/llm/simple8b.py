@@ -179,6 +179,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_i
     """
     spark = docs.sparkSession
     common.bound_batches(spark)
+    most = SEGMENT_IDS
     folder = (folder or f"{common.scratch(spark)}/ids-{uuid.uuid4().hex}").rstrip("/")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
     ranged = rows.repartitionByRange(partitions or common.shuffle_parts(spark), "id", F.xxhash64("body")).sortWithinPartitions("id", F.xxhash64("body"), "body")
@@ -204,7 +205,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_i
                 held.append(d)
                 ids.append(x)
                 total += len(x)
-                if total >= SEGMENT_IDS:
+                if total >= most:
                     made.append(row())
                     held, ids, total, seq = [], [], 0, seq + 1
         if held:

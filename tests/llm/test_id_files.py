@@ -11,7 +11,7 @@ WORD = public_tokenizers.path("word_bpe_49k.json")
 
 
 def test_files_by_themselves(spark, tmp_path, monkeypatch):
-    texts = [(5, "b b b " * 30), (None, "null id"), (1, "one"), (1, None), (9, "x, y. " * 400), (7, "seven")]
+    texts = [(5, "b b b " * 30), (None, "null id"), (1, "one"), (1, None), (9, "x, y. " * 400), (7, "seven"), *((i, "some words " * 6) for i in range(20, 40))]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     monkeypatch.setattr(simple8b, "SEGMENT_IDS", 20)
     manifest = simple8b.write_ids(docs, WORD, end_id=1, partitions=3, folder=f"{tmp_path}/ids")

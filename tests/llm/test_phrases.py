@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,6 +56,25 @@ def test_brute_force(spark, rows, monkeypatch, size, longest):
     assert sorted(map(tuple, got.collect())) == counted(rows, longest, 10, 50, 40)
 
 
+@pytest.mark.parametrize("size", [1, 7, 40, 700])
+def test_slices_lose_and_repeat_nothing(rows, monkeypatch, size):
+    """In this process, so that the bound holds: n-grams of small slices are those of the texts taken whole."""
+    batch = pa.record_batch([pa.array([lang or "und" for lang, _ in rows]), pa.array([t or "" for _, t in rows])], ["lang", "text"])
+
+    def grams():
+        out = Counter()
+        for words, langs in phrases.slices(iter([batch.slice(2, 20), batch.slice(22)]), 2):
+            text = words.distinct.to_pylist()
+            places = {1: np.arange(words.own)} | {n: words.starts(n) for n, _ in words.hashes(3, langs)}
+            for n, at in places.items():
+                out.update((langs[words.lang[i]], *(text[words.code[i + k]] for k in range(n))) for i in at.tolist())
+        return out
+
+    whole = grams()
+    monkeypatch.setattr(phrases, "SLICE", size)
+    assert grams() == whole and sum(whole.values()) > 10_000
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "lang string, text string")
     assert phrases.collocations(none).count() == 0
