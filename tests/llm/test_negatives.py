@@ -1,6 +1,7 @@
 """Hard negatives against all pairs, with buckets and chunks made small and a third of the rows alike."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from lectern.llm import negatives
@@ -77,3 +78,31 @@ def test_no_candidate_is_lost(seed):
                 assert set(np.flatnonzero(scores >= reach).tolist()) <= set(some.tolist())
     assert pruned > 400
     assert np.array_equal(negatives.Bucket.of(bucket.packed()).sorted, bucket.sorted)
+
+
+@pytest.mark.parametrize("head", [8, 100_000])
+def test_search_of_a_bucket(monkeypatch, head):
+    """In this process, so that the bound holds: pruned and whole verification give the rows of all products."""
+    monkeypatch.setattr(negatives, "HEAD", head)
+    r = np.random.default_rng(9)
+    v = r.standard_normal((2000, 5))
+    v[500:900] = v[3] + r.standard_normal((400, 5)) * 0.05
+    v = np.floor(256 * v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.int64)
+    labels, ids = r.integers(0, 3, 2000), np.arange(2000)
+    bucket, at = negatives.Bucket(ids, labels, v), np.arange(0, 2000, 40)
+    chunk = {"anchor": at, "id": ids[at], "label": labels[at], "v": list(v[at])}
+    got = negatives.positives_in(bucket, pd.DataFrame(chunk | {"least": [[-(1 << 62)]] * len(at), "most": [[]] * len(at)}), 5)
+    scores = v[at] @ v.T
+    order = [sorted(range(2000), key=lambda j, s=s: (-s[j], j)) for s in scores]
+    best = {a: [j for j in o if labels[j] == labels[a] and j != a][:5] for a, o in zip(at.tolist(), order, strict=True)}
+    assert {a: g["vec_id"].tolist() for a, g in got.groupby("anchor")} == best
+    high = [[int(scores[i][j]) for j in best[a]] for i, a in enumerate(at.tolist())]
+    bands = {"least": [[-(-s // 2) for s in x] for x in high], "most": [[95 * s // 100 for s in x] for x in high]}
+    got = negatives.negatives_in(bucket, pd.DataFrame(chunk | bands), 3)
+    want = {}
+    for i, a in enumerate(at.tolist()):
+        for k in range(5):
+            some = [j for j in order[i] if labels[j] != labels[a] and bands["least"][i][k] <= scores[i][j] <= bands["most"][i][k]][:3]
+            if some:
+                want[a, k] = some
+    assert {k: g["vec_id"].tolist() for k, g in got.groupby(["anchor", "place"])} == want and len(want) > 100

@@ -1,6 +1,7 @@
 """Neighbours against brute force: exact where there is one list, by recall where there are many."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from lectern.llm import neighbours
@@ -79,6 +80,18 @@ def test_graph_finds_the_nearest():
     assert len(set(zip(row.tolist(), col.tolist(), strict=True))) == len(row)
 
 
+def test_merging_keeps_the_best(monkeypatch):
+    """In this process, so that the bound holds."""
+    monkeypatch.setattr(neighbours, "HELD", 60)
+    r = np.random.default_rng(8)
+    parts = [pd.DataFrame({"ask": r.integers(0, 9, 40), "query_id": 0, "row": r.integers(0, 200, 40), "vec_id": 0, "score": 0.0}) for _ in range(30)]
+    for p in parts:
+        p["vec_id"], p["score"] = p["row"] // 2, np.cos(p["row"] + p["ask"])  # a row met again has the score it had
+    got = pd.concat(neighbours._merging(iter(parts), 4))
+    best = lambda f: {a: g.drop_duplicates("row").sort_values(["score", "vec_id", "row"], ascending=[False, True, True])["row"].head(4).tolist() for a, g in f.groupby("ask")}
+    assert best(got) == best(pd.concat(parts)) and len(got) < 600
+
+
 def test_parts_are_balanced():
     rows = np.random.default_rng(5).standard_normal((1000, 4))
     assert len(neighbours.balanced_means(rows, 13)) == 13
