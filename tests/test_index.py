@@ -28,10 +28,15 @@ def by_sqlite(rows, query, job):
     return dict(db.execute("select doc, bm25(t) from t where t match ? and job = ?", (words, job)).fetchall()) if words else {}
 
 
-@pytest.mark.parametrize("query", ["sort", "the the café cafe", "CAFES naive", "don't c++", "ΆΣ йод İX ſo", "ß ss x1", "中文 merge the"])
-def test_search_as_sqlite(spark, query):
+@pytest.fixture(scope="module")
+def built(spark):
     rows = corpus(3)
-    store = search.build(spark, docs_of(spark, rows), buckets=4)
+    return rows, search.build(spark, docs_of(spark, rows), buckets=4)
+
+
+@pytest.mark.parametrize("query", ["sort", "the the café cafe", "CAFES naive", "don't c++", "ΆΣ йод İX ſo", "ß ss x1", "中文 merge the"])
+def test_search_as_sqlite(built, query):
+    rows, store = built
     for job in "ab":
         got = {r["doc"]: r["rank"] for r in search.search_index(store, query, job).collect()}
         want = by_sqlite(rows, query, job)
