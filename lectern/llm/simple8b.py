@@ -235,15 +235,15 @@ def read_ids(segments: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     def decode(batches):
         for batch in batches:
-            for shard, seq, file, first, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for file, first, size, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 system, path = _open(file)
                 with system.open_input_file(path) as f:
                     docs, known, lengths, ids = read_segment(f.read_at(size, first))
                 raw, ends = memoryview(ids.astype("<u4").tobytes()), np.cumsum(lengths)
                 crc = [zlib.crc32(raw[4 * (b - n) : 4 * b]) for n, b in zip(lengths.tolist(), ends.tolist(), strict=True)]
-                of = [pa.array(np.full(len(docs), x, t)) for x, t in ((shard, np.int32), (seq, np.int64))]
-                yield pa.RecordBatch.from_arrays([*of, pa.array(docs, pa.int64(), mask=~known), pa.array(ends - lengths), pa.array(lengths), pa.array(crc, pa.int64())], names=["shard", "seq", "id", "at", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64(), mask=~known), pa.array(ends - lengths + start), pa.array(lengths), pa.array(crc, pa.int64())], names=["id", "start", "n_tokens", "ids_crc32"])
 
-    dealt = segments.select("shard", "seq", "file", "at", "size").repartition(4 * common.shuffle_parts(spark), "shard", "seq")
-    read = dealt.mapInArrow(decode, "shard int, seq long, id long, at long, n_tokens long, ids_crc32 long")
-    return read.join(starts, ["shard", "seq"]).select(F.col("id").alias(id_col), (F.col("start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    # a row a segment on both sides; documents are joined to nothing
+    dealt = segments.join(starts, ["shard", "seq"]).repartition(4 * common.shuffle_parts(spark), "shard", "seq").select("file", "at", "size", "start")
+    read = dealt.mapInArrow(decode, "id long, start long, n_tokens long, ids_crc32 long")
+    return read.select(F.col("id").alias(id_col), "start", "n_tokens", "ids_crc32")
