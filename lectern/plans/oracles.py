@@ -86,10 +86,10 @@ pl AS (SELECT id, v, list_transform(v, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 E
 _BITS = "CAST(list_sum(list_transform(list_zip(x.s, y.s), lambda z: CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END)) AS INTEGER)"
 
 
-def _unique(job: str) -> str:
+def _unique(job: str, bits: int = 5) -> str:
     return f"""{_PLANTED},
 b AS (SELECT id AS i, CAST({job} AS BIGINT) AS job_id, s FROM pl),
-pr AS (SELECT y.job_id, x.i AS a, y.i AS b FROM b x JOIN b y ON x.i < y.i AND x.job_id = y.job_id WHERE {_BITS} <= 5),
+pr AS (SELECT y.job_id, x.i AS a, y.i AS b FROM b x JOIN b y ON x.i < y.i AND x.job_id = y.job_id WHERE {_BITS} <= {bits}),
 it AS (SELECT b.job_id, b.i, row_number() OVER (PARTITION BY b.job_id ORDER BY b.i) AS n, coalesce(m.m, []) AS m FROM b LEFT JOIN (SELECT job_id, b AS i, list(a ORDER BY a) AS m FROM pr GROUP BY ALL) m USING (job_id, i)),
 fold AS (SELECT DISTINCT job_id, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS reps FROM it
   UNION ALL SELECT f.job_id, x.n, CASE WHEN list_has_any(f.reps, x.m) THEN f.reps ELSE list_append(f.reps, x.i) END FROM fold f JOIN it x ON x.job_id = f.job_id AND x.n = f.n + 1),
@@ -99,6 +99,7 @@ uq AS (SELECT it.job_id, it.i, CAST(list_position(reps, coalesce(list_min(list_i
 
 
 _BLOCKS = "(id % 1000000) // 64"
+_THIRDS = "(id % 1000000) % 3"
 _WINDOWS = [[(y + dy) * 8 + x + dx + 1 for dy in range(7) for dx in range(7)] for y in (0, 1) for x in (0, 1)]
 _SSIM = " + ".join(
     f"(SELECT (2 * mx * my + 4e-4) * (2 * (xy - 49 * mx * my) / 48 + 36e-4) / ((mx * mx + my * my + 4e-4) * ((xx - 49 * mx * mx) / 48 + (yy - 49 * my * my) / 48 + 36e-4)) FROM (SELECT list_avg(a) AS mx, list_avg(b) AS my, list_inner_product(a, a) AS xx, list_inner_product(b, b) AS yy, list_inner_product(a, b) AS xy FROM (SELECT list_select(av, {w}) AS a, list_select(bv, {w}) AS b)))"
@@ -196,7 +197,7 @@ SELECT job_id, transcript_words * 1000 AS video_size_bytes, video_duration_sec,
     "confirmed": f"WITH RECURSIVE {_SCORES} {_CAND} {_CONFIRMED} SELECT * FROM conf",
     "confirmed_appearances": f"WITH RECURSIVE {_SCORES} {_CAND} {_CONFIRMED} SELECT * FROM app",
     "representative": f"WITH RECURSIVE {_SCORES} {_CAND} {_CONFIRMED}, sm AS (SELECT g.job_id, CAST(g.appearance_index AS BIGINT) AS appearance_index, g.frame_index, row_number() OVER (PARTITION BY g.job_id, g.appearance_index ORDER BY 6e-1 * f.e + 4e-1 * ln(1 + f.p * 1e2) DESC, g.frame_index) AS place FROM grp g JOIN app a USING (job_id, appearance_index) JOIN f USING (job_id, frame_index) WHERE a.frame_count <= 12 OR list_contains(list_transform(range(12), lambda j: a.start_frame + j * (a.frame_count - 1) // 11), g.frame_index)) SELECT job_id, appearance_index, frame_index FROM sm WHERE place = 1",
-    "unique_slides": f"WITH RECURSIVE {_unique(_BLOCKS)} SELECT * FROM uq",
+    "unique_slides": f"WITH RECURSIVE {_unique(_THIRDS, 19)} SELECT * FROM uq",
     "slide_numbering": f"WITH RECURSIVE {_unique(_BLOCKS)} SELECT job_id, CAST(row_number() OVER (PARTITION BY job_id ORDER BY min(i)) AS INTEGER) AS slide_number, min(i) AS first_i, count(*) AS n FROM uq GROUP BY job_id, slide_id",
     "word_faults": f"WITH {_WORDS} SELECT job_id, segment_id, word_pos, CASE WHEN start_ms % 7 = 0 THEN 'missing' ELSE 'order' END AS fault FROM words WHERE start_ms % 7 = 0 OR start_ms % 11 = 0",
     "occurrence_faults": f"WITH {_WORDS} SELECT job_id, appearance_index, CASE WHEN appearance_index = 0 THEN 'start' ELSE 'order' END AS fault FROM occ WHERE appearance_index = 0 OR appearance_index % 5 = 1",
