@@ -1,10 +1,12 @@
 """Every operator against brute force on small tables with nulls, ties, repeats, long texts and clashing columns."""
 
+import functools
 import hashlib
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -416,6 +418,57 @@ def test_edited_passages(spark, size, every):
     assert sum((2 * k + 1, 2 * k) in got for k in range(60)) >= 57
 
 
+def test_passages_met_by_seeds_among_other_words(spark):
+    """Ten words unchanged, three put in, and so on: the only seeds have two or three equal words on either side."""
+    r, runs = np.random.default_rng(3), []
+    while len(runs) < 5:
+        words = [f"r{i}" for i in r.integers(0, 10**6, 10)]
+        at = passages.seeds_of(*passages.word_hashes(pa.array([" ".join(words)])))[0].tolist()
+        if at and set(at) <= {2, 3}:
+            runs.append(words)
+    put_in = [w for k, run in enumerate(runs) for w in [*run, *(f"p{3 * k + i}" for i in range(3 if k < 4 else 0))]]
+    rows = [(0, f"{text_of(91, 40)} {' '.join(sum(runs, []))} {text_of(92, 40)}"), (1, f"{text_of(93, 40)} {' '.join(put_in)} {text_of(94, 40)}")]
+    found = passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert [(x["doc_id"], x["start_word"], x["end_word"], x["source_doc_id"], x["source_start"], x["source_end"]) for x in found] == [(1, 40, 102, 0, 40, 90)]
+
+
+def test_passages_with_few_words_after_an_edit(spark):
+    """Every sixth of sixty words is left out, so two words stand after the last edit; without them the copy is too short."""
+    rows, seeded = [], []
+    for k in range(20):
+        words = [f"d{i}" for i in np.random.default_rng(k).integers(0, 10**6, 60)]
+        at = passages.seeds_of(*passages.word_hashes(pa.array([" ".join(words)])))[0]
+        seeded += [k] * any(i % 6 == 4 for i in at.tolist())
+        for n, p in enumerate((words, [w for i, w in enumerate(words) if i % 6 != 3])):
+            rows.append((2 * k + n, f"{text_of(3000 + 4 * k + n, 40)} {' '.join(p)} {text_of(3002 + 4 * k + n, 40)}"))
+    found = {(x["doc_id"], x["source_doc_id"]) for x in passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert len(seeded) > 9 and all((2 * k + 1, 2 * k) in found for k in seeded)
+
+
+def test_words_have_codes_of_their_own():
+    words = [c * n for c in ("a", "b", "é") for n in (1, 2, 7, 8, 9, 16, 17, 63, 64, 65, 200)] + ["a" * 64 + "b", "a" * 8 + "b"]
+    codes, bounds = passages.word_hashes(pa.array([" ".join(words), None, "", " \t B  b\n", "a" * 200]))
+    assert bounds.tolist() == [0, len(words), len(words), len(words), len(words) + 2, len(words) + 3]
+    assert len(set(codes[: len(words)].tolist())) == len(set(words))
+    assert codes[-3] == codes[-2] == codes[words.index("b")] and codes[-1] == codes[words.index("a" * 200)]
+
+
+def test_gaps_are_aligned_by_brute_force():
+    @functools.cache
+    def best(a, b):
+        """Fewest edits and then most words matched, as (edits, -matched)."""
+        if not a or not b:
+            return len(a) + len(b), 0
+        steps = [(best(a[1:], b[1:]), a[0] != b[0], -(a[0] == b[0])), (best(a[1:], b), 1, 0), (best(a, b[1:]), 1, 0)]
+        return min((e + x, m + y) for (e, m), x, y in steps)
+
+    r = np.random.default_rng(8)
+    for _ in range(300):
+        a, b = (r.integers(0, 5, r.integers(0, 9)) for _ in range(2))
+        edits, matched = best(tuple(a.tolist()), tuple(b.tolist()))
+        assert passages._between(a, b) == (-matched, edits)
+
+
 @pytest.mark.parametrize("run", [passages.remove_passages, repeats.remove_repeats, simhash.similar_documents])
 def test_row_numbers_hold_when_splits_move(spark, tmp_path, monkeypatch, run):
     """Scans of later jobs may be split otherwise: the result stays the same."""
