@@ -562,7 +562,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def verified(pairs):
         possible = common.stash(_possible(pairs, sketches, similarity), "possible")
         ends = possible.select(F.col("a").alias("row")).union(possible.select(F.col("b").alias("row"))).distinct()
-        return common.stash(_similar(texts.join(ends, "row", "left_semi"), possible, shingle, similarity), "alike")
+        alike = common.stash(_similar(texts.join(ends, "row", "left_semi"), possible, shingle, similarity), "alike")
+        common.discard(possible)
+        return alike
 
     alike = verified(edges).unionByName(equal)
     at = common.stash(components(alike), "classes")

@@ -453,6 +453,23 @@ def test_words_have_codes_of_their_own():
     assert codes[-3] == codes[-2] == codes[words.index("b")] and codes[-1] == codes[words.index("a" * 200)]
 
 
+def test_covers_are_chosen_by_whole_rows(spark, monkeypatch):
+    """Rows whose chains come in several batches get the cover of all their chains, and nothing is joined for it."""
+    r = np.random.default_rng(4)
+    chains = [(row, k, 0, [int(a)], [0], [int(n)]) for row in range(40) for k, (a, n) in enumerate(zip(r.integers(0, 300, 30), r.integers(5, 90, 30), strict=True))]
+    monkeypatch.setattr(common, "BATCH_ROWS", 7)
+    common.bound_batches(spark)
+    chosen = passages._covering(spark.createDataFrame(chains, "row long, other long, chain int, x array<int>, y array<int>, size array<int>"))
+    assert "SortMergeJoin" not in chosen._jdf.queryExecution().toString()
+    got = sorted((x["row"], x["from"], -x["to"], x["other"], x["first"], x["x"][0] + x["size"][0]) for x in chosen.collect())
+    monkeypatch.undo()
+    common.bound_batches(spark)
+    assert len(got) == len(chains) and all(-x[2] == x[5] for x in got)
+    for row in range(40):
+        mine = [x for x in got if x[0] == row]
+        assert [i for i, x in enumerate(mine) if x[4]] == passages.least_cover([(x[1], -x[2]) for x in mine])
+
+
 def test_gaps_are_aligned_by_brute_force():
     @functools.cache
     def best(a, b):
