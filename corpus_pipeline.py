@@ -37,6 +37,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # a row is known by its id and text, since an id may stand on several rows
     kept = found.groupBy(F.col("doc_id").alias(own), F.col("text_sha256").alias(sha)).agg(F.count(F.lit(1)).alias(copies), F.max("kept").alias("kept")).where("kept").drop("kept")
     kept = common.stash(kept, "kept")
+    common.discard(found.numbered)
     text = F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")).cast("binary"), 256)
     same = docs["doc_id"].eqNullSafe(kept[own]) & (text == kept[sha])
     out = docs.join(kept.where(F.col(copies) == 1), same, "left_semi")

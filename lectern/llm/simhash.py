@@ -276,8 +276,6 @@ _SET_SEEDS, _SET_DISTANCE = 12, 4
 BUCKETS = 256
 #: Longs of the parities that refute pairs of the prefix join, 64 buckets each.
 PARITIES = 4
-#: Texts on a shingle that are paired without a look at what they can share at all: so few pairs a text are bounded.
-SHORT_LIST = 16
 _PARITY = [f"p{i}" for i in range(PARITIES)]
 #: Frequent shingles that go last in the order of prefixes.
 COMMON = 100_000
@@ -449,19 +447,6 @@ def shingle_prefix(codes: np.ndarray, similarity: float, often: tuple[np.ndarray
     return codes[np.lexsort((codes, rank))[: len(codes) - need + 1]]
 
 
-def _every_shingle(texts: DataFrame, shingle: int) -> DataFrame:
-    """(row, h) of texts (row, body): each code of a text's set of shingles."""
-
-    def emit(batches):
-        common.claim("near", _HASHES)
-        for batch in batches:
-            for row, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                codes = shingle_codes(t, shingle).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), row)), pa.array(codes)], names=["row", "h"])
-
-    return texts.mapInArrow(emit, "row long, h long")
-
-
 def _prefix_pairs(texts: DataFrame, parities: DataFrame, classes: DataFrame, doubles: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Pairs (a, b) of rows in different classes that can be this similar: all that are, and few others.
 
@@ -470,64 +455,54 @@ def _prefix_pairs(texts: DataFrame, parities: DataFrame, classes: DataFrame, dou
     hold at the first shingle that two prefixes share, in the common order, which is enough for the pair to be met: it isn't
     preceded by one and the same shingle in both, and what follows it in either set suffices. Shingles are joined, nothing is
     capped; those of one class only, and the rows of `doubles` (sets that another row has), can't add a link and stay out.
+
+    A prefix is stored once, as one array a row. Only codes, rows and places are dealt out to find the codes of several
+    classes; all else is added to the few that stay.
     """
     often = _common_shingles(texts, shingle)
 
     def emit(batches):
         common.claim("near", _HASHES)
         for batch in batches:
-            held, size = [], 0
-            rows, bodies = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i, (row, t) in enumerate(zip(rows, bodies, strict=True)):
+            rows, sizes, ends, held = [], [], [0], []
+
+            def done():
+                codes = pa.array(np.concatenate(held).view(np.int64))
+                return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), codes)], names=["row", "size", "prefix"])
+
+            for row, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 codes = shingle_codes(t, shingle)
-                first = shingle_prefix(codes, similarity, often)
-                held.append((first, row, len(codes)))
-                size += len(first)
-                if size > 100_000 or i == len(rows) - 1:
-                    n = [len(x[0]) for x in held]
-                    h = np.concatenate([x[0] for x in held]).view(np.int64)
-                    place = np.concatenate([np.arange(k, dtype=np.int32) for k in n])
-                    before = pa.array(np.roll(h, 1), mask=place == 0)
-                    columns = [pa.array(h), pa.array(np.repeat([x[1] for x in held], n)), pa.array(np.repeat(np.array([x[2] for x in held], np.int32), n)), pa.array(place), before]
-                    yield pa.RecordBatch.from_arrays(columns, names=["h", "row", "size", "place", "before"])
-                    held, size = [], 0
-
-    found = common.stash(texts.mapInArrow(emit, "h long, row long, size int, place int, before long"), "prefixes")
-    twice = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    again = found.join(twice, "h").join(doubles, "row", "left_anti").join(classes.select(F.col("node").alias("row"), "root"), "row", "left")
-    again = common.stash(again.select("h", "row", "size", "place", "before", F.coalesce("root", "row").alias("class")), "prefixes")
-    common.discard(found)
-    mixed = again.groupBy("h").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("h")
-    kept = common.stash(again.join(mixed, "h"), "prefixes")
-    common.discard(again)
-    # whatever two texts of long lists share occurs twice among such texts, which bounds what a text can share and so the size of its partner
-    long_ = kept.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHORT_LIST).select("h", F.lit(True).alias("long"))
-    marked = common.stash(kept.join(long_, "h", "left"), "prefixes")
-    common.discard(kept)
-    kept = marked
-    every = common.stash(_every_shingle(texts.join(kept.where("long").select("row").distinct(), "row", "left_semi"), shingle), "shingles")
-    shared = every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    shared = every.join(shared, "h", "left_semi").groupBy("row").agg(F.count(F.lit(1)).alias("shared"))
-    largest = F.floor(F.col("shared") * ((1 + similarity) / similarity) + 1e-6) - F.col("size")
-    bounded = kept.where("long").join(shared, "row").withColumn("largest", largest).where(F.col("largest") >= F.ceil(similarity * F.col("size") - 1e-6))
-    columns = ("h", "row", "size", "place", "before", "class", "largest")
-    kept = kept.where("long is null").withColumn("largest", F.lit(1 << 62)).select(*columns).unionByName(bounded.select(*columns))
-    done = [marked, every]
-    for bits in (None, parities):  # texts that no other class's text on the same shingle is small or open enough for
-        reach = kept.groupBy("h").agg(F.min("size").alias("least"), F.max("largest").alias("most"), F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
-        kept = kept.join(reach, "h").where("size <= most and largest >= least").select(*columns)
-        kept = common.stash(kept if bits is None else kept.join(bits, "row"), "prefixes")
-        common.discard(*done)
-        done = [kept]
+                held.append(shingle_prefix(codes, similarity, often))
+                rows.append(row)
+                sizes.append(len(codes))
+                ends.append(ends[-1] + len(held[-1]))
+                if ends[-1] > 100_000:
+                    yield done()
+                    rows, sizes, ends, held = [], [], [0], []
+            if rows:
+                yield done()
+
+    found = texts.mapInArrow(emit, "row long, size int, prefix array<long>").join(doubles, "row", "left_anti")
+    found = found.join(classes.select(F.col("node").alias("row"), "root"), "row", "left")
+    found = common.stash(found.select("row", "size", F.coalesce("root", "row").alias("class"), "prefix"), "prefixes")
+    mixed = found.select(F.explode("prefix").alias("h"), "class").groupBy("h").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("h")
+    mixed = common.stash(mixed, "mixed")
+    placed = common.stash(found.select("row", F.posexplode("prefix").alias("place", "h")).join(mixed, "h"), "placed")
+    before = F.when(F.col("place") > 0, F.element_at("prefix", F.greatest("place", F.lit(1)))).alias("before")
+    kept = placed.join(found, "row").select("h", "row", "size", "place", before, "class").join(parities, "row")
+    kept = common.stash(kept, "kept-prefixes")
+    common.discard(found, mixed, placed)
     x, y = (kept.select("h", *[F.col(c).alias(f"{c}_{side}") for c in kept.columns if c != "h"]) for side in "ab")
     low, high = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
     need = F.ceil(similarity / (1 + similarity) * (low + high) - 1e-6)
     turned = reduce(add, [F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in _PARITY])
-    fits = (low >= similarity * high - 1e-6) & (F.col("size_a") <= F.col("largest_b")) & (F.col("size_b") <= F.col("largest_a"))
+    fits = low >= similarity * high - 1e-6
     first = ~F.coalesce(F.col("before_a") == F.col("before_b"), F.lit(False))
     enough = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) >= need
     pairs = x.join(y, "h").where((F.col("row_a") < F.col("row_b")) & (F.col("class_a") != F.col("class_b")) & fits & first & enough & (turned <= low + high - 2 * need))
-    return pairs.select(F.col("row_a").alias("a"), F.col("row_b").alias("b")).distinct()
+    pairs = pairs.select(F.col("row_a").alias("a"), F.col("row_b").alias("b")).distinct()
+    pairs.prefixes = kept  # stored; of no use once the pairs are
+    return pairs
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, seeds: int = _SET_SEEDS, distance: int = _SET_DISTANCE) -> DataFrame:
@@ -569,9 +544,12 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     alike = verified(edges).unionByName(equal)
     at = common.stash(components(alike), "classes")
     pairs = _prefix_pairs(texts, digests.select("row", *_PARITY), at, equal.select(F.col("b").alias("row")), shingle, similarity)
-    alike = alike.unionByName(verified(pairs.join(edges, ["a", "b"], "left_anti")))
-    roots = components(alike)
+    more = verified(pairs.join(edges, ["a", "b"], "left_anti"))
+    common.discard(pairs.prefixes, edges, digests, at)
+    roots = components(alike.unionByName(more))
     keyed = rows.select("row", "id", "sha").join(roots, F.col("row") == F.col("node"), "left").select("row", "id", "sha", F.coalesce("root", "row").alias("root"))
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")
     named = keyed.groupBy("root").agg(F.min("id").alias("component_id"), best)
-    return keyed.join(named, "root").select(F.col("id").alias(id_col), "component_id", F.col("sha").alias("text_sha256"), (F.col("row") == F.col("best.row")).alias("kept"))
+    out = keyed.join(named, "root").select(F.col("id").alias(id_col), "component_id", F.col("sha").alias("text_sha256"), (F.col("row") == F.col("best.row")).alias("kept"))
+    out.numbered = rows  # stored; of no use once the answers are
+    return out
