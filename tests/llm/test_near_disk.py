@@ -52,3 +52,15 @@ def test_similar_documents_of_a_family(spark):
     got = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"))
     assert len(alike) > 5 and len(set(root)) > 5
     assert [x["component_id"] for x in got.orderBy("doc_id").collect()] == root
+
+
+def test_stash_frees_its_shuffle_files_only(spark):
+    """The setting is as before, and a frame that was stored can be used and stored again."""
+    from pyspark.sql import functions as F
+
+    before = spark.conf.get(common._FREED)
+    counts = spark.range(5000).groupBy((F.col("id") % 77).alias("k")).count()
+    assert counts.count() == 77
+    for _ in range(2):
+        assert common.stash(counts, "counts").agg(F.sum("count")).first()[0] == 5000
+    assert counts.count() == 77 and spark.conf.get(common._FREED) == before
