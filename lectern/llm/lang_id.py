@@ -197,6 +197,7 @@ def predict(docs: DataFrame, network: Network | None, text_col: str = "text") ->
 
     @F.pandas_udf("lang_pred string, score double")
     def identify(texts: pd.Series) -> pd.DataFrame:
+        common.claim("language")
         known = [t.encode() if isinstance(t, str) and any(map(str.isalpha, t)) else b"" for t in texts]
         if network is None:
             return pd.DataFrame({"lang_pred": ["und"] * len(known), "score": [0.0] * len(known)})

@@ -347,7 +347,7 @@ def _similar(rows: DataFrame, edges: DataFrame, shingle: int, similarity: float)
     ends = edges.select(F.col("a").alias("row"), "a", "b").unionByName(edges.select(F.col("b").alias("row"), "a", "b"))
     parts = ends.groupBy("row").agg(F.ceil(F.count(F.lit(1)) / 1024).alias("parts"))
     lists = ends.join(parts, "row").groupBy("row", F.pmod(F.xxhash64("a", "b"), F.col("parts")).alias("part")).agg(F.collect_list(F.struct("a", "b")).alias("ends"))
-    sides = rows.mapInArrow(squeeze, "row long, packed binary").join(lists, "row").select("packed", "ends").mapInArrow(look, "a long, b long, codes binary")
+    sides = common.join_apart(rows.mapInArrow(squeeze, "row long, packed binary"), lists, ["row"]).select("packed", "ends").mapInArrow(look, "a long, b long, codes binary")
     return sides.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(compare, "a long, b long")
 
 
